@@ -139,7 +139,9 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = b.event_label(F.col("event_type"))
     return b.table(spark, sf_dir, "events").select(
-        "event_id", name.alias("label_name"), label_id(name).alias("label_id")
+        "event_id",
+        name.alias("label_name"),
+        F.coalesce(label_id(name), F.lit(-1)).alias("label_id"),
     )
 
 
@@ -369,8 +371,9 @@ def categorize_and_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream; the pattern fits a table of one file and a folder of files."""
     schema = b.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
 def stream_score_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -285,7 +285,7 @@ ORACLES = {
     "label_inverse": f"""
         SELECT event_id, {EVENT_LABEL} AS label_name,
                CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2
-               WHEN 'signup' THEN 3 END AS label_id
+               WHEN 'signup' THEN 3 ELSE -1 END AS label_id
         FROM events
     """,
     "softmax_scores": """

@@ -10,7 +10,7 @@ from rubrika.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = build_session(
         "rubrika-tests",
         "local[8]",
@@ -18,7 +18,7 @@ def spark(tmp_path_factory):
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
-            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+            "spark.ui.showConsoleProgress": "false",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
