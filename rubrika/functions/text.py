@@ -3,24 +3,23 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rubrika.schemas import MAX_INPUT_CHARS, PREVIEW_CHARS
 
-# Fixed values. Whitespace is spelled out because the regex dialects of Spark, DuckDB and
-# Python each mean something else by \s; this is the Unicode set. A tag ends at the first
-# '>' of its line, and only '\n' ends a line.
-SPACES = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-SPACE = f"[{SPACES}]"
-NOT_SPACE = f"[^{SPACES}]"
+# Fixed values. Whitespace is the Unicode set plus four separators that count as space too; a
+# tag ends at the first '>' of its line, and only '\n' ends a line.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 TAG = r"<[^\n>]*>"
 ENTITY = r"&[a-z]+;"
-URL = rf"http{NOT_SPACE}+|www\.{NOT_SPACE}+"
+URL = r"(?U)(?:http|www\.)[^\s\x1c-\x1f]+"
+# Every tag, entity and URL contains one of these.
+MARKERS = ("<", "&", "http", "www.")
 SEPARATOR = " [SEP] "
 
 # A token is a run of letters, marks and digits, or one punctuation mark or symbol.
@@ -44,11 +43,17 @@ ACCENTED, PLAIN = _accent_table()
 
 
 def clean_text(text: Column) -> Column:
-    """Markup, entities and URLs become spaces; spaces collapse; anything but text is ''."""
-    cleaned = text.cast("string")
-    for pattern in (TAG, ENTITY, URL, f"{SPACE}+"):
-        cleaned = F.regexp_replace(cleaned, pattern, " ")
-    return F.when(F.typeof(text) == "string", F.coalesce(F.trim(cleaned), F.lit(""))).otherwise("")
+    """Markup, entities and URLs become spaces; spaces collapse; anything but text is ''.
+
+    Removing one kind never brings up another kind's marker, so one look at the raw text tells
+    whether the three patterns need to run at all.
+    """
+    raw = stripped = text.cast("string")
+    for pattern in (TAG, ENTITY, URL):
+        stripped = F.regexp_replace(stripped, pattern, " ")
+    marked = reduce(or_, [F.contains(raw, F.lit(marker)) for marker in MARKERS])
+    spaced = F.regexp_replace(F.when(marked, stripped).otherwise(raw), f"{SPACE}+", " ")
+    return F.when(F.typeof(text) == "string", F.coalesce(F.trim(spaced), F.lit(""))).otherwise("")
 
 
 def combine_title_body(title: Column, body: Column) -> Column:
@@ -62,8 +67,14 @@ def is_blank(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """All tokens of a text in order, lower-cased and without accents."""
-    folded = F.translate(F.lower(text), ACCENTED, PLAIN)
+    """All tokens of a text in order, lower-cased and without accents.
+
+    ``text`` should be a plain column, as it is read more than once: texts of ASCII alone, told
+    by their length in bytes, skip the accent table.
+    """
+    lower = F.lower(text)
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    folded = F.when(ascii_only, lower).otherwise(F.translate(lower, ACCENTED, PLAIN))
     return F.regexp_extract_all(F.coalesce(folded, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 

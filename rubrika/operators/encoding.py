@@ -21,17 +21,24 @@ TOKEN_SALTS = 32
 def with_tokens(df: DataFrame, text: str = "text", clean: bool = True) -> DataFrame:
     """Adds the array column ``tokens``."""
     source = clean_text(F.col(text)) if clean else F.col(text)
-    return df.withColumn("tokens", tokens(source))
+    named = df.withColumn("_source", source)
+    return named.withColumn("tokens", tokens(F.col("_source"))).drop("_source")
+
+
+def each_token(df: DataFrame, *keep: str) -> DataFrame:
+    """One row per token, beside the columns to keep.
+
+    The outer form is on purpose: for the inner one the optimizer adds a filter on the array's
+    size below, which would split every text twice.
+    """
+    rows = df.select(*keep, F.explode_outer("tokens").alias("token"))
+    return rows.where(F.col("token").isNotNull())
 
 
 def token_counts(df: DataFrame) -> DataFrame:
     """Occurrences per token. Counts combine before the shuffle, so a token that makes up a
     third of the corpus costs one row per task."""
-    return (
-        df.select(F.explode("tokens").alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return each_token(df).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def build_vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:

@@ -12,12 +12,12 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrika.operators.encoding import BROADCAST_ROWS
+from rubrika.operators.encoding import BROADCAST_ROWS, each_token
 from rubrika.schemas import LABELS, VOCABULARY_SIZE
 
 NUM_LABELS = len(LABELS)
@@ -33,7 +33,7 @@ def class_token_counts(train: DataFrame, num_labels: int = NUM_LABELS) -> DataFr
         F.count_if(F.col("label") == c).alias(f"n_{c}") for c in range(num_labels)
     ]
     return (
-        train.select("label", F.explode("tokens").alias("token"))
+        each_token(train, "label")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"), *per_class)
     )
@@ -96,18 +96,19 @@ def fit_naive_bayes(
         raise ValueError(f"vocabulary_size may be at most {BROADCAST_ROWS}")
     sizes = _class_sizes(train, num_labels)
     counts = top_tokens(class_token_counts(train, num_labels), vocabulary_size).toPandas()
+    spark = train.sparkSession
+    tokens = spark.createDataFrame(counts[["token"]], "token string")
+    vectorizer = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary_size)
+    vectorizer = vectorizer.fit(tokens.select(F.array("token").alias("tokens")))
+    counts = counts.set_index("token").loc[vectorizer.vocabulary]
     rows = []
     for c, documents in enumerate(sizes):
-        seen = counts[f"n_{c}"].to_numpy().nonzero()[0]
-        means = counts[f"n_{c}"].to_numpy()[seen] / documents
-        features = Vectors.sparse(len(counts), seen.tolist(), means.tolist())
+        n = counts[f"n_{c}"].to_numpy()
+        seen = n.nonzero()[0]
+        features = Vectors.sparse(len(n), seen.tolist(), (n[seen] / documents).tolist())
         rows.append((float(c), float(documents), features))
-    spark = train.sparkSession
     classes = spark.createDataFrame(rows, ["label", "weight", "features"])
     bayes = NaiveBayes(modelType="multinomial", smoothing=smoothing, weightCol="weight").fit(classes)
-    vectorizer = CountVectorizerModel.from_vocabulary(
-        counts["token"].tolist(), inputCol="tokens", outputCol="features"
-    )
     return PipelineModel([vectorizer, bayes])
 
 

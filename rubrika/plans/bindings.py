@@ -11,7 +11,7 @@ from rubrika.functions.labels import label_name
 from rubrika.operators.encoding import with_tokens
 from rubrika.schemas import UNKNOWN_LABEL
 from rubrika.session import use_utc
-from rubrika.sources.corpus import with_split
+from rubrika.sources.corpus import spread, with_split
 
 LANGUAGES = ("en", "fr", "de", "es")
 EVENT_LABELS = {
@@ -35,7 +35,7 @@ def language_class(lang: Column) -> Column:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their language as class, and a train / test split."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return with_split(docs.select("doc_id", "text", language_class(F.col("lang")).alias("label")))
 
 

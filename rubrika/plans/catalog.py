@@ -92,7 +92,8 @@ def combine_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The guard over the text between the tags of every page, much of it blank."""
     pages = b.table(spark, sf_dir, "pages")
-    parts = pages.select("page_id", F.posexplode(F.split("html", TAG)).alias("part", "text"))
+    parts = pages.select("page_id", F.posexplode_outer(F.split("html", TAG)).alias("part", "text"))
+    parts = parts.where(F.col("part").isNotNull())
     return flag_blank(parts).select("page_id", "part", "text", "reason")
 
 
@@ -112,7 +113,7 @@ def _encoded(spark: SparkSession, sf_dir: str, pad: bool) -> DataFrame:
     vocab_build(spark, sf_dir).write.parquet(path)
     encoded = encoding.encode(b.tokenized(spark, sf_dir), spark.read.parquet(path), pad=pad)
     pairs = F.arrays_zip("input_ids", "attention_mask")
-    return encoded.select("doc_id", F.posexplode(pairs).alias("pos", "pair")).select(
+    return encoded.select("doc_id", F.posexplode_outer(pairs).alias("pos", "pair")).select(
         "doc_id",
         "pos",
         F.col("pair.input_ids").alias("input_id"),
@@ -148,7 +149,7 @@ def label_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def softmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding taken as 64 logits."""
     rows = b.table(spark, sf_dir, "embeddings")
-    shares = F.posexplode(scores.softmax(F.col("embedding"))).alias("class_id", "share")
+    shares = F.posexplode_outer(scores.softmax(F.col("embedding"))).alias("class_id", "share")
     return rows.select("vec_id", shares).withColumn("share", F.round("share", 6))
 
 
@@ -200,7 +201,7 @@ def predict_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = F.posexplode("all_scores").alias("place", "entry")
+    ranked = F.posexplode_outer("all_scores").alias("place", "entry")
     return _bayes_scored(spark, sf_dir).select("doc_id", ranked).select(
         "doc_id", "place", F.col("entry.label").alias("label"), F.col("entry.score").alias("score")
     )
@@ -209,7 +210,7 @@ def scores_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked scores after writing them as JSON and parsing them back."""
     text = scores.scores_to_json(F.col("all_scores"))
-    ranked = F.posexplode(scores.scores_from_json(text)).alias("place", "entry")
+    ranked = F.posexplode_outer(scores.scores_from_json(text)).alias("place", "entry")
     return _bayes_scored(spark, sf_dir).select("doc_id", ranked).select(
         "doc_id", "place", F.col("entry.label").alias("label"), F.col("entry.score").alias("score")
     )

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from rubrika.functions.text import ACCENTED, NOT_SPACE, PLAIN, SPACE, TAG, TOKEN, URL
+from rubrika.functions.text import ACCENTED, PLAIN
 from rubrika.schemas import LABELS, VOCABULARY_SIZE
 
+# Unicode whitespace spelled out, as \s is ASCII in this dialect.
+SPACES = (
+    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+SPACE = f"[{SPACES}]"
+NOT_SPACE = f"[^{SPACES}]"
+TAG = r"<[^\n]*?>"
+URL = rf"http{NOT_SPACE}+|www\.{NOT_SPACE}+"
+TOKEN = r"[\p{L}\p{M}\p{N}]+|[\p{P}\p{S}]"
+
 CLASSES = range(len(LABELS))
 
 

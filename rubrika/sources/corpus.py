@@ -23,6 +23,16 @@ def read_corpus(
     return spark.read.format(source).schema(schema).options(**options).load(path)
 
 
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A table read as fewer splits than there are cores, over all cores by key.
+
+    For costly work per row on a small table. A large table has more splits than cores and
+    stays as it is, so no shuffle of large texts comes from here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def with_split(df: DataFrame, key: str = "doc_id", folds: int = 5) -> DataFrame:
     """Adds ``split``: one key in ``folds`` is ``test``, the others ``train``."""
     held_out = F.pmod(F.col(key), F.lit(folds)) == 0
