@@ -22,6 +22,7 @@ from rubrika.schemas import LABELS, VOCABULARY_SIZE
 
 NUM_LABELS = len(LABELS)
 HASH_FEATURES = 1 << 16
+TASKS_PER_CORE = 4
 
 
 def class_token_counts(train: DataFrame, num_labels: int = NUM_LABELS) -> DataFrame:
@@ -121,15 +122,20 @@ def _tf_idf(num_features: int) -> Pipeline:
     )
 
 
+def _few_tasks(df: DataFrame) -> DataFrame:
+    """Some tasks per core at most: in every iteration each task sends a dense gradient."""
+    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fit_logistic(
     train: DataFrame,
     num_features: int = HASH_FEATURES,
-    max_iter: int = 20,
+    max_iter: int = 10,
     reg_param: float = 0.01,
 ) -> PipelineModel:
     """Multinomial logistic regression on hashed TF-IDF; gradients are tree-aggregated."""
     features = _tf_idf(num_features).fit(train)
-    ready = features.transform(train).select("label", "features")
+    ready = _few_tasks(features.transform(train).select("label", "features"))
     model = _logistic(max_iter, reg_param).fit(ready)
     return PipelineModel([*features.stages, model])
 
@@ -152,7 +158,7 @@ def select_logistic(
     table, which spills to disk and is rebuilt from the corpus where executors are lost.
     """
     features = _tf_idf(num_features).fit(train)
-    ready = features.transform(train).select("label", "features")
+    ready = _few_tasks(features.transform(train).select("label", "features"))
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     check = features.transform(held_out).select("label", "features")
     check = check.persist(StorageLevel.MEMORY_AND_DISK)

@@ -92,6 +92,11 @@ def unchecked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def article_time(doc_id: Column) -> Column:
+    """A time for each document, spread by the hour over the thirty days of the events."""
+    return F.timestamp_seconds(F.pmod(doc_id * 3600, F.lit(30 * 86400)) + 1704067200)
+
+
 def unchecked_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log rows of documents: whole text, a free-form label, a version for some."""
     text = F.col("text")
@@ -101,7 +106,7 @@ def unchecked_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         first_line(text).alias("predicted_label"),
         (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("confidence"),
         F.nullif(F.split_part(text, F.lit("\n"), F.lit(2)), F.lit("")).alias("model_version"),
-        F.timestamp_seconds(F.col("doc_id") * 3600).alias("created_at"),
+        article_time(F.col("doc_id")).alias("created_at"),
     )
 
 
@@ -113,7 +118,7 @@ def article_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("input_text"),
         label_name(language_class(F.col("lang"))).alias("predicted_label"),
         F.round(share, 4).cast("double").alias("confidence"),
-        F.timestamp_seconds(F.col("doc_id") * 3600).alias("created_at"),
+        article_time(F.col("doc_id")).alias("created_at"),
     )
 
 

@@ -277,7 +277,7 @@ def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     prediction_log.create_log(spark, path)
     for _ in range(2):
         rows = prepare(b.unchecked_events(spark, sf_dir), key="id")
-        prediction_log.append(rows, path, batch_id=1)
+        prediction_log.append(rows, path, batch_id=1, rebalance=True)
     return prediction_log.read_log(spark, path).select(
         "batch_id",
         "id",
@@ -294,7 +294,7 @@ def log_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows an append set aside."""
     path = shared_folder(spark, "log")
     rows = prepare(b.unchecked_events(spark, sf_dir), key="id")
-    prediction_log.append(rows, path, batch_id=1)
+    prediction_log.append(rows, path, batch_id=1, rebalance=True)
     return prediction_log.read_rejected(spark, path).select("batch_id", "id", "confidence", "reason")
 
 
@@ -345,7 +345,7 @@ def recent_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stored log, reading the newest days only."""
     path = shared_folder(spark, "log")
-    prediction_log.append(b.event_log(spark, sf_dir), path, batch_id=1)
+    prediction_log.append(b.event_log(spark, sf_dir), path, batch_id=1, rebalance=True)
     rows = analytics.recent_from_days(prediction_log.read_log(spark, path))
     return rows.withColumn("created_at", _time("created_at"))
 
@@ -359,13 +359,14 @@ def history_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def categorize_and_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean, score, check, log and count: the whole way of an article."""
+    """Clean, score, check, log and count: the whole way of an article.
+
+    Rows carry the time of the run, so the batch has one day and needs no shuffle to be written.
+    """
     path = shared_folder(spark, "log")
-    scored = _bayes_scored(spark, sf_dir)
-    timed = scored.withColumn("created_at", F.timestamp_seconds(F.col("doc_id") * 3600))
-    prediction_log.append(prepare(timed, key="doc_id", text="text"), path, batch_id=1)
-    counted = analytics.category_stats(prediction_log.read_log(spark, path))
-    return counted.withColumn("last_seen", _time("last_seen"))
+    rows = prepare(_bayes_scored(spark, sf_dir), key="doc_id", text="text")
+    prediction_log.append(rows, path, batch_id=1)
+    return analytics.category_stats(prediction_log.read_log(spark, path)).drop("last_seen")
 
 
 # --- streams -------------------------------------------------------------------------------

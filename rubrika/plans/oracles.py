@@ -50,7 +50,7 @@ EVENT_CONFIDENCE = "CAST(round(CAST(value / (value + 100.0) AS DECIMAL(18,10)),
 TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
 FIRST_LINE = "split_part(text, chr(10), 1)"
 SHARE = "CAST(n_chars AS DOUBLE) / (n_chars + 1000.0)"
-DOC_TIME = "TIMESTAMP '1970-01-01' + to_hours(doc_id)"
+DOC_TIME = "TIMESTAMP '2024-01-01' + to_hours(doc_id % 720)"
 
 LOG = f"""
     log AS (
@@ -241,9 +241,10 @@ HISTORY = f"""
 
 ORACLES = {
     "categorize_and_log": f"""
-        WITH {SCORED},
-        log AS (SELECT *, {DOC_TIME} AS created_at FROM predicted)
-        {STATS.format("log")}
+        WITH {SCORED}
+        SELECT predicted_label, count(*) AS total_predictions,
+               CAST(round(avg(CAST(confidence AS DECIMAL(20,15))), 4) AS DOUBLE) AS avg_confidence
+        FROM predicted GROUP BY predicted_label
     """,
     "corpus_split": f"SELECT doc_id, {LANG_CLASS} AS label, {SPLIT} AS split FROM documents",
     "subset_head": f"""

@@ -24,12 +24,12 @@ def create_log(spark: SparkSession, path: str) -> None:
     empty.write.mode("ignore").partitionBy("batch_id", *PARTITIONS).parquet(path)
 
 
-def append(rows: DataFrame, path: str, batch_id: int, rebalance: bool = True) -> None:
+def append(rows: DataFrame, path: str, batch_id: int, rebalance: bool = False) -> None:
     """Checks prepared rows and writes them as one batch.
 
-    ``rebalance`` gathers rows of a day before the write, so that a batch over many days does not
-    leave one small file per task and day; adaptive execution splits a day that holds most of the
-    rows. Rows already ordered by day, or all of one day, need none.
+    Rows of one day, or ordered by day, are written where they are. For a batch over many days
+    ``rebalance`` first gathers the rows of each day, which saves one small file per task and day;
+    adaptive execution splits a day that holds most of the rows.
     """
     checked = validate(rows).withColumn("prediction_date", utc_date(F.col("created_at")))
     if rebalance:
