@@ -6,10 +6,11 @@ returns a ``PipelineModel`` that scores in the JVM without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
@@ -113,20 +114,25 @@ def fit_naive_bayes(
     return PipelineModel([vectorizer, bayes])
 
 
-def _tf_idf(num_features: int) -> Pipeline:
-    return Pipeline(
-        stages=[
-            HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
-            IDF(inputCol="tf", outputCol="features"),
-        ]
-    )
-
-
 def _few_tasks(df: DataFrame) -> DataFrame:
     """Some tasks per core at most: in every iteration each task sends a dense gradient."""
     return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
 
 
+@contextmanager
+def _kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` kept on memory and disk for several passes; lost parts are rebuilt from source."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def _logistic(max_iter: int, reg_param: float) -> LogisticRegression:
+    return LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg_param)
+
+
 def fit_logistic(
     train: DataFrame,
     num_features: int = HASH_FEATURES,
@@ -134,16 +140,8 @@ def fit_logistic(
     reg_param: float = 0.01,
 ) -> PipelineModel:
     """Multinomial logistic regression on hashed TF-IDF; gradients are tree-aggregated."""
-    features = _tf_idf(num_features).fit(train)
-    ready = _few_tasks(features.transform(train).select("label", "features"))
-    model = _logistic(max_iter, reg_param).fit(ready)
-    return PipelineModel([*features.stages, model])
-
-
-def _logistic(max_iter: int, reg_param: float) -> LogisticRegression:
-    return LogisticRegression(
-        family="multinomial", maxIter=max_iter, regParam=reg_param, aggregationDepth=3
-    )
+    grid = [(max_iter, reg_param)]
+    return _fit_grid(train, grid, num_features, lambda _: {})[0]
 
 
 def select_logistic(
@@ -154,33 +152,37 @@ def select_logistic(
 ) -> tuple[PipelineModel, list[dict]]:
     """The candidate with the best held-out accuracy, the first one on ties, and all metrics.
 
-    ``grid`` holds pairs of iteration count and regularisation. Candidates share one feature
-    table, which spills to disk and is rebuilt from the corpus where executors are lost.
+    ``grid`` holds pairs of iteration count and regularisation.
     """
-    features = _tf_idf(num_features).fit(train)
-    ready = _few_tasks(features.transform(train).select("label", "features"))
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
-    check = features.transform(held_out).select("label", "features")
-    check = check.persist(StorageLevel.MEMORY_AND_DISK)
-    accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
-    log_loss = MulticlassClassificationEvaluator(metricName="logLoss")
-    best, metrics = None, []
-    try:
-        for max_iter, reg_param in grid:
-            model = _logistic(max_iter, reg_param).fit(ready)
+    with _kept(held_out.select("label", "tokens")) as check:
+
+        def measure(model: PipelineModel) -> dict:
             scored = model.transform(check)
-            result = {
-                "max_iter": max_iter,
-                "reg_param": reg_param,
-                "accuracy": accuracy.evaluate(scored),
-                "log_loss": log_loss.evaluate(scored),
+            return {
+                name: MulticlassClassificationEvaluator(metricName=metric).evaluate(scored)
+                for name, metric in (("accuracy", "accuracy"), ("log_loss", "logLoss"))
             }
-            if best is None or result["accuracy"] > best[1]["accuracy"]:
-                best = (model, result)
-            metrics.append(result)
-    finally:
-        ready.unpersist()
-        check.unpersist()
-    for result in metrics:
-        result["is_best"] = result is best[1]
-    return PipelineModel([*features.stages, best[0]]), metrics
+
+        return _fit_grid(train, grid, num_features, measure)
+
+
+def _fit_grid(
+    train: DataFrame,
+    grid: Iterable[tuple[int, float]],
+    num_features: int,
+    measure: Callable[[PipelineModel], dict],
+) -> tuple[PipelineModel, list[dict]]:
+    """Fits every candidate on term counts that are hashed once and kept for all passes."""
+    hashing = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
+    metrics, models = [], []
+    with _kept(hashing.transform(_few_tasks(train)).select("label", "tf")) as counts:
+        idf = IDF(inputCol="tf", outputCol="features").fit(counts)
+        ready = idf.transform(counts).select("label", "features")
+        for max_iter, reg_param in grid:
+            fitted = _logistic(max_iter, reg_param).fit(ready)
+            models.append(PipelineModel([hashing, idf, fitted]))
+            metrics.append({"max_iter": max_iter, "reg_param": reg_param, **measure(models[-1])})
+    best = max(range(len(models)), key=lambda i: metrics[i].get("accuracy", 0.0))
+    for i, result in enumerate(metrics):
+        result["is_best"] = i == best
+    return models[best], metrics

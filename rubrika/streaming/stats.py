@@ -41,8 +41,8 @@ def write_running(
 ) -> StreamingQuery:
     """Starts a query that keeps ``result`` as a table.
 
-    In complete mode every micro-batch writes the whole, small result under its epoch; in append
-    mode the file sink adds final rows, each once.
+    In complete mode every micro-batch writes the whole result, a row per label or day, as one
+    file under its epoch; in append mode the file sink adds final rows, each once.
     """
     writer = result.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"availableNow": True}))
@@ -50,7 +50,7 @@ def write_running(
         return writer.format("parquet").option("path", path).start()
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return writer.foreachBatch(write).start()
 
