@@ -106,6 +106,26 @@ def linear_model(weights: Sequence[Sequence[float]], scale: float = 1.0) -> Call
     return load
 
 
+def bag_of_ids_model(weights: np.ndarray, prior: Sequence[float]) -> Callable:
+    """A model maker for ``model_udf`` on ``input_ids`` and ``attention_mask``.
+
+    ``weights`` has a row per token id and a column per class; the logits are ``prior`` plus the
+    rows of all unmasked ids.
+    """
+    table, start = np.asarray(weights, dtype=np.float64), np.asarray(prior, dtype=np.float64)
+
+    def load():
+        def run(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+            used = table[ids.astype(np.int64)] * mask[..., np.newaxis]
+            z = start + used.sum(axis=1)
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            return e / e.sum(axis=1, keepdims=True)
+
+        return run
+
+    return load
+
+
 def onnx_model(path: str, inputs: Sequence[str], output: str) -> Callable:
     """A model maker for ``model_udf`` from an ONNX file every executor can read.
 

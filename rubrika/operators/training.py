@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from math import log
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
@@ -66,6 +68,25 @@ def log_likelihoods(vocabulary: DataFrame, num_labels: int = NUM_LABELS) -> Data
     return vocabulary.select("token", F.inline(F.array(*columns)))
 
 
+def class_log_priors(train: DataFrame, num_labels: int = NUM_LABELS) -> list[float]:
+    """Smoothed log share of each class."""
+    sizes = _class_sizes(train, num_labels)
+    return [log((d + 1) / (sum(sizes) + num_labels)) for d in sizes]
+
+
+def id_weights(
+    vocabulary: DataFrame, likelihoods: DataFrame, num_labels: int = NUM_LABELS
+) -> np.ndarray:
+    """Log likelihoods as a matrix by token id and class, zero for the special tokens.
+
+    The driver gets one row per vocabulary token and class.
+    """
+    rows = vocabulary.join(likelihoods, "token").select("token_id", "label", "log_prob").toPandas()
+    weights = np.zeros((int(rows["token_id"].max()) + 1, num_labels))
+    weights[rows["token_id"], rows["label"]] = rows["log_prob"]
+    return weights
+
+
 def _class_sizes(train: DataFrame, num_labels: int) -> list[int]:
     """Documents per class, by a scan of the label column alone."""
     inside = F.col("label").isNotNull() & F.col("label").between(0, num_labels - 1)

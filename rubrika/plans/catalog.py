@@ -18,6 +18,7 @@ from rubrika.operators.evaluation import evaluate
 from rubrika.operators.guard import flag_blank
 from rubrika.operators.prediction_rows import prepare, validate
 from rubrika.operators.scoring import (
+    bag_of_ids_model,
     linear_logits,
     linear_model,
     model_udf,
@@ -25,6 +26,7 @@ from rubrika.operators.scoring import (
     with_predictions,
 )
 from rubrika.plans import bindings as b
+from rubrika.schemas import MAX_LENGTH, VOCABULARY_SIZE
 from rubrika.session import shared_folder
 from rubrika.sources import prediction_log
 from rubrika.sources.corpus import head, train_and_test
@@ -200,6 +202,26 @@ def predict_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def predict_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-length ids and mask through a model in the Python workers.
+
+    The model sees the first 126 tokens of a document, as a model of fixed input length does.
+    """
+    docs = b.tokenized(spark, sf_dir)
+    train = train_and_test(docs)[0]
+    path = shared_folder(spark, "class-counts")
+    size = VOCABULARY_SIZE - encoding.SPECIAL_TOKENS
+    training.top_tokens(training.class_token_counts(train), size).write.parquet(path)
+    counts = spark.read.parquet(path)
+    vocabulary = encoding.build_vocabulary(counts)
+    weights = training.id_weights(vocabulary, training.log_likelihoods(counts))
+    load = bag_of_ids_model(weights, training.class_log_priors(train))
+    run = model_udf(load, width=MAX_LENGTH, columns=2)
+    encoded = encoding.encode(docs, vocabulary)
+    shares = encoded.withColumn("probabilities", run("input_ids", "attention_mask"))
+    return with_predictions(shares).select("doc_id", "predicted_id", "predicted_label", "confidence")
+
+
 def scores_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = F.posexplode_outer("all_scores").alias("place", "entry")
     return _bayes_scored(spark, sf_dir).select("doc_id", ranked).select(
@@ -435,6 +457,7 @@ QUERIES = {
     "vector_score_columns": vector_score_columns,
     "nb_model": nb_model,
     "predict_nb": predict_nb,
+    "predict_encoded": predict_encoded,
     "scores_ranked": scores_ranked,
     "scores_json_roundtrip": scores_json_roundtrip,
     "eval_accuracy": eval_accuracy,

@@ -94,12 +94,15 @@ ENCODED = f"""
     )
 """
 
-BAYES = f"""
+
+
+def _bayes(vocabulary_size: int = VOCABULARY_SIZE) -> str:
+    return f"""
     {TOKENS},
     counted AS (
         SELECT token, count(*) AS n, {_each("count(*) FILTER (label = {c}) AS n{c}")}
         FROM tok WHERE split = 'train' GROUP BY token
-        ORDER BY n DESC, token LIMIT {VOCABULARY_SIZE}
+        ORDER BY n DESC, token LIMIT {vocabulary_size}
     ),
     totals AS (SELECT count(*) AS v, {_each("sum(n{c}) AS t{c}")} FROM counted),
     sizes AS (
@@ -110,12 +113,16 @@ BAYES = f"""
         SELECT token, {_each("n{c}")}, {_each("ln((n{c} + 1.0) / (t{c} + v)) AS w{c}")}
         FROM counted, totals
     )
-"""
+    """
+
 
-SCORED = f"""
-    {BAYES},
+def _scored(vocabulary_size: int = VOCABULARY_SIZE, tokens: str = "tokens") -> str:
+    return f"""
+    {_bayes(vocabulary_size)},
+    used AS (SELECT doc_id, unnest({tokens}) AS token FROM listed),
     sums AS (
-        SELECT doc_id, {_each("sum(w{c}) AS s{c}")} FROM tok JOIN weights USING (token) GROUP BY doc_id
+        SELECT doc_id, {_each("sum(w{c}) AS s{c}")} FROM used JOIN weights USING (token)
+        GROUP BY doc_id
     ),
     raw AS (
         SELECT doc_id, label, split,
@@ -143,7 +150,11 @@ SCORED = f"""
     per_class AS (
         {_each("SELECT doc_id, {c} AS class_id, round(p{c}, 4) AS score FROM shares", " UNION ALL ")}
     )
-"""
+    """
+
+
+BAYES = _bayes()
+SCORED = _scored()
 
 RANKED = f"""
     WITH {SCORED}
@@ -323,6 +334,10 @@ ORACLES = {
         )}
     """,
     "predict_nb": PREDICTED,
+    "predict_encoded": f"""
+        WITH {_scored(VOCABULARY_SIZE - 4, "tokens[1:126]")}
+        SELECT doc_id, predicted_id, predicted_label, confidence FROM predicted
+    """,
     "scores_ranked": RANKED,
     "scores_json_roundtrip": RANKED,
     "eval_accuracy": f"""
