@@ -81,9 +81,10 @@ def id_weights(
 
     The driver gets one row per vocabulary token and class.
     """
-    rows = vocabulary.join(likelihoods, "token").select("token_id", "label", "log_prob").toPandas()
-    weights = np.zeros((int(rows["token_id"].max()) + 1, num_labels))
-    weights[rows["token_id"], rows["label"]] = rows["log_prob"]
+    rows = vocabulary.join(likelihoods, "token").select("token_id", "label", "log_prob").toArrow()
+    ids, labels, values = (rows[name].to_numpy() for name in rows.column_names)
+    weights = np.zeros((int(ids.max()) + 1, num_labels))
+    weights[ids, labels] = values
     return weights
 
 
@@ -118,12 +119,12 @@ def fit_naive_bayes(
     if vocabulary_size > BROADCAST_ROWS:
         raise ValueError(f"vocabulary_size may be at most {BROADCAST_ROWS}")
     sizes = _class_sizes(train, num_labels)
-    counts = top_tokens(class_token_counts(train, num_labels), vocabulary_size).toPandas()
+    counts = top_tokens(class_token_counts(train, num_labels), vocabulary_size).toArrow()
     spark = train.sparkSession
-    tokens = spark.createDataFrame(counts[["token"]], "token string")
+    tokens = spark.createDataFrame(counts.select(["token"]))
     vectorizer = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary_size)
     vectorizer = vectorizer.fit(tokens.select(F.array("token").alias("tokens")))
-    counts = counts.set_index("token").loc[vectorizer.vocabulary]
+    counts = counts.to_pandas().set_index("token").loc[vectorizer.vocabulary]
     rows = []
     for c, documents in enumerate(sizes):
         n = counts[f"n_{c}"].to_numpy()
