@@ -40,8 +40,9 @@ def train(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def score_table(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Score a table into a batch of the log and show what was accepted."""
-    rows = score(_read(spark, args), load_model(args.model), text=args.text, strict=args.strict)
+    """Score a table into a batch of the log and show how many rows were accepted."""
+    on_blank = "fail" if args.strict else "keep"
+    rows = score(_read(spark, args), load_model(args.model), text=args.text, on_blank=on_blank)
     prepared = prepare(rows, key=args.key, text=args.text)
     prediction_log.append(prepared, args.log, args.batch)
     outcome = prediction_log.batch_outcome(spark, args.log)

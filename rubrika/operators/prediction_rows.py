@@ -19,6 +19,7 @@ def prepare(df: DataFrame, key: str | None = None, text: str = "input_text") ->
 
     ``key`` names a source key; without one an id is made that is unique in the batch. A missing
     ``created_at`` column means now; a missing ``model_version`` column or value means the default.
+    A ``reason`` column, which says why a row has no prediction, is passed on.
     """
     has = set(df.columns)
     version = F.col("model_version") if "model_version" in has else F.lit(None).cast("string")
@@ -31,7 +32,8 @@ def prepare(df: DataFrame, key: str | None = None, text: str = "input_text") ->
         "model_version": F.coalesce(version, F.lit(DEFAULT_VERSION)),
         "created_at": F.col("created_at") if "created_at" in has else F.current_timestamp(),
     }
-    return df.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in PREDICTIONS])
+    rest = ["reason"] if "reason" in has else []
+    return df.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in PREDICTIONS], *rest)
 
 
 def rejection_reason() -> Column:
@@ -52,6 +54,7 @@ def rejection_reason() -> Column:
 
 def validate(rows: DataFrame) -> DataFrame:
     """All rows, with ``reason`` and ``status`` (accepted or rejected)."""
-    return rows.withColumn("reason", rejection_reason()).withColumn(
+    given = [F.col("reason")] if "reason" in rows.columns else []
+    return rows.withColumn("reason", F.coalesce(*given, rejection_reason())).withColumn(
         "status", F.when(F.col("reason").isNull(), F.lit("accepted")).otherwise("rejected")
     )

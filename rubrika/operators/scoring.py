@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from rubrika.functions import scores
 from rubrika.functions.labels import label_name
 from rubrika.operators.encoding import with_tokens
-from rubrika.operators.guard import require_text, split_blank
+from rubrika.operators.guard import flag_blank, require_text, split_blank
 from rubrika.schemas import LABELS
 
 PREDICTION_COLUMNS = ("predicted_id", "predicted_label", "confidence", "all_scores")
@@ -27,16 +27,14 @@ def with_predictions(
     names: Sequence[str] = LABELS,
     ranked: bool = True,
 ) -> DataFrame:
-    """Adds the prediction columns from an array of class probabilities.
+    """Adds the prediction columns from an array of class probabilities; null gives nulls.
 
     ``ranked=False`` leaves out the score list, which needs a name for every class.
     """
     p = F.col(probabilities)
+    name = F.when(p.isNotNull(), label_name(F.col("predicted_id"), names))
     out = df.withColumn("predicted_id", scores.predicted_id(p)).withColumns(
-        {
-            "predicted_label": label_name(F.col("predicted_id"), names),
-            "confidence": scores.confidence(p),
-        }
+        {"predicted_label": name, "confidence": scores.confidence(p)}
     )
     if ranked:
         out = out.withColumn("all_scores", scores.ranked_scores(p, names))
@@ -48,20 +46,29 @@ def score(
     model: PipelineModel,
     text: str = "text",
     clean: bool = True,
-    strict: bool = False,
+    on_blank: str = "drop",
     names: Sequence[str] = LABELS,
     keep_probabilities: bool = False,
 ) -> DataFrame:
-    """Scores the non-blank texts of ``df``, batch or stream, in one pass without a shuffle.
+    """Scores the texts of ``df``, batch or stream, in one pass without a shuffle.
 
-    ``strict`` fails on a blank text instead of leaving its row out; ``split_blank`` gives the
-    rows left out. ``clean=False`` scores the raw text.
+    ``on_blank`` says what becomes of blank texts: ``drop`` leaves their rows out, ``fail`` fails
+    the query, and ``keep`` passes them on without a prediction and with a ``reason``, so that the
+    log sets them aside. ``clean=False`` scores the raw text.
     """
-    kept = require_text(df, text) if strict else split_blank(df, text)[0]
-    scored = model.transform(with_tokens(kept, text, clean))
-    scored = scored.withColumn("probabilities", vector_to_array("probability"))
-    scored = with_predictions(scored, names=names)
     extra = ["probabilities"] if keep_probabilities else []
+    share = vector_to_array("probability")
+    if on_blank == "keep":
+        rows, extra = flag_blank(df, text), [*extra, "reason"]
+        share = F.when(F.col("reason").isNull(), share)
+    elif on_blank == "fail":
+        rows = require_text(df, text)
+    elif on_blank == "drop":
+        rows = split_blank(df, text)[0]
+    else:
+        raise ValueError(f"on_blank is drop, fail or keep, not {on_blank}")
+    scored = model.transform(with_tokens(rows, text, clean)).withColumn("probabilities", share)
+    scored = with_predictions(scored, names=names)
     return scored.select(*df.columns, *PREDICTION_COLUMNS, *extra)
 
 
@@ -70,7 +77,7 @@ def batch_predict(
 ) -> DataFrame:
     """Scores texts the caller holds, numbered by ``position``; any blank one fails the call."""
     df = spark.createDataFrame(list(enumerate(texts)), "position long, text string")
-    return score(df, model, strict=True, **options)
+    return score(df, model, on_blank="fail", **options)
 
 
 def predict(spark: SparkSession, model: PipelineModel, text: str, **options) -> dict:

@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, over all cores even where it is small."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def language_class(lang: Column) -> Column:
     """The language as class id from 0."""
     return F.array_position(F.array(*[F.lit(x) for x in LANGUAGES]), lang).cast("int") - 1
@@ -35,7 +40,7 @@ def language_class(lang: Column) -> Column:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their language as class, and a train / test split."""
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = texts(spark, sf_dir, "documents", "doc_id")
     return with_split(docs.select("doc_id", "text", language_class(F.col("lang")).alias("label")))
 
 

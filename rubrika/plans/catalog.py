@@ -29,7 +29,7 @@ from rubrika.plans import bindings as b
 from rubrika.schemas import MAX_LENGTH, VOCABULARY_SIZE
 from rubrika.session import shared_folder
 from rubrika.sources import prediction_log
-from rubrika.sources.corpus import head, train_and_test
+from rubrika.sources.corpus import head, read_corpus, train_and_test
 from rubrika.sources.models import load_model, save_model
 from rubrika.streaming import stats
 from rubrika.streaming.score import score_to_log
@@ -54,6 +54,17 @@ def corpus_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.corpus(spark, sf_dir).select("doc_id", "label", "split")
 
 
+def corpus_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus written in other formats and read back by its schema."""
+    docs = b.corpus(spark, sf_dir).drop("split")
+    found = []
+    for source in ("json", "orc"):
+        path = shared_folder(spark, f"corpus-{source}")
+        docs.write.format(source).save(path)
+        found.append(read_corpus(spark, path, source).withColumn("source", F.lit(source)))
+    return found[0].unionByName(found[1])
+
+
 def subset_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = train_and_test(b.corpus(spark, sf_dir))
     train, test = head(train, test, HEAD_SIZE)
@@ -65,12 +76,12 @@ def subset_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = b.table(spark, sf_dir, "documents")
+    docs = b.texts(spark, sf_dir, "documents", "doc_id")
     return docs.select("doc_id", clean_text(F.col("text")).alias("clean"))
 
 
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = b.table(spark, sf_dir, "pages")
+    pages = b.texts(spark, sf_dir, "pages", "page_id")
     return pages.select("page_id", clean_text(F.col("html")).alias("clean"))
 
 
@@ -82,7 +93,7 @@ def clean_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combine_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = b.table(spark, sf_dir, "documents")
+    docs = b.texts(spark, sf_dir, "documents", "doc_id")
     text = F.col("text")
     return docs.select(
         "doc_id",
@@ -386,7 +397,7 @@ def categorize_and_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows carry the time of the run, so the batch has one day and needs no shuffle to be written.
     """
     path = shared_folder(spark, "log")
-    rows = prepare(_bayes_scored(spark, sf_dir), key="doc_id", text="text")
+    rows = prepare(_bayes_scored(spark, sf_dir, on_blank="keep"), key="doc_id", text="text")
     prediction_log.append(rows, path, batch_id=1)
     return analytics.category_stats(prediction_log.read_log(spark, path)).drop("last_seen")
 
@@ -440,6 +451,7 @@ def stream_daily_volume_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "categorize_and_log": categorize_and_log,
     "corpus_split": corpus_split,
+    "corpus_formats": corpus_formats,
     "subset_head": subset_head,
     "clean_documents": clean_documents,
     "clean_pages": clean_pages,

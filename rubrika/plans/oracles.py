@@ -258,6 +258,9 @@ ORACLES = {
         FROM predicted GROUP BY predicted_label
     """,
     "corpus_split": f"SELECT doc_id, {LANG_CLASS} AS label, {SPLIT} AS split FROM documents",
+    "corpus_formats": f"""
+        SELECT doc_id, text, {LANG_CLASS} AS label, unnest(['json', 'orc']) AS source FROM documents
+    """,
     "subset_head": f"""
         WITH docs AS (SELECT {SPLIT} AS split, doc_id, {LANG_CLASS} AS label FROM documents),
         placed AS (

@@ -24,10 +24,10 @@ def score_to_log(
 ) -> StreamingQuery:
     """Starts a query that scores each micro-batch and writes it as one batch of the log.
 
-    Scoring has no state and no shuffle. The micro-batch id names the batch, from ``first_batch``
+    Scoring has no state and no shuffle; blank texts go to the rejected rows. The micro-batch id names the batch, from ``first_batch``
     on, so a replay after a failure replaces what it wrote before.
     """
-    rows = prepare(score(articles, model, text=text), key=key, text=text)
+    rows = prepare(score(articles, model, text=text, on_blank="keep"), key=key, text=text)
 
     def write(batch: DataFrame, epoch: int) -> None:
         append(batch, log_path, first_batch + epoch, rebalance)

@@ -11,7 +11,9 @@ from rubrika.functions import scores
 from rubrika.operators import scoring, training
 from rubrika.operators.encoding import with_tokens
 from rubrika.operators.evaluation import evaluate
+from rubrika.operators.prediction_rows import prepare
 from rubrika.schemas import LABELS
+from rubrika.sources import prediction_log
 from rubrika.sources.models import load_model, save_model
 
 random.seed(11)
@@ -110,6 +112,21 @@ def test_blank_rows_stay_out_of_tables(spark, bayes):
     df = spark.createDataFrame([(1, "goal"), (2, " "), (3, None)], "doc_id long, text string")
     assert [r.doc_id for r in scoring.score(df, bayes).collect()] == [1]
     assert scoring.score(df, bayes).columns == ["doc_id", "text", *scoring.PREDICTION_COLUMNS]
+    with pytest.raises(ValueError, match="on_blank"):
+        scoring.score(df, bayes, on_blank="skip")
+
+
+def test_blank_rows_can_be_kept_aside(spark, bayes, tmp_path):
+    df = spark.createDataFrame([(1, "goal"), (2, " "), (3, None)], "doc_id long, text string")
+    kept = scoring.score(df, bayes, on_blank="keep")
+    found = {r.doc_id: (r.predicted_label, r.confidence is None, r.reason) for r in kept.collect()}
+    assert found[1][0] is not None and found[1][1:] == (False, None)
+    assert found[2] == found[3] == (None, True, "text is blank")
+    path = str(tmp_path / "log")
+    prediction_log.append(prepare(kept, key="doc_id", text="text"), path, 1)
+    rejected = prediction_log.read_rejected(spark, path).collect()
+    assert {(r.id, r.reason) for r in rejected} == {(2, "text is blank"), (3, "text is blank")}
+    assert [r.id for r in prediction_log.read_log(spark, path).collect()] == [1]
 
 
 def test_prediction_contract(spark, bayes):

@@ -40,6 +40,10 @@ def test_stream_scores_like_a_batch(spark, model, tmp_path):
     assert stored.select("batch_id").distinct().count() == 3
     assert sorted(stored.select(columns).collect()) == sorted(scored.select(columns).collect())
 
+    rejected = prediction_log.read_rejected(spark, log)
+    assert {r.reason for r in rejected.collect()} == {"text is blank"}
+    assert stored.count() + rejected.count() == df.count()
+
     start()
     assert prediction_log.read_log(spark, log).count() == scored.count()
 
