@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rubrika.operators.prediction_rows import prepare
 from rubrika.operators.scoring import score
+from rubrika.sources.corpus import spread
 from rubrika.sources.prediction_log import append
 
 
@@ -24,16 +25,19 @@ def score_to_log(
 ) -> StreamingQuery:
     """Starts a query that scores each micro-batch and writes it as one batch of the log.
 
-    Scoring has no state and no shuffle; blank texts go to the rejected rows. The micro-batch id names the batch, from ``first_batch``
-    on, so a replay after a failure replaces what it wrote before.
+    A micro-batch is handled as any table is: scoring keeps no state, blank texts go to the
+    rejected rows, and only a micro-batch of fewer splits than cores is spread by key. The
+    micro-batch id names the batch, from ``first_batch`` on, so a replay after a failure replaces
+    what it wrote before.
     """
-    rows = prepare(score(articles, model, text=text, on_blank="keep"), key=key, text=text)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        append(batch, log_path, first_batch + epoch, rebalance)
+        scored = score(spread(batch, key), model, text=text, on_blank="keep")
+        rows = prepare(scored, key=key, text=text)
+        append(rows, log_path, first_batch + epoch, rebalance)
 
     return (
-        rows.writeStream.foreachBatch(write)
+        articles.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
