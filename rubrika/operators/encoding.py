@@ -73,17 +73,21 @@ def encode(
 ) -> DataFrame:
     """``input_ids`` and ``attention_mask`` per document: start, tokens, end, padding.
 
-    Tokens past ``max_length`` are cut, as in the model's input. ``vocabulary`` should be a stored
+    Tokens past ``max_length`` are cut, as in the model's input. ``key`` must be unique; texts of
+    one key that together pass the length fail the query. ``vocabulary`` should be a stored
     table: its rows are counted to choose the join. Only the key and ids travel: ids of one
     document meet in the task that split it, so the shuffle carries one array per document and
     no text.
     """
+    room = max_length - 2
     pieces = df.select(
-        key, F.posexplode_outer(F.slice("tokens", 1, max_length - 2)).alias("pos", "token")
+        key, F.posexplode_outer(F.slice("tokens", 1, room)).alias("pos", "token")
     )
     found = F.when(F.col("token").isNotNull(), F.coalesce("token_id", F.lit(UNK)))
     placed = F.when(found.isNotNull(), F.struct("pos", found.alias("id")))
     ordered = F.array_sort(F.collect_list(placed))
+    repeated = F.raise_error(F.concat(F.lit(f"{key} is not unique: "), F.col(key).cast("string")))
+    ordered = F.when(F.size(ordered) > room, repeated).otherwise(ordered)
     ids = F.concat(
         F.array(F.lit(CLS)), F.transform(ordered, lambda s: s["id"]), F.array(F.lit(SEP))
     )

@@ -36,6 +36,7 @@ from rubrika.streaming.score import score_to_log
 
 HEAD_SIZE = 500
 LATENESS = "1 hour"
+STATE_PARTITIONS = 8
 LOGISTIC_GRID = ((2, 0.01), (10, 0.01), (10, 0.1))
 
 
@@ -411,6 +412,17 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of predictions, in a session of few shuffle partitions.
+
+    Statistics combine in the tasks and keep a row per label or day, while every partition is a
+    state store that each micro-batch opens and commits.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
+    return b.predictions(_stream(session, sf_dir, "events"))
+
+
 def stream_score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream, scored into the log."""
     path, checkpoint = shared_folder(spark, "log"), shared_folder(spark, "offsets")
@@ -430,20 +442,20 @@ def _running(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
 
 
 def stream_category_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = b.predictions(_stream(spark, sf_dir, "events"))
+    events = _event_stream(spark, sf_dir)
     counted = _running(spark, stats.running_category_stats(events), "complete")
     return counted.withColumn("last_seen", _time("last_seen"))
 
 
 def stream_daily_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = b.predictions(_stream(spark, sf_dir, "events"))
+    events = _event_stream(spark, sf_dir)
     days = _running(spark, stats.daily_volume_by_window(events), "complete")
     return days.withColumn("prediction_date", _date("prediction_date"))
 
 
 def stream_daily_volume_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that are final under a watermark."""
-    events = b.predictions(_stream(spark, sf_dir, "events"))
+    events = _event_stream(spark, sf_dir)
     days = _running(spark, stats.daily_volume_by_window(events, LATENESS), "append")
     return days.withColumn("prediction_date", _date("prediction_date"))
 

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.errors import PySparkException
 
 from rubrika.operators import encoding
 
@@ -49,6 +50,12 @@ def test_encode(docs, vocabulary, pad, broadcast_rows):
     }
 
 
+def test_a_repeated_key_fails(spark, vocabulary):
+    df = spark.createDataFrame([(1, "w0 " * 100), (1, "w1 " * 100)], "doc_id long, text string")
+    with pytest.raises(PySparkException, match="doc_id is not unique: 1"):
+        encoding.encode(encoding.with_tokens(df), vocabulary).collect()
+
+
 def test_short_length(docs, vocabulary):
     rows = encoding.encode(docs, vocabulary, max_length=5).collect()
     assert {len(r.input_ids) for r in rows} == {len(r.attention_mask) for r in rows} == {5}

@@ -64,7 +64,8 @@ def test_edges_are_accepted(spark):
 
 
 def test_prepare_fills_in(spark):
-    df = spark.createDataFrame([("x" * 5000, "World", 0.5)], "t string, predicted_label string, confidence double")
+    schema = "t string, predicted_label string, confidence double"
+    df = spark.createDataFrame([("x" * 5000, "World", 0.5)], schema)
     row = prepare(df, text="t").first()
     assert len(row.input_text) == 4000 and row.model_version == "v1.0"
     assert row.created_at is not None and row.id is not None and row.all_scores is None

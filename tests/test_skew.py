@@ -43,9 +43,10 @@ def test_hot_token_in_both_joins(docs, spark):
 
 
 def test_hot_day_and_label(spark, tmp_path):
+    days = [datetime(2024, 1, 1 + (i % 29 if i % 2 else 0)) for i in range(N)]
     rows = [
-        (i, "t", "World" if i % 3 else "Sports", 0.5, None, "v1.0", datetime(2024, 1, 1 + (i % 29 if i % 2 else 0)))
-        for i in range(N)
+        (i, "t", "World" if i % 3 else "Sports", 0.5, None, "v1.0", day)
+        for i, day in enumerate(days)
     ]
     path = str(tmp_path / "log")
     df = spark.createDataFrame(rows, PREDICTIONS).repartition(8)
