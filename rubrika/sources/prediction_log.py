@@ -24,6 +24,14 @@ def create_log(spark: SparkSession, path: str) -> None:
     empty.write.mode("ignore").partitionBy("batch_id", *PARTITIONS).parquet(path)
 
 
+def batch_rows(rows: DataFrame, rebalance: bool = False) -> DataFrame:
+    """Prepared rows, checked and dated, as ``append`` writes them."""
+    checked = validate(rows).withColumn("prediction_date", utc_date(F.col("created_at")))
+    if rebalance:
+        checked = checked.hint("rebalance", *[F.col(name) for name in PARTITIONS])
+    return checked
+
+
 def append(rows: DataFrame, path: str, batch_id: int, rebalance: bool = False) -> None:
     """Checks prepared rows and writes them as one batch.
 
@@ -31,10 +39,8 @@ def append(rows: DataFrame, path: str, batch_id: int, rebalance: bool = False) -
     ``rebalance`` first gathers the rows of each day, which saves one small file per task and day;
     adaptive execution splits a day that holds most of the rows.
     """
-    checked = validate(rows).withColumn("prediction_date", utc_date(F.col("created_at")))
-    if rebalance:
-        checked = checked.hint("rebalance", *[F.col(name) for name in PARTITIONS])
-    checked.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{path}/batch_id={batch_id}")
+    writer = batch_rows(rows, rebalance).write.mode("overwrite").partitionBy(*PARTITIONS)
+    writer.parquet(f"{path}/batch_id={batch_id}")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:

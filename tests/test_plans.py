@@ -65,6 +65,12 @@ def test_date_filter_prunes_the_log(spark):
     assert re.search(r"PartitionFilters: .*prediction_date#\d+ >= ", recent)
 
 
+def test_a_batch_is_shuffled_only_on_request(spark):
+    rows = bindings.event_log(spark, SF_DIR)
+    assert "Exchange" not in plan(prediction_log.batch_rows(rows))
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(prediction_log.batch_rows(rows, rebalance=True))
+
+
 def test_encoding_joins_by_broadcast_and_moves_no_text(spark):
     docs = encoding.with_tokens(bindings.table(spark, SF_DIR, "documents").select("doc_id", "text"))
     words = spark.createDataFrame([("the", 4)], "token string, token_id int")
