@@ -142,11 +142,11 @@ WITH RECURSIVE w AS (
     SELECT g FROM sets GROUP BY g HAVING count(*) > 1
 ), shared AS (
     SELECT doc_id, g FROM sets SEMI JOIN rare USING (g)
-), both AS (
+), pairs AS (
     SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
     FROM shared a JOIN shared b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
-    SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+    SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
     WHERE 100 * k >= 75 * (x.n + y.n - k)
 ), edges AS (
     SELECT a, b FROM links UNION ALL SELECT b, a FROM links

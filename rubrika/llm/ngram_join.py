@@ -368,7 +368,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stored(light_links(sets, boundary), "light-links")
     lists = stored(shared_lists(sets, boundary), "lists")
     for k in range(LEADER_ROUNDS):
-        pairs = stored(leader_pairs(_with_components(lists, links), sizes, k % 2 == 1), "pairs")
+        known = _with_components(lists, links if k else None)
+        pairs = stored(leader_pairs(known, sizes, k % 2 == 1), "pairs")
         links = stored(links.union(verified(sets, pairs)), "leader-links")
     rest = stored(remaining_pairs(_with_components(lists, links).join(sizes, "node")), "pairs")
     links = stored(links.union(verified(sets, rest)), "all-links")
