@@ -49,7 +49,6 @@ SEGMENTS = 64
 LIGHT_LIMIT = 24  # light sets have at most so many shingles, whatever the costs
 VERIFY_COST = 4  # rows that a posting costs beside itself
 FILTER_BITS = 24
-LEADER_ROUNDS = 2
 SETS = "doc_id long, n long, node long, proof long, elems binary"
 
 
@@ -248,18 +247,19 @@ def _shared_lists(group: pd.DataFrame) -> pd.DataFrame:
     same = h[1:] == h[:-1]
     inside = np.concatenate(([False], same)) | np.concatenate((same, [False]))
     rows = pd.DataFrame({"h": h[inside], "node": nodes[inside]}).drop_duplicates()
-    return rows[rows.duplicated("h", keep=False)]
+    rows = rows[rows.duplicated("h", keep=False)]
+    return rows.assign(leader=rows.groupby("h")["node"].transform("min"))
 
 
 def shared_lists(sets: DataFrame, boundary: int) -> DataFrame:
-    """``h, node``: inverted lists over the first shingles of heavy sets, and of light ones that
+    """``h, node, leader`` (smallest node of the list): inverted lists over the first shingles of heavy sets, and of light ones that
     may link with them, without the lists of one node. They travel packed: 14 bytes a posting."""
     buckets = 4 * shuffle_partitions(sets.sparkSession)
     least = max(1, -(-3 * (boundary + 1) // 4))
     packed = sets.select("n", "node", "elems").mapInArrow(
         lambda b: _posting_rows(b, least, buckets), "bucket int, h binary, nodes binary"
     )
-    return packed.groupBy("bucket").applyInPandas(_shared_lists, "h long, node long")
+    return packed.groupBy("bucket").applyInPandas(_shared_lists, "h long, node long, leader long")
 
 
 def _among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -298,24 +298,28 @@ def _linked(n: pd.Series, left: pd.Series, m: pd.Series, right: pd.Series) -> pd
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, counted on the whole sets."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    whole = stored(_among(sets, nodes), "verify")
+    whole = _among(sets, nodes)
     left = whole.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("elems").alias("e_a"))
     right = whole.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("elems").alias("e_b"))
     linked = F.pandas_udf(_linked, "boolean")
     return pairs.join(left, "a").join(right, "b").where(linked("n_a", "e_a", "n_b", "e_b")).select("a", "b")
 
 
-def leader_pairs(lists: DataFrame, sizes: DataFrame, largest: bool) -> DataFrame:
-    """Each node with the node that leads most of its lists. ``lists``: h, node, component; the
-    leader is the smallest or largest node of a list, and only one of another component counts."""
-    leader = (F.max if largest else F.min)("node").alias("leader")
-    led = lists.join(lists.groupBy("h").agg(leader), "h").where("node <> leader")
-    by = led.groupBy("node", "leader", "component").agg(F.count("*").alias("times"))
-    best = by.groupBy("node", "component").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
-    other = lists.select(F.col("node").alias("leader"), F.col("component").alias("its")).distinct()
-    best = best.join(other, "leader").where("component <> its")
-    pairs = best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    return _of_near_sizes(pairs, sizes)
+def _best_leaders(led: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each node with the leader of most of its lists, where their sizes allow a link."""
+    by = led.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("times"))
+    best = by.groupBy("node").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
+    pairs = best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    return _of_near_sizes(pairs.distinct(), sizes)
+
+
+def _lead_across(lists: DataFrame) -> DataFrame:
+    """``node, leader`` over mixed lists (h, node, component): the leader is the largest node of a
+    list, and only nodes of other components count."""
+    top = lists.groupBy("h").agg(
+        F.max("node").alias("leader"), F.max_by("component", "node").alias("its")
+    )
+    return lists.join(top, "h").where("component <> its").select("node", "leader")
 
 
 def _of_near_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -325,13 +329,12 @@ def _of_near_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).drop("n_a", "n_b")
 
 
-def remaining_pairs(lists: DataFrame) -> DataFrame:
+def remaining_pairs(lists: DataFrame, sizes: DataFrame) -> DataFrame:
     """Pairs of different components in a common list that share enough of their first shingles.
-    ``lists``: h, node, component, n. The set whose last posted shingle comes first in the common
+    ``lists``: h, node, component. The set whose last posted shingle comes first in the common
     order has posted all it shares up to there, so at most ceil(0.75 n) - 1 more can be common; with
     the larger n this bound holds for either."""
-    mixed = lists.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    lists = stored(lists.join(mixed.where("lo <> hi").select("h"), "h"), "mixed-lists")
+    lists = lists.join(sizes, "node")
     left = lists.select("h", F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
     right = lists.select("h", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
     pairs = left.join(right, "h").where(
@@ -344,11 +347,13 @@ def remaining_pairs(lists: DataFrame) -> DataFrame:
     return shared.where(f"7 * (shared + {more}) >= 3 * (n_a + n_b)").select("a", "b")
 
 
-def _with_components(lists: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return lists.withColumn("component", F.col("node"))
+def mixed_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """``h, node, component`` of the lists that hold more than one component."""
     labels = components(links).withColumnRenamed("label", "component")
-    return lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lists = lists.select("h", "node").join(labels, "node", "left")
+    lists = lists.withColumn("component", F.coalesce("component", "node"))
+    mixed = lists.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return stored(lists.join(mixed.where("lo <> hi").select("h"), "h", "left_semi"), "mixed-lists")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -367,11 +372,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     boundary = light_boundary({row["n"]: row["count"] for row in counts})
     links = stored(light_links(sets, boundary), "light-links")
     lists = stored(shared_lists(sets, boundary), "lists")
-    for k in range(LEADER_ROUNDS):
-        known = _with_components(lists, links if k else None)
-        pairs = stored(leader_pairs(known, sizes, k % 2 == 1), "pairs")
-        links = stored(links.union(verified(sets, pairs)), "leader-links")
-    rest = stored(remaining_pairs(_with_components(lists, links).join(sizes, "node")), "pairs")
+    pairs = stored(_best_leaders(lists.select("node", "leader"), sizes), "pairs")
+    links = stored(links.union(verified(sets, pairs)), "leader-links")
+    lists = mixed_lists(lists, links)
+    pairs = stored(_best_leaders(_lead_across(lists), sizes), "pairs")
+    links = stored(links.union(verified(sets, pairs)), "leader-links")
+    rest = stored(remaining_pairs(mixed_lists(lists, links), sizes), "pairs")
     links = stored(links.union(verified(sets, rest)), "all-links")
     labels = components(links)
     members = sets.select("doc_id", "n", "node").join(labels, "node", "left")
