@@ -2,7 +2,8 @@
 
 A single space between two characters that are no white space always ends a pre-token of the two
 tokenizers used here, so a text may be cut there, each piece encoded alone and the ids joined.
-Texts with any other white space beside a space are cut at the safe spaces only.
+Texts with any other white space beside a space are cut at the safe spaces only. A full stop, comma,
+colon or semicolon that ends a piece after a letter is encoded apart, as the tokenizers do.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ WORD_LEVEL = "word_bpe_49k.json"
 MEMO = 400_000  # pieces in the younger of the two memories of a worker
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r" \s|\s |^ | $")
+_MARKS = (".", ",", ";", ":")
+_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 _workers: dict[str, "PieceEncoder"] = {}
 
 
@@ -31,17 +34,32 @@ class PieceEncoder:
         self.keeps_space = name != WORD_LEVEL
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks = {
+            m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in _MARKS
+        }
 
     def pieces(self, text: str) -> list[str]:
-        if "\n" in text and not self.keeps_space:
+        try:
+            text.encode("latin-1")
+            latin = True
+        except UnicodeEncodeError:
+            latin = False
+        if not self.keeps_space:
+            # White space of any kind only parts words here, and case does not count. Lower case
+            # is taken early where Python and the tokenizer agree on it.
+            if latin:
+                text = text.lower()
             text = text.replace("\n", " ")
-        parts = _SAFE.split(text) if _ODD.search(text) else text.split(" ")
-        if self.keeps_space and len(parts) > 1:
+        if latin:
+            odd = "  " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _BLANKS)
+            odd = odd or (self.keeps_space and ("\n " in text or " \n" in text))
+        else:
+            odd = _ODD.search(text) is not None
+        parts = _SAFE.split(text) if odd else text.split(" ")
+        if self.keeps_space:
             # No space stands before the first piece: a mark keeps it apart in the memory. Other
             # pieces never begin with white space.
             parts[0] = " " + parts[0]
-        elif self.keeps_space:
-            parts = [" " + text]
         return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -51,21 +69,36 @@ class PieceEncoder:
         if len(young) > MEMO:
             old = self.old = young
             young = self.young = {}
-        fresh = []
+        fresh, marked = [], []
         for p in set().union(*parts).difference(young):
             if p in old:
                 young[p] = old[p]
+            elif p[-1:] in _MARKS and p[-2:-1].isalpha():
+                # A mark after a letter is a pre-token of its own.
+                marked.append(p)
             else:
                 fresh.append(p)
+        self._learn(fresh)
+        if marked:
+            stems = {p[:-1] for p in marked}.difference(young)
+            for p in [p for p in stems if p in old]:
+                young[p] = old[p]
+                stems.discard(p)
+            self._learn(list(stems))
+            for p in marked:
+                young[p] = young[p[:-1]] + self.marks[p[-1]]
+        return [b"".join(map(young.__getitem__, part)) for part in parts]
+
+    def _learn(self, fresh: list[str]) -> None:
+        young = self.young
         for at in range(0, len(fresh), 2048):
             part = fresh[at : at + 2048]
             raw = part
             if self.keeps_space:
-                raw = [p[1:] if p[0] == " " else " " + p for p in part]
+                raw = [p[1:] if p[:1] == " " else " " + p for p in part]
             found = self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)
             for p, e in zip(part, found):
                 young[p] = array("I", e.ids).tobytes()
-        return [b"".join(map(young.__getitem__, part)) for part in parts]
 
 
 def encoder(name: str) -> PieceEncoder:
