@@ -13,8 +13,8 @@ The boundary is the size at which the rows of both ways together are fewest, fro
 sizes. Light sets that may link with heavy ones are posted as well.
 
 Equal sets are one node from the start. A list of k sets that are all alike would give k * k pairs,
-so nodes are first linked with one leader each, the set that leads most of their lists; after two
-rounds of that, lists are scanned in full, but only for pairs in different components, since a
+so nodes are first linked with one leader each, the set that leads most of their lists: the smallest
+node of a list at first, then twice the one that meets most others. After that, lists are scanned in full, but only for pairs in different components, since a
 pair in one component cannot change the result. No link between different components is lost.
 
 Shingles have 64-bit hashes, cut to 48 bits for counting overlaps (a false match within a pair of
@@ -49,6 +49,7 @@ SEGMENTS = 64
 LIGHT_LIMIT = 24  # light sets have at most so many shingles, whatever the costs
 VERIFY_COST = 4  # rows that a posting costs beside itself
 FILTER_BITS = 24
+CENTRE_ROUNDS = 2
 SETS = "doc_id long, n long, node long, proof long, elems binary"
 
 
@@ -314,12 +315,16 @@ def _best_leaders(led: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _lead_across(lists: DataFrame) -> DataFrame:
-    """``node, leader`` over mixed lists (h, node, component): the leader is the largest node of a
-    list, and only nodes of other components count."""
-    top = lists.groupBy("h").agg(
-        F.max("node").alias("leader"), F.max_by("component", "node").alias("its")
+    """``node, leader`` over mixed lists (h, node, component, length): the leader is the node of a
+    list that meets most others in all its lists, such as the text that a group was copied from;
+    only nodes of other components count."""
+    weights = lists.groupBy("node").agg(F.sum("length").alias("weight"))
+    weighed = lists.join(weights, "node")
+    top = weighed.groupBy("h").agg(
+        F.max_by(F.struct(F.col("node").alias("leader"), F.col("component").alias("its")), F.struct("weight", "node")).alias("top")
     )
-    return lists.join(top, "h").where("component <> its").select("node", "leader")
+    led = lists.join(top.select("h", "top.leader", "top.its"), "h")
+    return led.where("component <> its").select("node", "leader")
 
 
 def _of_near_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -348,12 +353,14 @@ def remaining_pairs(lists: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def mixed_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """``h, node, component`` of the lists that hold more than one component."""
+    """``h, node, component, length`` of the lists that hold more than one component."""
     labels = components(links).withColumnRenamed("label", "component")
     lists = lists.select("h", "node").join(labels, "node", "left")
     lists = lists.withColumn("component", F.coalesce("component", "node"))
-    mixed = lists.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return stored(lists.join(mixed.where("lo <> hi").select("h"), "h", "left_semi"), "mixed-lists")
+    mixed = lists.groupBy("h").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")
+    )
+    return stored(lists.join(mixed.where("lo <> hi").select("h", "length"), "h"), "mixed-lists")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -374,9 +381,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = stored(shared_lists(sets, boundary), "lists")
     pairs = stored(_best_leaders(lists.select("node", "leader"), sizes), "pairs")
     links = stored(links.union(verified(sets, pairs)), "leader-links")
-    lists = mixed_lists(lists, links)
-    pairs = stored(_best_leaders(_lead_across(lists), sizes), "pairs")
-    links = stored(links.union(verified(sets, pairs)), "leader-links")
+    for _ in range(CENTRE_ROUNDS):
+        lists = mixed_lists(lists, links)
+        pairs = stored(_best_leaders(_lead_across(lists), sizes), "pairs")
+        links = stored(links.union(verified(sets, pairs)), "leader-links")
     rest = stored(remaining_pairs(mixed_lists(lists, links), sizes), "pairs")
     links = stored(links.union(verified(sets, rest)), "all-links")
     labels = components(links)
