@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubrika.llm.common import stored
-from rubrika.llm.tokenizing import BYTE_LEVEL, encode_bounded
+from rubrika.llm.tokenizing import BYTE_LEVEL, encode_column
 
 LENGTH = 2048
 END_ID = 1
@@ -133,11 +133,8 @@ def _documents(tokenizer: str):
     end = END_ID.to_bytes(4, "little")
 
     def items(batch):
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            for doc_id, raw in zip(part.column(0).to_pylist(), encode_bounded(tokenizer, texts)):
-                yield doc_id, 0, len(raw) // 4 + 1, raw + end
+        for doc_id, raw in zip(batch.column(0).to_pylist(), encode_column(tokenizer, batch.column(1))):
+            yield doc_id, 0, len(raw) // 4 + 1, raw + end
 
     return items
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rubrika.llm.tokenizing import WORD_LEVEL, encode_bounded
+from rubrika.llm.tokenizing import WORD_LEVEL, encode_column, encode_texts
 
 MAGIC = b"RBTF0001"
 END_ID = 2
@@ -56,7 +56,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str = WORD_LEVEL) -> bytes:
         .select("text")
         .collect()
     )
-    arrays = [_with_end(x) for x in encode_bounded(tokenizer, [row["text"] for row in sample])]
+    arrays = [_with_end(x) for x in encode_texts(tokenizer, [row["text"] for row in sample])]
     total = sum(map(len, arrays))
     try:
         size = min(DICTIONARY_BYTES, total // 8)
@@ -88,14 +88,12 @@ def _write_shard(batches, folder: str, tokenizer: str, dictionary: bytes) -> Ite
         ids = batch.column(0)
         keys.append(ids.fill_null(0).to_numpy(zero_copy_only=False))
         nulls.append(ids.is_null().to_numpy(zero_copy_only=False))
-        for i in range(0, batch.num_rows, 256):
-            texts = [t or "" for t in batch.column(1).slice(i, 256).to_pylist()]
-            for raw in encode_bounded(tokenizer, texts):
-                frame = packer.compress(_with_end(raw))
-                out.write(frame)
-                places.append(at)
-                counts.append(len(raw) // 4 + 1)
-                at += len(frame)
+        for raw in encode_column(tokenizer, batch.column(1)):
+            frame = packer.compress(_with_end(raw))
+            out.write(frame)
+            places.append(at)
+            counts.append(len(raw) // 4 + 1)
+            at += len(frame)
     if out is None:
         return
     out.write(np.concatenate(keys).astype("<i8").tobytes())

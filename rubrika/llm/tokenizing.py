@@ -1,29 +1,50 @@
 """Ids of whole texts with a public tokenizer, each distinct piece encoded once per worker.
 
-A single space between two characters that are no white space always ends a pre-token of the two
-tokenizers used here, so a text may be cut there, each piece encoded alone and the ids joined.
-Texts with any other white space beside a space are cut at the safe spaces only. A full stop, comma,
-colon or semicolon that ends a piece after a letter is encoded apart, as the tokenizers do.
+Texts are cut where the tokenizers always end a pre-token, each distinct piece is encoded alone, and
+the ids are put together with numpy. For the tokenizer that drops white space, pieces are the words.
+For the byte-level one they are cut before a single space, around a single line feed, and, for both,
+between an ASCII letter and a full stop, comma, colon or semicolon. Texts that hold white space other
+than space and line feed are not cut by the byte-level one but encoded whole.
+
+Pieces are told apart by 64-bit hashes; a worker remembers ``MEMO`` pieces, then starts anew.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from array import array
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+
+from rubrika.llm.common import slices, utf8
+from rubrika.llm.words import SPACE, hashes
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 WORD_LEVEL = "word_bpe_49k.json"
-MEMO = 400_000  # pieces in the younger of the two memories of a worker
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r" \s|\s |^ | $")
-_MARKS = (".", ",", ";", ":")
-_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+MEMO = 800_000
+CHUNK_BYTES = 4 << 20
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,:;"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_BLANK = np.zeros(256, bool)  # white space, or the first byte of some
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_BLANK[0x0A] = False
 _workers: dict[str, "PieceEncoder"] = {}
 
 
+def _odd(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Documents with white space other than space and line feed."""
+    hit = _BLANK[data]
+    for first, seconds in ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A,)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,))):
+        at = np.flatnonzero(data[:-1] == first)
+        at = at[np.isin(data[at + 1], seconds)]
+        hit[at] = True
+    return np.diff(np.concatenate(([0], np.cumsum(hit)))[offsets]) > 0
+
+
 class PieceEncoder:
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,74 +52,82 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.keeps_space = name != WORD_LEVEL
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks = {
-            m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in _MARKS
-        }
-
-    def pieces(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-            latin = True
-        except UnicodeEncodeError:
-            latin = False
-        if not self.keeps_space:
-            # White space of any kind only parts words here, and case does not count. Lower case
-            # is taken early where Python and the tokenizer agree on it.
-            if latin:
-                text = text.lower()
-            text = text.replace("\n", " ")
-        if latin:
-            odd = "  " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _BLANKS)
-            odd = odd or (self.keeps_space and ("\n " in text or " \n" in text))
-        else:
-            odd = _ODD.search(text) is not None
-        parts = _SAFE.split(text) if odd else text.split(" ")
-        if self.keeps_space:
-            # No space stands before the first piece: a mark keeps it apart in the memory. Other
-            # pieces never begin with white space.
-            parts[0] = " " + parts[0]
-        return parts
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [self.pieces(text) if text else [] for text in texts]
-        young, old = self.young, self.old
-        if len(young) > MEMO:
-            old = self.old = young
-            young = self.young = {}
-        fresh, marked = [], []
-        for p in set().union(*parts).difference(young):
-            if p in old:
-                young[p] = old[p]
-            elif p[-1:] in _MARKS and p[-2:-1].isalpha():
-                # A mark after a letter is a pre-token of its own.
-                marked.append(p)
-            else:
-                fresh.append(p)
-        self._learn(fresh)
-        if marked:
-            stems = {p[:-1] for p in marked}.difference(young)
-            for p in [p for p in stems if p in old]:
-                young[p] = old[p]
-                stems.discard(p)
-            self._learn(list(stems))
-            for p in marked:
-                young[p] = young[p[:-1]] + self.marks[p[-1]]
-        return [b"".join(map(young.__getitem__, part)) for part in parts]
-
-    def _learn(self, fresh: list[str]) -> None:
-        young = self.young
-        for at in range(0, len(fresh), 2048):
-            part = fresh[at : at + 2048]
-            raw = part
-            if self.keeps_space:
-                raw = [p[1:] if p[:1] == " " else " " + p for p in part]
-            found = self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)
-            for p, e in zip(part, found):
-                young[p] = array("I", e.ids).tobytes()
+        self.byte_level = name != WORD_LEVEL
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[int, int] = {}
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.sizes = np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each piece, in order."""
+        n = len(data)
+        cut = np.zeros(n + 1, bool)
+        cut[1:n] = _MARK[data[1:]] & _LETTER[data[:-1]]
+        if self.byte_level:
+            space = data == 0x20
+            blank = space | (data == 0x0A)
+            single = np.zeros(n, bool)
+            single[1:-1] = blank[1:-1] & ~blank[:-2] & ~blank[2:]
+            line = single & ~space
+            cut[:n] |= single
+            cut[1:] |= line
+            for k in np.flatnonzero(_odd(data, offsets)):
+                cut[offsets[k] : offsets[k + 1]] = False
+            cut[offsets] = True
+            border = np.flatnonzero(cut)
+            return border[:-1], border[1:]
+        word = ~SPACE[data]
+        cut[offsets] = True
+        before = np.concatenate(([False], word[:-1]))
+        starts = np.flatnonzero(word & (~before | cut[:n]))
+        after = np.concatenate((word[1:], [False]))
+        return starts, np.flatnonzero(word & (~after | cut[1:])) + 1
+
+    def _learn(self, keys: list[int], texts: list[str]) -> None:
+        for at in range(0, len(keys), 4096):
+            found = self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
+            ids = [e.ids for e in found]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            total, n = int(sizes.sum()), len(self.memo)
+            while self.used + total > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+            while n + len(ids) > len(self.sizes):
+                self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+                self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+            self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+            self.starts[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
+            self.sizes[n : n + len(ids)] = sizes
+            self.used += total
+            self.memo.update(zip(keys[at : at + 4096], range(n, n + len(ids))))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents one after another, and where each begins and ends."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if len(self.memo) > MEMO:
+            self._forget()
+        starts, ends = self._pieces(data, offsets)
+        of, kinds = pd.factorize(hashes(data, starts, ends, fold=not self.byte_level))
+        top = np.maximum.accumulate(of)
+        first = np.flatnonzero(np.concatenate(([True] if len(of) else [], top[1:] > top[:-1])))
+        keys = kinds.tolist()
+        memo = self.memo
+        new = [k for k, key in enumerate(keys) if key not in memo]
+        if new:
+            raw = data.tobytes()
+            texts = [raw[a:b].decode("utf-8") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            self._learn([keys[k] for k in new], texts)
+        places = np.fromiter(map(memo.__getitem__, keys), np.int64, len(keys))[of]
+        sizes = self.sizes[places]
+        total = np.cumsum(sizes)
+        at = np.arange(total[-1]) if len(total) else np.zeros(0, np.int64)
+        flat = self.pool[at + np.repeat(self.starts[places] - (total - sizes), sizes)]
+        bounds = np.concatenate(([0], total))[np.searchsorted(starts, offsets)]
+        return flat, bounds
 
 
 def encoder(name: str) -> PieceEncoder:
@@ -107,14 +136,16 @@ def encoder(name: str) -> PieceEncoder:
     return _workers[name]
 
 
-def encode_bounded(name: str, texts: list[str], limit: int = 1 << 20):
-    """Ids of each text, in order, working on about ``limit`` characters at a time."""
+def encode_column(name: str, column):
+    """Little-endian unsigned 32-bit ids of each text of an Arrow column, in order; null as empty."""
     work = encoder(name)
-    at = 0
-    while at < len(texts):
-        end, total = at, 0
-        while end < len(texts) and (end == at or total < limit):
-            total += len(texts[end])
-            end += 1
-        yield from work.encode(texts[at:end])
-        at = end
+    data, offsets = utf8(column)
+    for i, j in slices(offsets, CHUNK_BYTES):
+        flat, bounds = work.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        raw = flat.astype("<u4").tobytes()
+        for a, b in zip((4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist()):
+            yield raw[a:b]
+
+
+def encode_texts(name: str, texts: list[str | None]) -> list[bytes]:
+    return list(encode_column(name, pa.array(texts, pa.large_string())))

@@ -15,7 +15,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _random = np.random.default_rng(20240117)
-_BYTE = (_random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[LOWER]
+_EXACT = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = _EXACT[LOWER]
 _BASE = 0x9E3779B97F4A7C15
 _SHINGLE = _random.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
@@ -59,12 +60,13 @@ def find(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash for each word, A-Z as a-z: polynomials from one running sum over the bytes."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A hash for each word: polynomials from one running sum over the bytes. ``fold`` takes A-Z
+    as a-z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _power(len(data))
-    total = np.cumsum(_BYTE[data] * up, dtype=np.uint64)
+    total = np.cumsum((_BYTE if fold else _EXACT)[data] * up, dtype=np.uint64)
     h = total[ends - 1]
     inner = starts > 0
     h[inner] -= total[starts[inner] - 1]
