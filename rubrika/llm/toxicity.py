@@ -97,6 +97,18 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return words, np.cumsum(counts + pad) - counts - pad, votes.argmax(1)
 
 
+def _encode_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``encode`` of many texts, a few at a time."""
+    words, starts, langs, at = [], [], [], 0
+    for k in range(0, len(texts), 200):
+        w, s, lang = encode(*utf8(pa.array(texts[k : k + 200], pa.large_string())))
+        words.append(w)
+        starts.append(s + at)
+        langs.append(lang)
+        at += len(w)
+    return np.concatenate(words), np.concatenate(starts), np.concatenate(langs)
+
+
 def pooled(model_tables, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Largest response of each filter in each document."""
     out = []
@@ -135,7 +147,7 @@ def fit(
     if len(set(toxic)) < 2 or len(set(y[~held])) < 2:
         model.out[:] = 0
         return model
-    words, starts, langs = encode(*utf8(pa.array(texts, pa.large_string())))
+    words, starts, langs = _encode_all(texts)
     ends = np.append(starts[1:], len(words))
     train = np.flatnonzero(~held)
     seen = np.zeros((2, size))
