@@ -14,7 +14,7 @@ sizes. Light sets that may link with heavy ones are posted as well.
 
 Equal sets are one node from the start. A list of k sets that are all alike would give k * k pairs,
 so nodes are first linked with one leader each, the set that leads most of their lists: the smallest
-node of a list at first, then twice the one that meets most others. After that, lists are scanned in full, but only for pairs in different components, since a
+node of a list at first, then the one that meets most others, then nodes in random order. After that, lists are scanned in full, but only for pairs in different components, since a
 pair in one component cannot change the result. No link between different components is lost.
 
 Shingles have 64-bit hashes, cut to 48 bits for counting overlaps (a false match within a pair of
@@ -49,7 +49,7 @@ SEGMENTS = 64
 LIGHT_LIMIT = 24  # light sets have at most so many shingles, whatever the costs
 VERIFY_COST = 4  # rows that a posting costs beside itself
 FILTER_BITS = 24
-CENTRE_ROUNDS = 2
+CENTRE_ROUNDS = 4
 SETS = "doc_id long, n long, node long, proof long, elems binary"
 
 
@@ -314,15 +314,17 @@ def _best_leaders(led: DataFrame, sizes: DataFrame) -> DataFrame:
     return _of_near_sizes(pairs.distinct(), sizes)
 
 
-def _lead_across(lists: DataFrame) -> DataFrame:
-    """``node, leader`` over mixed lists (h, node, component, length): the leader is the node of a
-    list that meets most others in all its lists, such as the text that a group was copied from;
-    only nodes of other components count."""
-    weights = lists.groupBy("node").agg(F.sum("length").alias("weight"))
-    weighed = lists.join(weights, "node")
-    top = weighed.groupBy("h").agg(
-        F.max_by(F.struct(F.col("node").alias("leader"), F.col("component").alias("its")), F.struct("weight", "node")).alias("top")
-    )
+def _lead_across(lists: DataFrame, turn: int) -> DataFrame:
+    """``node, leader`` over mixed lists (h, node, component, length); only nodes of other components
+    count. The leader of a list is in the first turn the node that meets most others in all its
+    lists, such as the text that a group was copied from, later the first in a new random order."""
+    if turn == 0:
+        weights = lists.groupBy("node").agg(F.sum("length").alias("weight"))
+        ranked = lists.join(weights, "node")
+    else:
+        ranked = lists.withColumn("weight", F.xxhash64("node", F.lit(turn)))
+    chosen = F.struct(F.col("node").alias("leader"), F.col("component").alias("its"))
+    top = ranked.groupBy("h").agg(F.max_by(chosen, F.struct("weight", "node")).alias("top"))
     led = lists.join(top.select("h", "top.leader", "top.its"), "h")
     return led.where("component <> its").select("node", "leader")
 
@@ -381,9 +383,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = stored(shared_lists(sets, boundary), "lists")
     pairs = stored(_best_leaders(lists.select("node", "leader"), sizes), "pairs")
     links = stored(links.union(verified(sets, pairs)), "leader-links")
-    for _ in range(CENTRE_ROUNDS):
+    for turn in range(CENTRE_ROUNDS):
         lists = mixed_lists(lists, links)
-        pairs = stored(_best_leaders(_lead_across(lists), sizes), "pairs")
+        pairs = stored(_best_leaders(_lead_across(lists, turn), sizes), "pairs")
         links = stored(links.union(verified(sets, pairs)), "leader-links")
     rest = stored(remaining_pairs(mixed_lists(lists, links), sizes), "pairs")
     links = stored(links.union(verified(sets, rest)), "all-links")

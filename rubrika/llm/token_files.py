@@ -192,7 +192,7 @@ def _read_shards(batches, dictionary: bytes) -> Iterator:
 def _stored_dictionary(spark: SparkSession, folder: str) -> bytes:
     """A few kB; read by Spark, so any store it knows will do."""
     rows = spark.read.format("binaryFile").load(f"{folder}/dictionary").select("content").collect()
-    return bytes(rows[0]["content"])
+    return bytes(rows[0]["content"]) if rows else b""  # an empty file gives no row
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
