@@ -49,7 +49,7 @@ SEGMENTS = 64
 LIGHT_LIMIT = 24  # light sets have at most so many shingles, whatever the costs
 VERIFY_COST = 4  # rows that a posting costs beside itself
 FILTER_BITS = 24
-CENTRE_ROUNDS = 4
+CENTRE_ROUNDS = 3
 SETS = "doc_id long, n long, node long, proof long, elems binary"
 
 
