@@ -70,31 +70,39 @@ def encode(
     max_length: int = MAX_LENGTH,
     pad: bool = True,
     broadcast_rows: int = BROADCAST_ROWS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``input_ids`` and ``attention_mask`` per document: start, tokens, end, padding.
 
-    Tokens past ``max_length`` are cut, as in the model's input. ``key`` must be unique; texts of
-    one key that together pass the length fail the query. ``vocabulary`` should be a stored
+    Tokens past ``max_length`` are cut, as in the model's input. ``key`` must be unique and not
+    null; else the query fails, whatever the lengths. Columns named in ``carry``, such as the label,
+    are passed on. ``vocabulary`` should be a stored
     table: its rows are counted to choose the join. Only the key and ids travel: ids of one
     document meet in the task that split it, so the shuffle carries one array per document and
     no text.
     """
     room = max_length - 2
     pieces = df.select(
-        key, F.posexplode_outer(F.slice("tokens", 1, room)).alias("pos", "token")
+        key, *carry, F.posexplode_outer(F.slice("tokens", 1, room)).alias("pos", "token")
     )
     found = F.when(F.col("token").isNotNull(), F.coalesce("token_id", F.lit(UNK)))
     placed = F.when(found.isNotNull(), F.struct("pos", found.alias("id")))
     ordered = F.array_sort(F.collect_list(placed))
+    # Each document has one first token, or one row without a token.
+    first = F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0)
     repeated = F.raise_error(F.concat(F.lit(f"{key} is not unique: "), F.col(key).cast("string")))
-    ordered = F.when(F.size(ordered) > room, repeated).otherwise(ordered)
+    ordered = (
+        F.when(F.col(key).isNull(), F.raise_error(F.lit(f"{key} is null")))
+        .when(first > 1, repeated)
+        .otherwise(ordered)
+    )
     ids = F.concat(
         F.array(F.lit(CLS)), F.transform(ordered, lambda s: s["id"]), F.array(F.lit(SEP))
     )
     encoded = (
         _join_ids(pieces, vocabulary, key, broadcast_rows)
         .groupBy(key)
-        .agg(ids.alias("ids"))
+        .agg(ids.alias("ids"), *[F.first(c).alias(c) for c in carry])
         .withColumn("mask", F.transform("ids", lambda _: F.lit(1)))
     )
     if pad:
@@ -103,5 +111,5 @@ def encode(
             {"ids": F.concat("ids", missing), "mask": F.concat("mask", missing)}
         )
     return encoded.select(
-        key, F.col("ids").alias("input_ids"), F.col("mask").alias("attention_mask")
+        key, F.col("ids").alias("input_ids"), F.col("mask").alias("attention_mask"), *carry
     )

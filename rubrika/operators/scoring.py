@@ -133,31 +133,6 @@ def bag_of_ids_model(weights: np.ndarray, prior: Sequence[float]) -> Callable:
     return load
 
 
-def onnx_model(path: str, inputs: Sequence[str], output: str) -> Callable:
-    """A model maker for ``model_udf`` from an ONNX file every executor can read.
-
-    The session opens once per Python worker. ``inputs`` name the model's inputs in the order of
-    the columns; the output is softmaxed, so it should hold logits.
-    """
-    names = list(inputs)
-
-    def load():
-        import onnxruntime
-
-        session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
-        kinds = {i.name: {"tensor(float)": "float32"}.get(i.type, "int64") for i in session.get_inputs()}
-
-        def run(*batches: np.ndarray) -> np.ndarray:
-            feed = {n: b.astype(kinds[n]) for n, b in zip(names, batches)}
-            z = np.asarray(session.run([output], feed)[0], dtype=np.float64)
-            e = np.exp(z - z.max(axis=-1, keepdims=True))
-            return e / e.sum(axis=-1, keepdims=True)
-
-        return run
-
-    return load
-
-
 def model_udf(load: Callable, width: int, columns: int = 1, batch_rows: int = BATCH_ROWS) -> Callable:
     """Column function from arrays of ``width`` numbers to class probabilities.
 

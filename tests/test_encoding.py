@@ -60,3 +60,22 @@ def test_short_length(docs, vocabulary):
     rows = encoding.encode(docs, vocabulary, max_length=5).collect()
     assert {len(r.input_ids) for r in rows} == {len(r.attention_mask) for r in rows} == {5}
     assert all(r.input_ids[0] == 2 and 3 in r.input_ids for r in rows)
+
+
+@pytest.mark.parametrize("texts", [("a b", "c d"), ("", ""), ("", "a"), (None, "a")])
+def test_short_repeated_keys_fail(spark, vocabulary, texts):
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    with pytest.raises(PySparkException, match="doc_id is not unique: 1"):
+        encoding.encode(encoding.with_tokens(df), vocabulary).collect()
+
+
+def test_null_keys_fail(spark, vocabulary):
+    df = spark.createDataFrame([(None, "a b"), (2, "c")], "doc_id long, text string")
+    with pytest.raises(PySparkException, match="doc_id is null"):
+        encoding.encode(encoding.with_tokens(df), vocabulary).collect()
+
+
+def test_labels_are_passed_on(spark, vocabulary):
+    df = spark.createDataFrame([(1, "w0 w1", 3), (2, "", 0), (3, "w2", None)], "doc_id long, text string, label int")
+    rows = encoding.encode(encoding.with_tokens(df), vocabulary, carry=("label",)).collect()
+    assert {r["doc_id"]: r["label"] for r in rows} == {1: 3, 2: 0, 3: None}

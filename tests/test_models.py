@@ -195,19 +195,6 @@ def test_worker_model_that_cannot_load(spark):
         df.select(scoring.model_udf(load, width=1)("v")).collect()
 
 
-def test_onnx_file_in_the_workers(spark):
-    """The runtime's own sample file: a product with fixed weights, three rows at a time."""
-    datasets = pytest.importorskip("onnxruntime.datasets")
-    path = datasets.get_example("mul_1.onnx")
-    rows = [(0, [1.0, 1.0]), (1, [0.0, 2.0]), (2, [3.0, -1.0])]
-    df = spark.createDataFrame(rows, "i int, v array<float>").coalesce(1)
-    run = scoring.model_udf(scoring.onnx_model(path, ["X"], "Y"), width=2, batch_rows=3)
-    weights = [[1, 2], [3, 4], [5, 6]]
-    for i, p in df.select("i", run("v")).collect():
-        z = np.exp([a * b for a, b in zip(rows[i][1], weights[i])])
-        assert np.allclose(p, z / z.sum(), atol=1e-6)
-
-
 def test_bag_of_ids_skips_masked_ids(spark):
     weights = [[0.0, 0.0], [1.0, 0.0], [0.0, 2.0]]
     df = spark.createDataFrame([([1, 2, 2], [1, 1, 0])], "ids array<int>, mask array<int>")
