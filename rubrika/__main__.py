@@ -44,9 +44,10 @@ def score_table(spark: SparkSession, args: argparse.Namespace) -> None:
     on_blank = "fail" if args.strict else "keep"
     rows = score(_read(spark, args), load_model(args.model), text=args.text, on_blank=on_blank)
     prepared = prepare(rows, key=args.key, text=args.text)
-    prediction_log.append(prepared, args.log, args.batch)
+    prediction_log.append(prepared, args.log, args.batch, source=args.source)
     outcome = prediction_log.batch_outcome(spark, args.log)
-    outcome.where(F.col("batch_id") == args.batch).show(truncate=False)
+    mine = (F.col("batch_id") == args.batch) & (F.col("source") == args.source)
+    outcome.where(mine).show(truncate=False)
 
 
 def predict(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -63,7 +64,7 @@ def stats(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def recent(spark: SparkSession, args: argparse.Namespace) -> None:
     """Show the latest predictions."""
-    latest = analytics.recent_from_days(prediction_log.read_log(spark, args.log), args.limit)
+    latest = prediction_log.read_recent(spark, args.log, args.limit)
     analytics.history_lines(latest).show(args.limit, truncate=False)
 
 
@@ -88,6 +89,7 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     sub.add_argument("--subset", type=int, help="first rows of the training split only")
     sub = command("score", score_table, "model", "log", table=True)
     sub.add_argument("--batch", type=int, required=True)
+    sub.add_argument("--source", default=prediction_log.TABLE_SOURCE, help="whose batch it is")
     sub.add_argument("--strict", action="store_true", help="fail on blank texts")
     command("predict", predict, "model").add_argument("texts", nargs="+")
     command("stats", stats, "log")

@@ -50,25 +50,6 @@ def recent_predictions(log: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
     )
 
 
-def recent_from_days(log: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
-    """The latest predictions of a stored log, reading only the newest days that hold them.
-
-    Rows per day come from file footers alone, as the date is a partition column. Each of the
-    ``limit`` newest days holds at least one row, so they always suffice; the driver sees that
-    many dates and counts.
-    """
-    days = (
-        log.groupBy("prediction_date").count().orderBy(F.desc("prediction_date")).limit(limit)
-    ).collect()
-    found, oldest = 0, None
-    for day in days:
-        oldest, found = day["prediction_date"], found + day["count"]
-        if found >= limit:
-            break
-    newest = log if oldest is None else log.where(F.col("prediction_date") >= F.lit(oldest))
-    return recent_predictions(newest, limit)
-
-
 def history_lines(rows: DataFrame) -> DataFrame:
     """One heading and one text preview per prediction, as the history panel shows them."""
     heading = F.concat(

@@ -15,6 +15,7 @@ from rubrika.functions import scores
 from rubrika.functions.labels import label_name
 from rubrika.operators.encoding import with_tokens
 from rubrika.operators.guard import flag_blank, require_text, split_blank
+from rubrika.operators.token_model import TokenModel
 from rubrika.schemas import LABELS
 
 PREDICTION_COLUMNS = ("predicted_id", "predicted_label", "confidence", "all_scores")
@@ -43,21 +44,23 @@ def with_predictions(
 
 def score(
     df: DataFrame,
-    model: PipelineModel,
+    model: PipelineModel | TokenModel,
     text: str = "text",
     clean: bool = True,
     on_blank: str = "drop",
     names: Sequence[str] = LABELS,
     keep_probabilities: bool = False,
 ) -> DataFrame:
-    """Scores the texts of ``df``, batch or stream, in one pass without a shuffle.
+    """Scores the texts of ``df``, batch or stream, in one pass, without a shuffle for a
+    pipeline in the JVM; a ``TokenModel`` joins, and its sums travel by row.
 
     ``on_blank`` says what becomes of blank texts: ``drop`` leaves their rows out, ``fail`` fails
     the query, and ``keep`` passes them on without a prediction and with a ``reason``, so that the
     log sets them aside. ``clean=False`` scores the raw text.
     """
     extra = ["probabilities"] if keep_probabilities else []
-    share = vector_to_array("probability")
+    table = isinstance(model, TokenModel)
+    share = F.col("probabilities") if table else vector_to_array("probability")
     if on_blank == "keep":
         rows, extra = flag_blank(df, text), [*extra, "reason"]
         share = F.when(F.col("reason").isNull(), share)
@@ -73,14 +76,14 @@ def score(
 
 
 def batch_predict(
-    spark: SparkSession, model: PipelineModel, texts: Sequence[str], **options
+    spark: SparkSession, model: PipelineModel | TokenModel, texts: Sequence[str], **options
 ) -> DataFrame:
     """Scores texts the caller holds, numbered by ``position``; any blank one fails the call."""
     df = spark.createDataFrame(list(enumerate(texts)), "position long, text string")
     return score(df, model, on_blank="fail", **options)
 
 
-def predict(spark: SparkSession, model: PipelineModel, text: str, **options) -> dict:
+def predict(spark: SparkSession, model: PipelineModel | TokenModel, text: str, **options) -> dict:
     """Scores one text to a dict of the prediction columns."""
     row = batch_predict(spark, model, [text], **options).first()
     return {name: row.asDict(recursive=True)[name] for name in PREDICTION_COLUMNS}

@@ -25,7 +25,8 @@ from rubrika.schemas import LABELS, VOCABULARY_SIZE
 
 NUM_LABELS = len(LABELS)
 HASH_FEATURES = 1 << 16
-TASKS_PER_CORE = 4
+# Every task sends a dense gradient per iteration; two rounds of partial sums meet them first.
+AGGREGATION_DEPTH = 3
 
 
 def class_token_counts(train: DataFrame, num_labels: int = NUM_LABELS) -> DataFrame:
@@ -70,7 +71,7 @@ def log_likelihoods(vocabulary: DataFrame, num_labels: int = NUM_LABELS) -> Data
 
 def class_log_priors(train: DataFrame, num_labels: int = NUM_LABELS) -> list[float]:
     """Smoothed log share of each class."""
-    sizes = _class_sizes(train, num_labels)
+    sizes = class_sizes(train, num_labels)
     return [log((d + 1) / (sum(sizes) + num_labels)) for d in sizes]
 
 
@@ -88,7 +89,7 @@ def id_weights(
     return weights
 
 
-def _class_sizes(train: DataFrame, num_labels: int) -> list[int]:
+def class_sizes(train: DataFrame, num_labels: int) -> list[int]:
     """Documents per class, by a scan of the label column alone."""
     inside = F.col("label").isNotNull() & F.col("label").between(0, num_labels - 1)
     row = train.agg(
@@ -105,24 +106,33 @@ def _class_sizes(train: DataFrame, num_labels: int) -> list[int]:
 
 def fit_naive_bayes(
     train: DataFrame,
-    vocabulary_size: int = VOCABULARY_SIZE,
+    vocabulary_size: int | None = None,
     num_labels: int = NUM_LABELS,
     smoothing: float = 1.0,
+    max_tokens: int = BROADCAST_ROWS,
 ) -> PipelineModel:
     """Multinomial naive Bayes with add-one smoothing.
 
     The fit depends on the corpus only through token counts per class. Those come from one
     distributed aggregation; the estimator then sees one weighted row per class, whose features
-    are mean counts. The driver holds the vocabulary and its counts, no more than
-    ``vocabulary_size`` rows.
+    are mean counts. The driver holds every token with its counts, which is for corpora of at most
+    ``max_tokens`` distinct tokens: with more the fit fails, as it never drops one unasked
+    (``token_model.fit_token_model`` takes any number). ``vocabulary_size`` asks for the most
+    frequent tokens alone.
     """
-    if vocabulary_size > BROADCAST_ROWS:
-        raise ValueError(f"vocabulary_size may be at most {BROADCAST_ROWS}")
-    sizes = _class_sizes(train, num_labels)
-    counts = top_tokens(class_token_counts(train, num_labels), vocabulary_size).toArrow()
+    if vocabulary_size and vocabulary_size > max_tokens:
+        raise ValueError(f"vocabulary_size may be at most {max_tokens}")
+    sizes = class_sizes(train, num_labels)
+    counts = class_token_counts(train, num_labels)
+    if vocabulary_size:
+        counts = top_tokens(counts, vocabulary_size).toArrow()
+    else:
+        counts = counts.limit(max_tokens + 1).toArrow()
+        if len(counts) > max_tokens:
+            raise ValueError(f"more than {max_tokens} distinct tokens, use fit_token_model")
     spark = train.sparkSession
     tokens = spark.createDataFrame(counts.select(["token"]))
-    vectorizer = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary_size)
+    vectorizer = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=max(len(counts), 1))
     vectorizer = vectorizer.fit(tokens.select(F.array("token").alias("tokens")))
     counts = counts.to_pandas().set_index("token").loc[vectorizer.vocabulary]
     rows = []
@@ -136,11 +146,6 @@ def fit_naive_bayes(
     return PipelineModel([vectorizer, bayes])
 
 
-def _few_tasks(df: DataFrame) -> DataFrame:
-    """Some tasks per core at most: in every iteration each task sends a dense gradient."""
-    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
-
-
 @contextmanager
 def _kept(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` kept on memory and disk for several passes; lost parts are rebuilt from source."""
@@ -152,7 +157,12 @@ def _kept(df: DataFrame) -> Iterator[DataFrame]:
 
 
 def _logistic(max_iter: int, reg_param: float) -> LogisticRegression:
-    return LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg_param)
+    return LogisticRegression(
+        family="multinomial",
+        maxIter=max_iter,
+        regParam=reg_param,
+        aggregationDepth=AGGREGATION_DEPTH,
+    )
 
 
 def fit_logistic(
@@ -197,7 +207,7 @@ def _fit_grid(
     """Fits every candidate on term counts that are hashed once and kept for all passes."""
     hashing = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
     metrics, models = [], []
-    with _kept(hashing.transform(_few_tasks(train)).select("label", "tf")) as counts:
+    with _kept(hashing.transform(train).select("label", "tf")) as counts:
         idf = IDF(inputCol="tf", outputCol="features").fit(counts)
         ready = idf.transform(counts).select("label", "features")
         for max_iter, reg_param in grid:

@@ -6,7 +6,7 @@ reference SQL of the same name in ``rubrika.plans.oracles``. Times are returned
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,18 +25,28 @@ from rubrika.operators.scoring import (
     score,
     with_predictions,
 )
+from rubrika.operators.token_model import TokenModel, fit_token_model, load_token_model
 from rubrika.plans import bindings as b
 from rubrika.schemas import MAX_LENGTH, VOCABULARY_SIZE
 from rubrika.session import shared_folder
 from rubrika.sources import prediction_log
 from rubrika.sources.corpus import head, read_corpus, train_and_test
-from rubrika.sources.models import load_model, save_model
+from rubrika.sources.models import save_model
 from rubrika.streaming import stats
 from rubrika.streaming.score import score_to_log
 
 HEAD_SIZE = 500
 LATENESS = "1 hour"
 STATE_PARTITIONS = 8
+# Which events come in which micro-batch; each list parts the whole table.
+EVENT_PARTS = tuple(f"pmod(event_id, 4) = {i}" for i in range(4))
+LATE_PARTS = (
+    "pmod(event_id, 10) <> 0 AND ts < '2024-01-08'",
+    "pmod(event_id, 10) <> 0 AND ts >= '2024-01-08' AND ts < '2024-01-15'",
+    "pmod(event_id, 10) <> 0 AND ts >= '2024-01-15' AND ts < '2024-01-22'",
+    "pmod(event_id, 10) <> 0 AND ts >= '2024-01-22'",
+    "pmod(event_id, 10) = 0",
+)
 LOGISTIC_GRID = ((2, 0.01), (10, 0.01), (10, 0.1))
 
 
@@ -77,12 +87,12 @@ def subset_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = b.texts(spark, sf_dir, "documents", "doc_id")
+    docs = b.table(spark, sf_dir, "documents")
     return docs.select("doc_id", clean_text(F.col("text")).alias("clean"))
 
 
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = b.texts(spark, sf_dir, "pages", "page_id")
+    pages = b.table(spark, sf_dir, "pages")
     return pages.select("page_id", clean_text(F.col("html")).alias("clean"))
 
 
@@ -94,7 +104,7 @@ def clean_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combine_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = b.texts(spark, sf_dir, "documents", "doc_id")
+    docs = b.table(spark, sf_dir, "documents")
     text = F.col("text")
     return docs.select(
         "doc_id",
@@ -189,9 +199,9 @@ def vector_score_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- models --------------------------------------------------------------------------------
 
 
-def _bayes(spark: SparkSession, sf_dir: str) -> PipelineModel:
+def _bayes(spark: SparkSession, sf_dir: str) -> TokenModel:
     train = train_and_test(b.corpus(spark, sf_dir))[0]
-    return training.fit_naive_bayes(encoding.with_tokens(train))
+    return fit_token_model(encoding.with_tokens(train), shared_folder(spark, "token-model"))
 
 
 def _bayes_scored(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -201,10 +211,8 @@ def _bayes_scored(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 def nb_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and log likelihoods per class, from the training documents."""
     train = train_and_test(b.corpus(spark, sf_dir))[0]
-    path = shared_folder(spark, "class-counts")
-    counts = training.class_token_counts(encoding.with_tokens(train))
-    training.top_tokens(counts).write.parquet(path)
-    model = training.log_likelihoods(spark.read.parquet(path))
+    fitted = fit_token_model(encoding.with_tokens(train), shared_folder(spark, "token-model"))
+    model = training.log_likelihoods(fitted.counts)
     return model.select("token", "label", "n", F.round("log_prob", 6).alias("log_prob"))
 
 
@@ -266,7 +274,7 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of a model that was saved and loaded."""
     path = shared_folder(spark, "model")
     save_model(_bayes(spark, sf_dir), path)
-    scored = score(b.corpus(spark, sf_dir), load_model(path))
+    scored = score(b.corpus(spark, sf_dir), load_token_model(spark, path))
     return scored.select("doc_id", "predicted_id", "predicted_label", "confidence")
 
 
@@ -380,7 +388,7 @@ def recent_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stored log, reading the newest days only."""
     path = shared_folder(spark, "log")
     prediction_log.append(b.event_log(spark, sf_dir), path, batch_id=1, rebalance=True)
-    rows = analytics.recent_from_days(prediction_log.read_log(spark, path))
+    rows = prediction_log.read_recent(spark, path)
     return rows.withColumn("created_at", _time("created_at"))
 
 
@@ -406,33 +414,71 @@ def categorize_and_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream; the pattern fits a table of one file and a folder of files."""
-    schema = b.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+def _stream(session: SparkSession, batches: list[DataFrame], name: str) -> DataFrame:
+    """Parts of a table, written one after the other, as a stream of one part per micro-batch."""
+    path = shared_folder(session, f"stream-{name}")
+    for part in batches:
+        part.coalesce(1).write.mode("append").parquet(path)
+    source = session.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1)
+    return source.parquet(path)
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _event_stream(
+    spark: SparkSession, sf_dir: str, conditions: tuple[str, ...] = EVENT_PARTS
+) -> DataFrame:
     """Events as a stream of predictions, in a session of few shuffle partitions.
 
-    Statistics combine in the tasks and keep a row per label or day, while every partition is a
-    state store that each micro-batch opens and commits.
+    The conditions part all events into micro-batches. Statistics combine in the tasks and keep a
+    row per label or day, while every partition is a state store that each micro-batch opens and
+    commits.
     """
     session = spark.newSession()
     session.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
-    return b.predictions(_stream(session, sf_dir, "events"))
+    events = b.table(session, sf_dir, "events")
+    parts = [events.where(condition) for condition in conditions]
+    return b.predictions(_stream(session, parts, "events"))
 
 
 def stream_score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a stream, scored into the log."""
+    """Documents as a stream of four micro-batches, scored into the log."""
     path, checkpoint = shared_folder(spark, "log"), shared_folder(spark, "offsets")
-    articles = _stream(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = [docs.where(F.pmod("doc_id", F.lit(4)) == i) for i in range(4)]
+    articles = _stream(spark, parts, "documents")
     score_to_log(articles, _bayes(spark, sf_dir), path, checkpoint).awaitTermination()
     return prediction_log.read_log(spark, path).select(
         F.col("id").alias("doc_id"), "predicted_label", "confidence"
     )
 
 
+def log_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table and a stream in one log, under the same batch numbers, both whole."""
+    path, checkpoint = shared_folder(spark, "log"), shared_folder(spark, "offsets")
+    prediction_log.append(b.event_log(spark, sf_dir), path, batch_id=0, rebalance=True)
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", "text")
+    articles = _stream(spark, [docs], "documents")
+    model = _bayes(spark, sf_dir)
+    score_to_log(articles, model, path, checkpoint, source="documents").awaitTermination()
+    return prediction_log.read_log(spark, path).select(
+        "source", "batch_id", "id", "predicted_label", "confidence"
+    )
+
+
+def log_rerun_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch whose second attempt fails half-way keeps the rows of its first."""
+    path = shared_folder(spark, "log")
+    rows = b.event_log(spark, sf_dir)
+    prediction_log.append(rows, path, batch_id=1, rebalance=True)
+    broken = F.when(F.col("id") >= 0, F.raise_error(F.lit("a task fails")).cast("double"))
+    try:
+        prediction_log.append(rows.withColumn("confidence", broken), path, batch_id=1)
+    except PySparkException:
+        return prediction_log.read_log(spark, path).select(
+            "batch_id", "id", "predicted_label", "confidence"
+        )
+    raise ValueError("the second attempt should have failed")
+
+
 def _running(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
     path, checkpoint = shared_folder(spark, "running"), shared_folder(spark, "offsets")
     stats.write_running(result, path, checkpoint, mode).awaitTermination()
@@ -454,10 +500,17 @@ def stream_daily_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_daily_volume_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days that are final under a watermark."""
-    events = _event_stream(spark, sf_dir)
+    """Days that are final under a watermark, with the rows that came too late for them.
+
+    Events come in order but for a tenth, which follows in the last micro-batch.
+    """
+    events = _event_stream(spark, sf_dir, LATE_PARTS)
     days = _running(spark, stats.daily_volume_by_window(events, LATENESS), "append")
-    return days.withColumn("prediction_date", _date("prediction_date"))
+    whole = analytics.daily_volume(b.event_log(spark, sf_dir))
+    whole = whole.select("prediction_date", F.col("total").alias("arrived"))
+    return days.join(whole, "prediction_date").select(
+        _date("prediction_date"), "total", (F.col("arrived") - F.col("total")).alias("late")
+    )
 
 
 QUERIES = {
@@ -494,6 +547,8 @@ QUERIES = {
     "log_validate_articles": log_validate_articles,
     "log_append": log_append,
     "log_rejected": log_rejected,
+    "log_sources": log_sources,
+    "log_rerun_failed": log_rerun_failed,
     "category_stats": category_stats,
     "daily_volume": daily_volume,
     "stats_views": stats_views,

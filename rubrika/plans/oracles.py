@@ -96,13 +96,14 @@ ENCODED = f"""
 
 
 
-def _bayes(vocabulary_size: int = VOCABULARY_SIZE) -> str:
+def _bayes(vocabulary_size: int | None = None) -> str:
+    best = f"ORDER BY n DESC, token LIMIT {vocabulary_size}" if vocabulary_size else ""
     return f"""
     {TOKENS},
     counted AS (
         SELECT token, count(*) AS n, {_each("count(*) FILTER (label = {c}) AS n{c}")}
         FROM tok WHERE split = 'train' GROUP BY token
-        ORDER BY n DESC, token LIMIT {vocabulary_size}
+        {best}
     ),
     totals AS (SELECT count(*) AS v, {_each("sum(n{c}) AS t{c}")} FROM counted),
     sizes AS (
@@ -116,7 +117,7 @@ def _bayes(vocabulary_size: int = VOCABULARY_SIZE) -> str:
     """
 
 
-def _scored(vocabulary_size: int = VOCABULARY_SIZE, tokens: str = "tokens") -> str:
+def _scored(vocabulary_size: int | None = None, tokens: str = "tokens") -> str:
     return f"""
     {_bayes(vocabulary_size)},
     used AS (SELECT doc_id, unnest({tokens}) AS token FROM listed),
@@ -420,10 +421,32 @@ ORACLES = {
     """,
     "stream_category_stats": f"WITH {LOG} {STATS.format('log')}",
     "stream_daily_volume": f"WITH {LOG} {VOLUME}",
+    "log_sources": f"""
+        WITH {LOG}, {SCORED}
+        SELECT 'table' AS source, CAST(0 AS BIGINT) AS batch_id, id, predicted_label, confidence
+        FROM log
+        UNION ALL
+        SELECT 'documents', 0, doc_id, predicted_label, confidence FROM predicted
+    """,
+    "log_rerun_failed": f"""
+        WITH {LOG}
+        SELECT CAST(1 AS BIGINT) AS batch_id, id, predicted_label, confidence FROM log
+    """,
     "stream_daily_volume_late": f"""
-        WITH {LOG}, days AS ({VOLUME}),
-        mark AS (SELECT max(created_at) - INTERVAL 1 HOUR AS watermark FROM log)
-        SELECT days.* FROM days, mark
-        WHERE CAST(prediction_date AS TIMESTAMP) + INTERVAL 1 DAY <= watermark
+        WITH {LOG},
+        marks AS (
+            SELECT max(created_at) - INTERVAL 1 HOUR AS last_mark,
+                   -- Late are rows of days that were final before the batch ahead of theirs ended.
+                   max(created_at) FILTER (id % 10 <> 0 AND created_at < TIMESTAMP '2024-01-22')
+                       - INTERVAL 1 HOUR AS mark
+            FROM log
+        ),
+        dated AS (SELECT *, date_trunc('day', created_at) + INTERVAL 1 DAY AS day_end FROM log, marks),
+        kept AS (
+            SELECT *, id % 10 = 0 AND day_end <= mark AS is_late FROM dated WHERE day_end <= last_mark
+        )
+        SELECT strftime(created_at, '%Y-%m-%d') AS prediction_date,
+               count(*) FILTER (NOT is_late) AS total, count(*) FILTER (is_late) AS late
+        FROM kept GROUP BY ALL
     """,
 }

@@ -50,8 +50,26 @@ LOG_TABLE = T.StructType(
     [
         *PREDICTIONS.fields,
         T.StructField("reason", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("run", T.StringType()),
         T.StructField("batch_id", T.LongType()),
+        T.StructField("attempt", T.StringType()),
         T.StructField("status", T.StringType()),
         T.StructField("prediction_date", T.DateType()),
     ]
 )
+
+# An entry of the list of complete attempts: the attempt itself (no status, no rows), and its rows
+# by status and day.
+LOG_ENTRY = T.StructType(
+    [
+        T.StructField("status", T.StringType()),
+        T.StructField("prediction_date", T.DateType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("published_at", T.TimestampType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("run", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("attempt", T.StringType()),
+    ]
+)

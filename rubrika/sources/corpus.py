@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from rubrika.schemas import ARTICLES
 
@@ -23,20 +23,19 @@ def read_corpus(
     return spark.read.format(source).schema(schema).options(**options).load(path)
 
 
-def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A table read as fewer splits than there are cores, over all cores by key.
+def with_split(df: DataFrame, key: str = "doc_id", folds: int = 5) -> DataFrame:
+    """Adds ``split``: one key in ``folds`` is ``test``, the others ``train``.
 
-    For costly work per row on a small table. A large table has more splits than cores and
-    stays as it is, so no shuffle of large texts comes from here.
+    For a corpus without splits of its own: one that has a ``split`` column keeps it. Whole numbers
+    count as they are, keys of any other type by their hash. A null key fails the query.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
-def with_split(df: DataFrame, key: str = "doc_id", folds: int = 5) -> DataFrame:
-    """Adds ``split``: one key in ``folds`` is ``test``, the others ``train``."""
-    held_out = F.pmod(F.col(key), F.lit(folds)) == 0
-    return df.withColumn("split", F.when(held_out, F.lit("test")).otherwise("train"))
+    if "split" in df.columns:
+        return df
+    whole = isinstance(df.schema[key].dataType, IntegralType)
+    number = F.col(key) if whole else F.xxhash64(key)
+    split = F.when(F.pmod(number, F.lit(folds)) == 0, F.lit("test")).otherwise("train")
+    missing = F.raise_error(F.lit(f"{key} is null")).cast("string")
+    return df.withColumn("split", F.when(F.col(key).isNull(), missing).otherwise(split))
 
 
 def train_and_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:

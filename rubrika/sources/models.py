@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 
+from rubrika.operators.token_model import TokenModel
 
-def save_model(model: PipelineModel, path: str) -> None:
+
+def save_model(model: PipelineModel | TokenModel, path: str) -> None:
     """Writes the model, replacing one at the same place."""
-    model.write().overwrite().save(path)
+    if isinstance(model, TokenModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
 def load_model(path: str) -> PipelineModel:
-    """Reads a stored model; fails where there is none."""
+    """Reads a stored pipeline; fails where there is none. ``token_model.load_token_model`` reads
+    a stored ``TokenModel``."""
     return PipelineModel.load(path)

@@ -1,27 +1,37 @@
-"""The prediction log: a Parquet table by batch, status and UTC date.
-
-A batch owns one folder and replaces it when it runs again, so a repeated batch, or a replayed
-micro-batch of a stream, leaves no doubles. Accepted and rejected rows are written together in
-one pass over the source, apart by partition.
+"""The prediction log: Parquet rows by source, batch and attempt, and a list of complete attempts.
+
+A batch is named by its source (a table, a stream) and a number. Each write of a batch is an attempt
+in a folder of its own; only when it is complete is it entered in the list, and readers take the
+newest entry of each batch. So a repeated batch, or a replayed micro-batch, leaves no doubles, a
+failed attempt changes nothing, and no source reaches another one's batches. A source may run anew
+under another ``run`` name; readers see the rows of its newest run alone. Accepted and rejected rows
+are written together in one pass, apart by partition. Attempts that were replaced stay on disk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rubrika.functions.text import utc_date
 from rubrika.operators import analytics
 from rubrika.operators.prediction_rows import validate
-from rubrika.schemas import LOG_TABLE
+from rubrika.schemas import LOG_ENTRY, LOG_TABLE, RECENT_LIMIT
 
 PARTITIONS = ("status", "prediction_date")
+TABLE_SOURCE = "table"
+FIRST_RUN = "first"
+# A list of attempts up to this many rows (some 150 bytes each) may be broadcast.
+BROADCAST_ENTRIES = 500_000
 
 
 def create_log(spark: SparkSession, path: str) -> None:
     """Makes an empty log unless there is one."""
-    empty = spark.createDataFrame([], LOG_TABLE)
-    empty.write.mode("ignore").partitionBy("batch_id", *PARTITIONS).parquet(path)
+    for part, schema in (("rows", LOG_TABLE), ("published", LOG_ENTRY)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{part}")
 
 
 def batch_rows(rows: DataFrame, rebalance: bool = False) -> DataFrame:
@@ -32,34 +42,110 @@ def batch_rows(rows: DataFrame, rebalance: bool = False) -> DataFrame:
     return checked
 
 
-def append(rows: DataFrame, path: str, batch_id: int, rebalance: bool = False) -> None:
-    """Checks prepared rows and writes them as one batch.
+def append(
+    rows: DataFrame,
+    path: str,
+    batch_id: int,
+    rebalance: bool = False,
+    source: str = TABLE_SOURCE,
+    run: str = FIRST_RUN,
+) -> None:
+    """Checks prepared rows, writes them as one attempt of a batch, and publishes the attempt.
 
     Rows of one day, or ordered by day, are written where they are. For a batch over many days
     ``rebalance`` first gathers the rows of each day, which saves one small file per task and day;
-    adaptive execution splits a day that holds most of the rows.
+    adaptive execution splits a day that holds most of the rows. The list gets one row for the
+    attempt and one per status and day with its number of rows, counted from file footers.
     """
-    writer = batch_rows(rows, rebalance).write.mode("overwrite").partitionBy(*PARTITIONS)
-    writer.parquet(f"{path}/batch_id={batch_id}")
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG_TABLE).parquet(path)
+    for name in (source, run):
+        if not re.fullmatch(r"[\w.-]+", name, re.ASCII):
+            raise ValueError(f"letters, digits, '_', '.' and '-' name a source or run, not {name!r}")
+    attempt = uuid4().hex
+    folder = f"source={source}/run={run}/batch_id={batch_id}/attempt={attempt}"
+    spark = rows.sparkSession
+    batch_rows(rows, rebalance).write.partitionBy(*PARTITIONS).parquet(f"{path}/rows/{folder}")
+    stored = _rows(spark, f"{path}/rows/{folder}", f"{path}/rows")
+    counts = stored.groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("n"))
+    whole = spark.range(1).selectExpr(
+        "CAST(NULL AS STRING) AS status", "CAST(NULL AS DATE) AS prediction_date", "0L AS n"
+    )
+    entry = whole.union(counts).withColumn("published_at", F.current_timestamp())
+    entry.coalesce(1).write.parquet(f"{path}/published/{folder}")
+
+
+def _rows(spark: SparkSession, path: str, base: str) -> DataFrame:
+    return spark.read.schema(LOG_TABLE).option("basePath", base).parquet(path)
+
+
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """The list of the log, cut to the newest run of each source and its newest attempts."""
+    listed = spark.read.schema(LOG_ENTRY).parquet(f"{path}/published")
+    keys = ["source", "run", "batch_id"]
+    wholes = listed.where(F.col("status").isNull() & (F.col("n") == 0))
+    order = (F.col("published_at").desc(), F.col("attempt"))
+    newest_run = F.first("run").over(Window.partitionBy("source").orderBy(*order))
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    current = (
+        wholes.select(*keys, "attempt", newest_run.alias("newest_run"), newest.alias("place"))
+        .where("run = newest_run AND place = 1")
+        .select("attempt")
+    )
+    return listed.join(current, "attempt", "left_semi")
+
+
+def runs(spark: SparkSession, path: str, source: str) -> set[str]:
+    """Names of the published runs of a source, newest or not."""
+    create_log(spark, path)
+    listed = spark.read.schema(LOG_ENTRY).parquet(f"{path}/published")
+    return {row["run"] for row in listed.where(F.col("source") == source).select("run").distinct().collect()}
+
+
+def _read(spark: SparkSession, path: str, status: str) -> DataFrame:
+    current = entries(spark, path).where(F.col("status").isNull() & (F.col("n") == 0)).select("attempt")
+    if current.count() <= BROADCAST_ENTRIES:
+        current = F.broadcast(current)
+    rows = _rows(spark, f"{path}/rows", f"{path}/rows").where(F.col("status") == status)
+    return rows.join(current, "attempt", "left_semi").drop("status", "run", "attempt")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Accepted predictions; ``batch_id`` and ``prediction_date`` prune folders."""
-    return _read(spark, path).where(F.col("status") == "accepted").drop("status", "reason")
+    """Accepted predictions; ``source``, ``batch_id`` and ``prediction_date`` prune folders."""
+    return _read(spark, path, "accepted").drop("reason")
 
 
 def read_rejected(spark: SparkSession, path: str) -> DataFrame:
     """Rows set aside, with the reason."""
-    return _read(spark, path).where(F.col("status") == "rejected").drop("status")
+    return _read(spark, path, "rejected")
 
 
 def batch_outcome(spark: SparkSession, path: str) -> DataFrame:
-    """Rows per batch and status, from file footers."""
-    return _read(spark, path).groupBy("batch_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    """Rows per source, batch and status, from the list alone."""
+    counted = entries(spark, path).where(F.col("status").isNotNull())
+    return counted.groupBy("source", "batch_id", "status").agg(F.sum("n").alias("n"))
+
+
+def read_recent(spark: SparkSession, path: str, limit: int = RECENT_LIMIT) -> DataFrame:
+    """The latest predictions of a stored log, reading only the newest days that hold them.
+
+    Rows per day come from the list, so no file of an older day is opened. Each of the ``limit``
+    newest days holds at least one row, so they always suffice; the driver sees that many dates.
+    """
+    days = (
+        entries(spark, path)
+        .where("status = 'accepted' AND n > 0")
+        .groupBy("prediction_date")
+        .agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("prediction_date"))
+        .limit(limit)
+    ).collect()
+    found, oldest = 0, None
+    for day in days:
+        oldest, found = day["prediction_date"], found + day["n"]
+        if found >= limit:
+            break
+    log = read_log(spark, path)
+    newest = log if oldest is None else log.where(F.col("prediction_date") >= F.lit(oldest))
+    return analytics.recent_predictions(newest, limit)
 
 
 def register_views(log: DataFrame) -> None:

@@ -117,21 +117,21 @@ def test_missing_log_is_an_error(spark, tmp_path):
         prediction_log.read_log(spark, str(tmp_path / "none")).count()
 
 
-def test_fixture_row_of_the_manual_script(spark, tmp_path):
+def test_a_row_in_and_out(spark, tmp_path):
     path = str(tmp_path / "log")
     row = good(
         1,
-        input_text="Tesla reports record quarterly revenue.",
+        input_text="A late train makes a long evening.",
         predicted_label="Business",
-        confidence=0.936,
-        all_scores=[("Business", 0.936), ("Science/Technology", 0.057)],
+        confidence=0.812,
+        all_scores=[("Business", 0.812), ("Science/Technology", 0.101)],
     )
     prediction_log.append(frame(spark, [row]), path, 0)
     latest = analytics.recent_predictions(prediction_log.read_log(spark, path), 3).collect()
-    assert [(r.predicted_label, r.confidence) for r in latest] == [("Business", 0.936)]
+    assert [(r.predicted_label, r.confidence) for r in latest] == [("Business", 0.812)]
     line = analytics.history(prediction_log.read_log(spark, path)).first()
-    assert line.heading == "[2024-03-01 12:00] Business (93.6%)"
-    assert line.preview == "Tesla reports record quarterly revenue."
+    assert line.heading == "[2024-03-01 12:00] Business (81.2%)"
+    assert line.preview == "A late train makes a long evening."
 
 
 @pytest.mark.parametrize("limit", [1, 3, 7, 500])
@@ -141,14 +141,14 @@ def test_newest_days_hold_the_latest_rows(spark, tmp_path, limit):
     prediction_log.append(frame(spark, rows), path, 1, True)
     log = prediction_log.read_log(spark, path)
     whole = analytics.recent_predictions(log, limit).collect()
-    assert analytics.recent_from_days(log, limit).collect() == whole
+    assert prediction_log.read_recent(spark, path, limit).collect() == whole
     assert len(whole) == min(limit, 60)
 
 
 def test_newest_days_of_an_empty_log(spark, tmp_path):
     path = str(tmp_path / "log")
     prediction_log.create_log(spark, path)
-    assert analytics.recent_from_days(prediction_log.read_log(spark, path)).count() == 0
+    assert prediction_log.read_recent(spark, path).count() == 0
 
 
 def test_views(spark):
@@ -185,6 +185,34 @@ def test_split_blank_keeps_every_row(spark):
 def test_log_table_schema(spark, tmp_path):
     path = str(tmp_path / "log")
     prediction_log.append(frame(spark, [good(1)]), path, 5)
-    stored = prediction_log._read(spark, path).schema
-    assert [(f.name, f.dataType) for f in stored] == [(f.name, f.dataType) for f in LOG_TABLE]
+    stored = prediction_log.read_rejected(spark, path).schema
+    inner = ("status", "run", "attempt")
+    assert [(f.name, f.dataType) for f in stored] == [
+        (f.name, f.dataType) for f in LOG_TABLE if f.name not in inner
+    ]
     assert prediction_log.read_log(spark, path).select(F.col("batch_id")).first()[0] == 5
+
+
+def test_a_failed_attempt_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = frame(spark, [good(i) for i in range(40)])
+    prediction_log.append(rows, path, 1)
+    broken = F.when(F.col("id") >= 0, F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        prediction_log.append(rows.withColumn("confidence", broken), path, 1)
+    assert prediction_log.read_log(spark, path).count() == 40
+    prediction_log.append(rows.where("id < 0"), path, 1)
+    assert prediction_log.read_log(spark, path).count() == 0
+    assert prediction_log.batch_outcome(spark, path).count() == 0
+
+
+def test_sources_do_not_meet(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for source in ("a", "b"):
+        prediction_log.append(frame(spark, [good(1), good(2)]), path, 0, source=source)
+    prediction_log.append(frame(spark, [good(3)]), path, 0, source="b", run="second")
+    log = prediction_log.read_log(spark, path)
+    assert sorted((r.source, r.id) for r in log.collect()) == [("a", 1), ("a", 2), ("b", 3)]
+    assert prediction_log.runs(spark, path, "b") == {"first", "second"}
+    with pytest.raises(ValueError, match="name a source"):
+        prediction_log.append(frame(spark, [good(1)]), path, 0, source="a/b")

@@ -12,6 +12,7 @@ from rubrika.operators import scoring, training
 from rubrika.operators.encoding import with_tokens
 from rubrika.operators.evaluation import evaluate
 from rubrika.operators.prediction_rows import prepare
+from rubrika.operators.token_model import fit_token_model, load_token_model
 from rubrika.schemas import LABELS
 from rubrika.sources import prediction_log
 from rubrika.sources.models import load_model, save_model
@@ -67,6 +68,25 @@ def test_bayes_equals_counting(spark, articles, bayes):
         assert len(row.all_scores) == 4
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 10**6])
+def test_token_model_equals_counting(spark, articles, tmp_path, broadcast_rows):
+    model = fit_token_model(with_tokens(articles), str(tmp_path / "fitted"))
+    save_model(model, str(tmp_path / "saved"))
+    model = load_token_model(spark, str(tmp_path / "saved"))
+    texts = [r[1] for r in ROWS[:20]] + ["goal market", "never seen words", "goal goal"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "goal"), (None, "goal"), (5, "the chip"), (None, "")]
+    df = with_tokens(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = model.transform(df, broadcast_rows).collect()
+    assert sorted((str(r.doc_id), r.text) for r in found) == sorted((str(a), b) for a, b in rows)
+    for row in found:
+        assert np.allclose(row.probabilities, by_hand(row.text), atol=1e-9)
+
+
+def test_a_fit_that_cannot_hold_every_token_fails(articles):
+    with pytest.raises(ValueError, match="distinct tokens"):
+        training.fit_naive_bayes(with_tokens(articles), max_tokens=5)
+
+
 def test_unknown_words_fall_back_to_class_sizes(spark, bayes):
     assert scoring.predict(spark, bayes, "zzz")["predicted_label"] == "World"
 

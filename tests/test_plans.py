@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from rubrika.functions.text import clean_text
 from rubrika.operators import analytics, encoding, scoring, training
+from rubrika.operators.token_model import fit_token_model
 from rubrika.plans import bindings
 from rubrika.plans.catalog import QUERIES
 from rubrika.session import shared_folder
 from rubrika.sources import prediction_log
-from rubrika.sources.corpus import head, read_corpus, spread, train_and_test, with_split
+from rubrika.sources.corpus import head, read_corpus, train_and_test, with_split
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -59,9 +60,7 @@ def test_date_filter_prunes_the_log(spark):
     text = plan(log.where("prediction_date >= '2024-01-25'").select("predicted_label"))
     assert re.search(r"PartitionFilters: .*status.*accepted.*prediction_date", text)
     assert "ReadSchema: struct<predicted_label:string>" in text
-    counted = plan(log.groupBy("prediction_date").count())
-    assert "ReadSchema: struct<>" in counted
-    recent = plan(analytics.recent_from_days(log, 10))
+    recent = plan(prediction_log.read_recent(spark, path, 10))
     assert re.search(r"PartitionFilters: .*prediction_date#\d+ >= ", recent)
 
 
@@ -92,11 +91,21 @@ def test_no_cross_joins(spark):
         assert "CartesianProduct" not in text and "NestedLoop" not in text, name
 
 
-def test_spread_leaves_large_tables_alone(spark):
-    many, few = spark.range(0, 100, 1, 64), spark.range(0, 100, 1, 2)
-    assert spread(many, "id") is many
-    assert spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(few, "id").count() == 100
+@pytest.mark.parametrize("name", ["clean_documents", "clean_pages", "corpus_split", "combine_title_body"])
+def test_projections_move_nothing(spark, name):
+    assert "Exchange" not in plan(QUERIES[name](spark, SF_DIR))
+
+
+def test_token_model_moves_numbers_and_joins_by_checked_size(spark):
+    docs = bindings.table(spark, SF_DIR, "documents").select("doc_id", "text", "lang")
+    labelled = docs.withColumn("label", bindings.language_class(F.col("lang")))
+    model = fit_token_model(encoding.with_tokens(labelled), shared_folder(spark, "token-model"))
+    tokens = encoding.with_tokens(docs.drop("lang"))
+    text = plan(model.transform(tokens).select("doc_id", "probabilities"))
+    assert "BroadcastHashJoin" in text and "CartesianProduct" not in text
+    assert text.count("partial_sum") and text.count("regexp_extract_all") == 1
+    salted = plan(model.transform(tokens, broadcast_rows=0))
+    assert "NestedLoop" not in salted and re.search(r"salt#\d+", salted)
 
 
 @pytest.mark.parametrize("source", ["json", "csv", "orc", "parquet"])
@@ -119,6 +128,16 @@ def test_head_and_split(spark):
     assert [x.count() for x in head(train, test, 10**6)] == [80, 20]
 
 
+def test_given_splits_and_keys_of_other_types(spark):
+    given = spark.createDataFrame([("a", "test"), ("b", "train")], "doc_id string, split string")
+    assert with_split(given) is given
+    named = spark.range(1000).selectExpr("concat('key', id) AS doc_id")
+    parts = {r["split"]: r["count"] for r in with_split(named).groupBy("split").count().collect()}
+    assert set(parts) == {"train", "test"} and 140 < parts["test"] < 260
+    with pytest.raises(Exception, match="doc_id is null"):
+        with_split(spark.createDataFrame([(1,), (None,)], "doc_id long")).collect()
+
+
 def test_shared_folder_is_fresh_and_configured(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     one, two = shared_folder(spark, "x"), shared_folder(spark, "x")

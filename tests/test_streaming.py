@@ -47,10 +47,29 @@ def test_stream_scores_like_a_batch(spark, model, tmp_path):
     start()
     assert prediction_log.read_log(spark, log).count() == scored.count()
 
-    # A replay after the offsets are lost replaces its batches.
-    stream = stream_of(spark, tmp_path / "in", df.schema)
-    score_to_log(stream, model, log, str(tmp_path / "offsets2")).awaitTermination()
+    # New offsets under the same name are refused, or take the place of the older run.
+    def restart(**options):
+        stream = stream_of(spark, tmp_path / "in", df.schema, per_batch=2)
+        score_to_log(stream, model, log, str(tmp_path / "offsets2"), **options).awaitTermination()
+
+    name = stored.first().source
+    with pytest.raises(Exception, match="other offsets"):
+        restart(source=name)
+    assert prediction_log.read_log(spark, log).count() == scored.count()
+    restart(source=name, replace=True)
     assert prediction_log.read_log(spark, log).count() == scored.count()
+    assert prediction_log.read_log(spark, log).select("batch_id").distinct().count() == 2
+
+
+def test_table_and_stream_share_a_log(spark, model, tmp_path):
+    df = spark.createDataFrame([r[:2] for r in ROWS], "doc_id long, text string")
+    df.repartition(2).write.parquet(str(tmp_path / "in"))
+    log = str(tmp_path / "log")
+    rows_of_table = prepare(scoring.score(df.limit(3), model), key="doc_id", text="text")
+    prediction_log.append(rows_of_table, log, 0)
+    stream = stream_of(spark, tmp_path / "in", df.schema)
+    score_to_log(stream, model, log, str(tmp_path / "offsets")).awaitTermination()
+    assert prediction_log.read_log(spark, log).count() == 3 + len(ROWS)
 
 
 def rows(days):
@@ -80,6 +99,15 @@ def test_running_stats_equal_batch(spark, tmp_path):
         found = stats.read_running(spark, out, running.schema)
         assert sorted(found.collect()) == sorted(whole.collect())
 
+    write_files(spark, tmp_path / "in", [rows([5] * 40)])
+    again = stats.running_category_stats(stream_of(spark, tmp_path / "in", PREDICTIONS, 9))
+    out = str(tmp_path / "labels")
+    stats.write_running(again, out, str(tmp_path / "new-offsets"), "complete").awaitTermination()
+    batch = spark.read.schema(PREDICTIONS).parquet(str(tmp_path / "in"))
+    found = stats.read_running(spark, out, again.schema)
+    assert sorted(found.collect()) == sorted(analytics.category_stats(batch).collect())
+    assert len(list((tmp_path / "labels").glob("query=*/slot=*/*.parquet"))) == 3
+
 
 def test_late_rows_are_left_out_and_counted(spark, tmp_path):
     """Kept, dropped and still open rows add up to all rows."""
@@ -111,3 +139,14 @@ def test_window_days_are_utc_days(spark, tmp_path):
     df = spark.createDataFrame(part, PREDICTIONS)
     days = stats.daily_volume_by_window(df).orderBy("prediction_date").collect()
     assert [(str(r.prediction_date), r.total) for r in days] == [("2024-01-01", 1), ("2024-01-02", 2)]
+
+
+def test_days_are_utc_in_another_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.sql("SELECT TIMESTAMP '2024-01-01 12:00:00Z' AS created_at, 'World' AS predicted_label")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert str(stats.daily_volume_by_window(df).first().prediction_date) == "2024-01-01"
+        assert str(analytics.daily_volume(df).first().prediction_date) == "2024-01-01"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
