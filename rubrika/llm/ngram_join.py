@@ -7,15 +7,20 @@ then shares at least ``overlap(n, m)`` shingles.
   partner size m, and two sets that share one are linked; nothing is left to verify.
 * Heavy sets: inverted lists. In one order of all shingles, rare ones first, a set can only link
   with sets that share one of its first n - ceil(0.75 n) + 1 shingles, so only these are posted, and
-  every list with two or more sets is scanned. Pairs are verified on the whole sets.
+  every list with two or more sets is scanned. The later a shingle stands in a set, the smaller the
+  partners it can link with: at place p (from 0) of a set of n the partner has at most
+  ``reach`` = (4 n - 7 p) / 3 shingles. A pair meets in a list only where each size is within the
+  other's reach. Pairs are verified on the whole sets.
 
 The boundary is the size at which the rows of both ways together are fewest, from the counts of set
 sizes. Light sets that may link with heavy ones are posted as well.
 
 Equal sets are one node from the start. A list of k sets that are all alike would give k * k pairs,
 so nodes are first linked with one leader each, the set that leads most of their lists: the smallest
-node of a list at first, then the one that meets most others, then nodes in random order. After that, lists are scanned in full, but only for pairs in different components, since a
-pair in one component cannot change the result. No link between different components is lost.
+node of a list at first, then the one that meets most others. After that, lists are scanned in full,
+short ones first (they hold the changes that copies of a changed copy share), then all, but only for
+pairs in different components, since a pair in one component cannot change the result. No link
+between different components is lost.
 
 Shingles have 64-bit hashes, cut to 48 bits for counting overlaps (a false match within a pair of
 documents of 1,000 words has a chance of 4e-9). Nodes have 64-bit ids checked by a second hash: a
@@ -49,7 +54,8 @@ SEGMENTS = 64
 LIGHT_LIMIT = 24  # light sets have at most so many shingles, whatever the costs
 VERIFY_COST = 4  # rows that a posting costs beside itself
 FILTER_BITS = 24
-CENTRE_ROUNDS = 3
+CENTRE_ROUNDS = 1
+SHORT = 64  # lists up to this length are scanned in full before the longer ones
 SETS = "doc_id long, n long, node long, proof long, elems binary"
 
 
@@ -62,6 +68,15 @@ def prefix_size(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
+def reaches(n: int) -> np.ndarray:
+    """For each posted place of a set of n the largest partner whose first shared shingle may stand
+    there: overlap(n, m) <= n - p."""
+    return (4 * n - 7 * np.arange(prefix_size(n))) // 3
+
+
+REACH = "n_a <= reach_b AND n_b <= reach_a"
+
+
 def _document_shingles(batch_column):
     """Shingle hashes of each text of a column, document by document."""
     data, offsets = utf8(batch_column)
@@ -224,10 +239,12 @@ def _posting_rows(batches, least: int, buckets: int):
         column = batch.column(2)
         firsts = [_unpack(column[int(k)].as_py()[: 6 * prefix_size(int(sizes[k]))]) for k in keep]
         h = np.concatenate(firsts)
-        owner = np.repeat(nodes[keep], [len(x) for x in firsts])
+        posted = [len(x) for x in firsts]
+        owner, size = np.repeat(nodes[keep], posted), np.repeat(sizes[keep], posted).astype(np.int32)
+        reach = np.concatenate([reaches(int(sizes[k])) for k in keep]).astype(np.int32)
         place = (mix(h) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(place, kind="stable")
-        h, owner, place = h[order], owner[order], place[order]
+        h, owner, place, size, reach = h[order], owner[order], place[order], size[order], reach[order]
         cut = np.searchsorted(place, np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cut))
         yield pa.RecordBatch.from_pydict(
@@ -235,32 +252,48 @@ def _posting_rows(batches, least: int, buckets: int):
                 "bucket": pa.array(full, pa.int32()),
                 "h": [_pack(h[cut[k] : cut[k + 1]]) for k in full],
                 "nodes": [owner[cut[k] : cut[k + 1]].tobytes() for k in full],
+                "sizes": [size[cut[k] : cut[k + 1]].tobytes() for k in full],
+                "reaches": [reach[cut[k] : cut[k + 1]].tobytes() for k in full],
             }
         )
 
 
+def _joined(column: pd.Series, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in column])
+
+
 def _shared_lists(group: pd.DataFrame) -> pd.DataFrame:
-    """Postings of the lists that have two or more nodes."""
-    h = np.concatenate([_unpack(x) for x in group["h"]]).astype(np.int64)
-    nodes = np.concatenate([np.frombuffer(x, np.int64) for x in group["nodes"]])
-    order = np.argsort(h, kind="stable")
-    h, nodes = h[order], nodes[order]
-    same = h[1:] == h[:-1]
-    inside = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    rows = pd.DataFrame({"h": h[inside], "node": nodes[inside]}).drop_duplicates()
-    rows = rows[rows.duplicated("h", keep=False)]
-    return rows.assign(leader=rows.groupby("h")["node"].transform("min"))
+    """Postings of the lists that have two or more nodes, without those that reach no other."""
+    rows = pd.DataFrame(
+        {
+            "h": np.concatenate([_unpack(x) for x in group["h"]]).astype(np.int64),
+            "node": _joined(group["nodes"], np.int64),
+            "n": _joined(group["sizes"], np.int32),
+            "reach": _joined(group["reaches"], np.int32),
+        }
+    )
+    rows = rows[rows.duplicated("h", keep=False)].drop_duplicates(["h", "node"])
+    least = rows.groupby("h")["n"].transform("min")
+    rows = rows[rows["reach"] >= least]
+    rows = rows[rows.duplicated("h", keep=False)].sort_values(["h", "node"], kind="stable")
+    lead = rows.groupby("h")[["node", "n", "reach"]].transform("first")
+    return rows.assign(leader=lead["node"], n_leader=lead["n"], reach_leader=lead["reach"])
+
+
+LISTS = "h long, node long, n int, reach int, leader long, n_leader int, reach_leader int"
 
 
 def shared_lists(sets: DataFrame, boundary: int) -> DataFrame:
-    """``h, node, leader`` (smallest node of the list): inverted lists over the first shingles of heavy sets, and of light ones that
-    may link with them, without the lists of one node. They travel packed: 14 bytes a posting."""
+    """Inverted lists over the first shingles of heavy sets, and of light ones that may link with
+    them, without the lists of one node; the leader is the smallest node of its list. They travel
+    packed: 22 bytes a posting."""
     buckets = 4 * shuffle_partitions(sets.sparkSession)
     least = max(1, -(-3 * (boundary + 1) // 4))
     packed = sets.select("n", "node", "elems").mapInArrow(
-        lambda b: _posting_rows(b, least, buckets), "bucket int, h binary, nodes binary"
+        lambda b: _posting_rows(b, least, buckets),
+        "bucket int, h binary, nodes binary, sizes binary, reaches binary",
     )
-    return packed.groupBy("bucket").applyInPandas(_shared_lists, "h long, node long, leader long")
+    return packed.groupBy("bucket").applyInPandas(_shared_lists, LISTS)
 
 
 def _among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -306,58 +339,46 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(linked("n_a", "e_a", "n_b", "e_b")).select("a", "b")
 
 
-def _best_leaders(led: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Each node with the leader of most of its lists, where their sizes allow a link."""
-    by = led.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("times"))
+def _best_leaders(led: DataFrame) -> DataFrame:
+    """Each node with the leader of most of its lists, where both are in reach."""
+    led = led.where("node <> leader AND n <= reach_leader AND n_leader <= reach")
+    by = led.groupBy("node", "leader").agg(F.count("*").alias("times"))
     best = by.groupBy("node").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
-    pairs = best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    return _of_near_sizes(pairs.distinct(), sizes)
+    return best.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
 def _lead_across(lists: DataFrame, turn: int) -> DataFrame:
-    """``node, leader`` over mixed lists (h, node, component, length); only nodes of other components
-    count. The leader of a list is in the first turn the node that meets most others in all its
-    lists, such as the text that a group was copied from, later the first in a new random order."""
+    """Mixed lists with their leaders; only nodes of other components count. The leader of a list
+    is in the first turn the node that meets most others in all its lists, such as the text that a
+    group was copied from, later the first in a new random order."""
     if turn == 0:
         weights = lists.groupBy("node").agg(F.sum("length").alias("weight"))
         ranked = lists.join(weights, "node")
     else:
         ranked = lists.withColumn("weight", F.xxhash64("node", F.lit(turn)))
-    chosen = F.struct(F.col("node").alias("leader"), F.col("component").alias("its"))
-    top = ranked.groupBy("h").agg(F.max_by(chosen, F.struct("weight", "node")).alias("top"))
-    led = lists.join(top.select("h", "top.leader", "top.its"), "h")
-    return led.where("component <> its").select("node", "leader")
-
-
-def _of_near_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    left = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    right = sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-    near = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
-    return pairs.join(left, "a").join(right, "b").where(near).drop("n_a", "n_b")
-
-
-def remaining_pairs(lists: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs of different components in a common list that share enough of their first shingles.
-    ``lists``: h, node, component. The set whose last posted shingle comes first in the common
-    order has posted all it shares up to there, so at most ceil(0.75 n) - 1 more can be common; with
-    the larger n this bound holds for either."""
-    lists = lists.join(sizes, "node")
-    left = lists.select("h", F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
-    right = lists.select("h", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
-    pairs = left.join(right, "h").where(
-        "a < b AND c_a <> c_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
-    )
-    shared = pairs.groupBy("a", "b").agg(
-        F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
+    chosen = F.struct(
+        F.col("node").alias("leader"),
+        F.col("component").alias("its"),
+        F.col("n").alias("n_leader"),
+        F.col("reach").alias("reach_leader"),
     )
-    more = "floor((3 * greatest(n_a, n_b) + 3) / 4) - 1"
-    return shared.where(f"7 * (shared + {more}) >= 3 * (n_a + n_b)").select("a", "b")
+    top = ranked.groupBy("h").agg(F.max_by(chosen, F.struct("weight", "node")).alias("top"))
+    return lists.join(top.select("h", "top.*"), "h").where("component <> its")
+
+
+def remaining_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs of different components that are in each other's reach in a common list."""
+    columns = ("node", "component", "n", "reach")
+    left = lists.select("h", *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = lists.select("h", *(F.col(c).alias(f"{c}_b") for c in columns))
+    pairs = left.join(right, "h").where(f"node_a < node_b AND component_a <> component_b AND {REACH}")
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def mixed_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """``h, node, component, length`` of the lists that hold more than one component."""
+    """``h, node, n, reach, component, length`` of the lists that hold more than one component."""
     labels = components(links).withColumnRenamed("label", "component")
-    lists = lists.select("h", "node").join(labels, "node", "left")
+    lists = lists.select("h", "node", "n", "reach").join(labels, "node", "left")
     lists = lists.withColumn("component", F.coalesce("component", "node"))
     mixed = lists.groupBy("h").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")
@@ -381,14 +402,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     boundary = light_boundary({row["n"]: row["count"] for row in counts})
     links = stored(light_links(sets, boundary), "light-links")
     lists = stored(shared_lists(sets, boundary), "lists")
-    pairs = stored(_best_leaders(lists.select("node", "leader"), sizes), "pairs")
+    pairs = stored(_best_leaders(lists), "pairs")
     links = stored(links.union(verified(sets, pairs)), "leader-links")
     for turn in range(CENTRE_ROUNDS):
         lists = mixed_lists(lists, links)
-        pairs = stored(_best_leaders(_lead_across(lists, turn), sizes), "pairs")
+        pairs = stored(_best_leaders(_lead_across(lists, turn)), "pairs")
         links = stored(links.union(verified(sets, pairs)), "leader-links")
-    rest = stored(remaining_pairs(mixed_lists(lists, links), sizes), "pairs")
-    links = stored(links.union(verified(sets, rest)), "all-links")
+    for longest in (SHORT, None):
+        lists = mixed_lists(lists, links)
+        now = lists if longest is None else lists.where(F.col("length") <= longest)
+        pairs = stored(remaining_pairs(now), "pairs")
+        links = stored(links.union(verified(sets, pairs)), "all-links")
     labels = components(links)
     members = sets.select("doc_id", "n", "node").join(labels, "node", "left")
     group = F.struct(

@@ -110,6 +110,14 @@ def test_join_of_odd_rows(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
 
 
+def test_reach_is_the_largest_partner():
+    for n in (*range(1, 60), 146, 997):
+        reach = ngram_join.reaches(n)
+        assert len(reach) == ngram_join.prefix_size(n)
+        for place, most in enumerate(reach.tolist()):
+            assert ngram_join.overlap(n, most) <= n - place < ngram_join.overlap(n, most + 1)
+
+
 def test_boundary_follows_cost():
     assert ngram_join.light_boundary({}) == 0
     assert ngram_join.light_boundary({4: 1000}) >= 4
