@@ -1,11 +1,14 @@
 """Pseudonyms for personal numbers, dates and addresses that keep their format.
 
-A value is found by its shape, checked (Luhn digit of cards, mod 97 of IBANs, ranges of dates, of
-network addresses and of phone and social security numbers), and mapped by a keyed Feistel
+A value is found by its shape, checked (Luhn digit of cards, mod 97 of IBANs, ranges of dates and of
+social security numbers, octets up to 255, length of phone numbers), and mapped by a keyed Feistel
 permutation of all values of its kind. The map is one to one and depends on key, kind and value
 alone, so equal values stay equal across documents and formats; punctuation, lengths and check
 digits stay as they are or are made right again. Numbers that fail their check are left alone.
 
+Phone numbers and network addresses that nobody can have (an American area code from 0 or 1, an
+address of 0, 127 or 224 up) are mapped too, among their like; those in use stay in use.
+
 Cases: null text stays null, empty text empty; values at text borders count; rows, ids and other
 columns pass unchanged; the counts replace columns of the same names; an empty table stays empty.
 """
@@ -118,11 +121,10 @@ def _address(found: str, key: str) -> str | None:
     if max(parts) > 255:
         return None
     value = parts[0] << 24 | parts[1] << 16 | parts[2] << 8 | parts[3]
-    if not _usable(value):
-        return None
-    while True:  # walks within the usable ones
+    usable = _usable(value)
+    while True:  # walks within the usable ones, or within the others
         value = permute(value, 1 << 32, key, "ip")
-        if _usable(value):
+        if _usable(value) == usable:
             return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
 
@@ -152,11 +154,10 @@ def _phone(found: str, key: str) -> str | None:
     def right(d: str) -> bool:
         return not american or (d[0] in "23456789" and d[3] in "23456789")
 
-    if not right(body):
-        return None
+    usable = right(body)
     while True:
         body = _digits(body, key, "phone" + (head or "1"))
-        if right(body):
+        if right(body) == usable:
             return _fill(found, head + body)
 
 

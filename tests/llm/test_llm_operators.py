@@ -230,6 +230,34 @@ def test_pseudonyms_keep_format_and_links():
     assert pii._iban_number(iban) % 97 == 1 and iban != "DE89370400440532013000"
 
 
+def test_pseudonyms_leave_no_phone_or_address(spark):
+    rng = np.random.default_rng(4)
+    phones = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(017) 155-7713", "117-055-7713", "+11325551352"]
+    phones += [f"+1 ({a:03d}) {b:03d}-{c:04d}" for a, b, c in rng.integers(0, [1000, 1000, 10000], (300, 3))]
+    addresses = ["248.40.198.62", "240.56.125.154", "127.0.0.1", "0.0.0.0", "255.255.255.255", "224.0.0.1"]
+    addresses += [".".join(map(str, x)) for x in rng.integers(0, 256, (300, 4))]
+    found = [*phones, *addresses]
+    docs = spark.createDataFrame([(k, f"see {x} for it") for k, x in enumerate(found)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.pseudonymize(docs, "k").collect()}
+    new = [out[k]["text"][4:-7] for k in range(len(found))]
+    assert all(a != b and out[k]["n_numbers"] == 1 for k, (a, b) in enumerate(zip(found, new)))
+
+    def shape(text):
+        return "".join("9" if c.isdigit() else c for c in text)
+
+    def in_use(body):
+        return body[0] in "23456789" and body[3] in "23456789"
+
+    for a, b in zip(phones, new):
+        old, moved = ("".join(c for c in x if c.isdigit())[-10:] for x in (a, b))
+        assert shape(a) == shape(b) and a[:2] == b[:2] if a[0] == "+" else shape(a) == shape(b)
+        assert in_use(old) == in_use(moved)
+    for a, b in zip(addresses, new[len(phones) :]):
+        assert max(map(int, b.split("."))) < 256 and len(b.split(".")) == 4
+        assert (0 < int(a.split(".")[0]) < 224 and a[:4] != "127.") == (0 < int(b.split(".")[0]) < 224 and b[:4] != "127.")
+    assert len(set(new)) == len(set(found))
+
+
 def test_pseudonyms_of_odd_rows(spark):
     docs = odd_documents(spark)
     out = pii.pseudonymize(docs)
