@@ -21,8 +21,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the model learns from those that name theirs."""
-    found = crf_language.predict(docs, crf_language.fit_on(docs))
+    """Documents whose language can be told; the model learns from those that name theirs. Where none
+    does, all documents with a letter."""
+    model = crf_language.fit_on(docs)
+    if not model.labels:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = crf_language.predict(docs, model)
     return found.where(F.col("lang_pred") != crf_language.UNKNOWN).select(*docs.columns)
 
 

@@ -11,7 +11,8 @@ Long texts are cut into segments of ``SEGMENT`` words whose transfer matrices ar
 this gives the same probabilities as one chain over the whole text.
 
 The fit uses at most ``PER_LANGUAGE`` labelled rows of each of ``LANGUAGES`` languages, the first by
-a hash of their id among texts of up to ``SAMPLE_CHARS`` characters.
+a hash of their id, of any length; of a text of more than ``SAMPLE_CHARS`` characters it reads a
+window of so many, at a place that a hash of the id chooses.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; without any usable labelled
 row all texts are ``und``; null language labels are not learned; ties go to the language first by
@@ -215,9 +216,12 @@ def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> Crf:
 def fit_on(labelled: DataFrame) -> Crf:
     """A model from a bounded sample of ``labelled`` (doc_id, text, lang)."""
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    rows = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(
-        F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE_CHARS) & (F.col("lang") != UNKNOWN)
-    )
+    text = F.col("text").cast("string")
+    spare = F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64("doc_id", F.lit("window")), spare).cast("int") + 1
+    rows = labelled.where(F.length("text") > 0).select(
+        "doc_id", F.substring(text, start, F.lit(SAMPLE_CHARS)).alias("text"), F.col("lang").cast("string").alias("lang")
+    ).where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
     rows = (
         rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE)
         .orderBy("k", "lang").limit(PER_LANGUAGE * LANGUAGES).select("text", "lang").collect()

@@ -305,6 +305,27 @@ def test_language_of_odd_rows(spark):
     assert {r["lang_pred"] for r in crf_language.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_of_long_texts_alone(spark):
+    rng = np.random.default_rng(6)
+    words = {"xx": "zorp blim quaf dreg vosk".split(), "yy": "une maison petite avec jardin".split()}
+    rows = [(k, " ".join(rng.choice(words["xx"], 4000)), "xx") for k in range(6)]
+    rows += [(k, " ".join(rng.choice(words["yy"], 60)), "yy") for k in range(6, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crf_language.fit_on(docs)
+    assert model.labels == ["xx", "yy"]
+    assert all(r["lang_pred"] == r["lang"] for r in crf_language.predict(docs, model).collect())
+    long = docs.where("lang = 'xx'")
+    assert crf_language.fit_on(long).labels == ["xx"]
+    assert corpus_pipeline.language(spark, long, SF_DIR).count() == 6
+
+
+def test_language_stage_keeps_unlabelled_texts(spark):
+    texts = ["ein Wort", "", None, "123 --", "é", "語", " \n", "1a", "\u00b2 \u0663 \u0301", "\U00010400"]
+    docs = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF_DIR).collect()}
+    assert kept == {k for k, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows = catalog.op2_toxicity(spark, "/root/testdata/sf0.1").where("held_out").collect()
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
