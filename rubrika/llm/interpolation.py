@@ -7,8 +7,8 @@ word, and the uniform one over the V known words and one unknown:
 
 The weights a and b depend on the bucket of the context's frequency, floor(log2 c(v)) + 1 (0: unseen,
 a = 0). They are learned by expectation-maximisation on held-out counts: each occurrence in the
-training texts of every fourth chunk is predicted from the counts without itself. A text starts after
-an end mark and closes with one.
+training texts is predicted from the counts without itself. A text starts after an end mark and
+closes with one.
 
 Counts cover all training texts and are spread over buckets of hashes. Texts are kept in chunks of
 some MB, written bucketed by chunk, so later passes find them in place. For each chunk and bucket one
@@ -40,9 +40,9 @@ from rubrika.session import shared_folder
 CHUNK_BYTES = 6 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 BUCKETS = 40  # of context frequencies
-TUNE_EVERY = 4
 ITERATIONS = 30
 GRID = 8  # bins per power of two of the held-out ratios
+BINS = 512  # more than the bins below 0
 MESSAGE = "bucket int, chunk long, keys binary, counts binary"
 ANSWER = "chunk long, kind int, bucket int, counts binary"
 
@@ -221,12 +221,11 @@ def _held_out(n: int, v: int):
         c = Counted(rows, answers)
         t = c.train
         context, word, pair = c.context[t] - 1, c.word[t] - 1, c.pair[t] - 1
-        grid = np.stack(
-            [frequency_bucket(context), _bin(pair / np.maximum(context, 1)), _bin(word / max(n - 1, 1))], 1
-        )
-        cells, counts = np.unique(grid, axis=0, return_counts=True)
+        # A cell in one number; bins go from -GRID * 60 to 1.
+        ratios = _bin(pair / np.maximum(context, 1)) + BINS << 10 | _bin(word / max(n - 1, 1)) + BINS
+        cells, counts = np.unique(frequency_bucket(context) << 20 | ratios, return_counts=True)
         return pd.DataFrame(
-            {"bucket": cells[:, 0], "pair": cells[:, 1], "word": cells[:, 2], "n": counts}
+            {"bucket": cells >> 20, "pair": (cells >> 10 & 1023) - BINS, "word": (cells & 1023) - BINS, "n": counts}
         ).astype(spec)
 
     return work
@@ -314,9 +313,8 @@ def score(docs: DataFrame, is_training: Column) -> DataFrame:
     pairs = by_chunk.cogroup(asked.groupBy("chunk")).applyInPandas(_pair_messages(buckets), MESSAGE)
     pairs = stored(pairs.groupBy("bucket").applyInPandas(_add_up(7, False, 2), ANSWER), "pair-counts")
     answers = asked.union(pairs.where("chunk >= 0"))
-    held = F.col("chunk") % TUNE_EVERY == 0  # the first chunk of each task among them
     cells = (
-        chunks.where(held).groupBy("chunk").cogroup(answers.where(held).groupBy("chunk"))
+        by_chunk.cogroup(answers.groupBy("chunk"))
         .applyInPandas(_held_out(n, v), "bucket int, pair int, word int, n long")
         .groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n"))
         .toPandas()  # at most BUCKETS x 500 x 500 cells, some thousands in practice

@@ -364,6 +364,48 @@ def test_language_model(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_language_model_weights_of_several_chunks(spark):
+    """Weights come from all training tokens: scores against counts and cells by brute force."""
+    from collections import Counter
+
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    long = [f"{k}".zfill(4) * 75 for k in range(200)]  # words of 300 bytes: few fill a chunk
+    rows = []
+    for k in range(7):
+        # The first texts repeat a phrase, the others are at random.
+        text = long[:5] * 2500 if k < 2 else [long[j] for j in rng.integers(0, 200, 12_500)]
+        rows.append((k, " ".join(text)))
+    assert len(rows[0][1]) * 2 > interpolation.CHUNK_BYTES
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r for r in interpolation.score(docs, F.col("doc_id") != 6).collect()}
+    words, pairs = Counter(), Counter()
+    texts = {k: [*text.split(" "), "\n"] for k, text in rows}
+    for k in range(6):
+        words.update(texts[k])
+        pairs.update(zip(["\n", *texts[k]], texts[k]))
+    n, v = sum(words.values()), len(words)
+    assert found[0]["train_tokens"] == n == 6 * 12_501
+
+    def cell(a, b, own):
+        context = words[a] - own
+        ratios = (pairs[a, b] - own) / max(context, 1), (words[b] - own) / (n - 1)
+        return (int(interpolation.frequency_bucket(np.array([context]))[0]), *(int(interpolation._bin(np.array([x]))[0]) for x in ratios))
+
+    cells = Counter()
+    for (a, b), count in pairs.items():
+        cells[cell(a, b, 1)] += count
+    table = pd.DataFrame([(*c, k) for c, k in cells.items()], columns=["bucket", "pair", "word", "n"])
+    weights = interpolation.learn_weights(table, v)
+    for k, text in texts.items():
+        total = 0.0
+        for (a, b), count in Counter(zip(["\n", *text], text)).items():
+            w = weights[interpolation.frequency_bucket(np.array([words[a]]))[0]]
+            total += count * np.log10(w[0] * pairs[a, b] / max(words[a], 1) + w[1] * words[b] / n + w[2] / (v + 1))
+        assert found[k]["score"] == pytest.approx(total, rel=1e-9)
+
+
 def test_language_model_of_odd_rows(spark):
     docs = odd_documents(spark)
     rows = interpolation.score(docs, F.lit(True)).collect()
