@@ -5,16 +5,21 @@ words slide over the whole text, each keeps its largest response, and a linear l
 The first embedding dimension starts as the log-odds of the word among toxic texts; all others at
 random. Training uses Adam on minibatches; only the windows that won the pooling have gradients.
 
-The threshold is set on labelled rows held out of the fit, for each language apart, by the largest
-F1. The language is told from the text by its function words, so no other column is an input. The
+Thresholds are set on all labelled rows, for each language apart, by the largest F1. Rows fall into
+``PARTS`` parts by a hash of their id, a first model is fitted without each part, and Spark scores the
+part's whole texts with it and counts logits in bins of 1 / ``GRID``. The final model is fitted with
+all parts and takes these thresholds over. The language is told from the text by its function words, so no other column is an input. The
 threshold of the language is taken off the logit, and the score is the logistic function of the rest:
 0.5 is the threshold everywhere.
 
-The fit uses at most ``PER_CLASS`` rows of each label, the first by a hash of their id among texts of
-up to ``SAMPLE_CHARS`` characters; scoring reads whole texts.
+The fit uses at most ``PER_CLASS`` rows of each label, the first by a hash of their id, as long as
+their texts make up to ``CLASS_CHARS`` characters in all. Texts count whole, as what makes one toxic
+may be anywhere; only of one longer than ``TEXT_CHARS`` a window is read, at a place that a hash of
+the id chooses.
 
 Cases: null and empty texts are scored as texts without words; without labelled rows of both kinds
-every score is the share of toxic rows (0 without any); null labels are not learned; rows pass one by
+every score is the share of toxic rows (0 without any); a part without which the
+sample lacks a label sets no threshold; null labels are not learned; rows pass one by
 one, repeated or not, with their other columns; ``score`` and ``predicted`` replace columns of these
 names; an empty table stays empty.
 """
@@ -38,7 +43,10 @@ DIM = 8
 FILTERS = 12
 WIDTHS = (1, 2, 3)
 PER_CLASS = 3000
-SAMPLE_CHARS = 12_000
+PARTS = 5
+CLASS_CHARS = 36_000_000
+TEXT_CHARS = 1_000_000
+GRID = 1000  # bins per unit of the logit
 EPOCHS = 6
 BATCH = 64
 RATE = 0.01
@@ -97,16 +105,15 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return words, np.cumsum(counts + pad) - counts - pad, votes.argmax(1)
 
 
-def _encode_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``encode`` of many texts, a few at a time."""
-    words, starts, langs, at = [], [], [], 0
+def _encode_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Words and starts of many texts, a few at a time."""
+    words, starts, at = [], [], 0
     for k in range(0, len(texts), 200):
-        w, s, lang = encode(*utf8(pa.array(texts[k : k + 200], pa.large_string())))
+        w, s, _ = encode(*utf8(pa.array(texts[k : k + 200], pa.large_string())))
         words.append(w)
         starts.append(s + at)
-        langs.append(lang)
         at += len(w)
-    return np.concatenate(words), np.concatenate(starts), np.concatenate(langs)
+    return np.concatenate(words), np.concatenate(starts)
 
 
 def pooled(model_tables, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -125,11 +132,8 @@ def logits(model: Cnn, tables, words: np.ndarray, starts: np.ndarray) -> np.ndar
     return np.maximum(pooled(tables, words, starts) + model.bias, 0) @ model.out + model.base
 
 
-def fit(
-    texts: list[str], toxic: list[int], calibrate: list[bool], clean_weight: float = 1.0, epochs: int = EPOCHS
-) -> Cnn:
-    """A model from labelled texts; rows marked ``calibrate`` only set the thresholds, where each
-    clean one stands for ``clean_weight`` rows."""
+def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Cnn:
+    """A model from labelled texts, with thresholds of 0."""
     rng = np.random.default_rng(5)
     size = 1 << BITS
     share = float(np.mean(toxic)) if toxic else 0.0
@@ -143,17 +147,17 @@ def fit(
         base,
         np.zeros(len(LANGUAGES)),
     )
-    y, held = np.array(toxic, float), np.array(calibrate, bool)
-    if len(set(toxic)) < 2 or len(set(y[~held])) < 2:
+    y = np.array(toxic, float)
+    if len(set(toxic)) < 2:
         model.out[:] = 0
         return model
-    words, starts, langs = _encode_all(texts)
+    words, starts = _encode_all(texts)
     ends = np.append(starts[1:], len(words))
-    train = np.flatnonzero(~held)
+    train = np.arange(len(y))
     seen = np.zeros((2, size))
     for d in train:
         seen[int(y[d]), np.unique(words[starts[d] : ends[d]])] += 1
-    totals = np.array([np.sum(~held & (y == 0)), np.sum(~held & (y == 1))])
+    totals = np.array([np.sum(y == 0), np.sum(y == 1)])
     odds = np.log((seen[1] + 0.5) / (totals[1] + 1)) - np.log((seen[0] + 0.5) / (totals[0] + 1))
     model.embedding[:, 0] = np.clip(odds, -2, 3) * (seen.sum(0) > 1)
     model.embedding[0] = 0
@@ -213,50 +217,95 @@ def fit(
             squares[kinds] += (total**2).mean(1, keepdims=True)
             model.embedding[kinds] -= RATE * total / np.sqrt(squares[kinds])
             model.embedding[0] = 0
-    scored = logits(model, model.tables(), words, starts)
-    overall = _threshold(scored[held], y[held], clean_weight) if held.any() else 0.0
-    for k in range(len(LANGUAGES)):
-        own = held & (langs == k)
-        enough = own.any() and min(np.sum(y[own] == 1), np.sum(y[own] == 0)) >= 10
-        model.thresholds[k] = _threshold(scored[own], y[own], clean_weight) if enough else overall
     return model
 
 
-def _threshold(scores: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
-    """The middle of the gap below the cut with the largest F1; 0 where one label is missing."""
-    if not 0 < y.sum() < len(y):
+def set_thresholds(model: Cnn, cells: list[tuple[int, int, int, int]]) -> None:
+    """Thresholds from counts of (language, label, logit in bins, rows)."""
+    langs, y, bins, n = np.array(cells, np.int64).reshape(-1, 4).T
+    overall = _threshold(bins / GRID, y, n)
+    for k in range(len(LANGUAGES)):
+        own = langs == k
+        enough = min(n[own & (y == 1)].sum(), n[own & (y == 0)].sum()) >= 10
+        model.thresholds[k] = _threshold(bins[own] / GRID, y[own], n[own]) if enough else overall
+
+
+def _threshold(scores: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """The middle of the gap below the cut with the largest F1, where each score stands for ``n``
+    rows; 0 where one label is missing."""
+    toxic = n[y == 1].sum()
+    if not 0 < toxic < n.sum():
         return 0.0
     order = np.argsort(-scores, kind="stable")
-    s, hits = scores[order], np.cumsum(y[order])
-    false = np.arange(1, len(s) + 1) - hits
-    f1 = 2 * hits / (hits + clean_weight * false + y.sum())
+    s, hits, taken = scores[order], np.cumsum((y * n)[order]), np.cumsum(n[order])
+    f1 = 2 * hits / (taken + toxic)
     f1[:-1][s[:-1] == s[1:]] = -1
     k = int(f1.argmax())
     return float(s[k] if k + 1 == len(s) else (s[k] + s[k + 1]) / 2)
 
 
+def _scored(column: pa.Array, model: Cnn, tables):
+    """Runs of texts, from i to j, with their languages and logits."""
+    data, offsets = utf8(column)
+    for i, j in slices(offsets, CHUNK_BYTES):
+        words, starts, langs = encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield i, j, langs, logits(model, tables, words, starts)
+
+
+def _logit_cells(labelled: DataFrame, models: dict[int, Cnn]) -> list[tuple[int, int, int, int]]:
+    """Rows of ``labelled`` (text, toxic, part) by language, label and bin of the logit under the model
+    of their part."""
+    shared = labelled.sparkSession.sparkContext.broadcast(models)
+
+    def work(batches):
+        ready = {}
+        for batch in batches:
+            parts = batch.column(2).to_numpy(zero_copy_only=False)
+            for part in np.unique(parts):
+                model = shared.value[part]
+                if part not in ready:
+                    ready[part] = model.tables()
+                own = batch.filter(pa.array(parts == part))
+                for i, j, langs, out in _scored(own.column(0), model, ready[part]):
+                    bins = np.round(np.clip(out, -100, 100) * GRID).astype(np.int64)
+                    columns = [pa.array(langs), own.column(1).slice(i, j - i), pa.array(bins)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "toxic", "bin"])
+
+    rows = labelled.where(F.col("part").isin([*models])).select("text", "toxic", "part")
+    cells = rows.mapInArrow(work, "lang long, toxic int, bin long")
+    return [tuple(r) for r in cells.groupBy("lang", "toxic", "bin").count().collect()]
+
+
 def fit_on(labelled: DataFrame) -> Cnn:
-    """A model from a bounded sample of ``labelled`` (doc_id, text, toxic). A fifth of the sample,
-    by a hash of the id, sets the thresholds."""
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    usable = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).where(
-        F.col("toxic").isin(0, 1) & F.length("text").between(1, SAMPLE_CHARS)
+    """A model from a bounded sample of ``labelled`` (doc_id, text, toxic), with thresholds from all
+    of its rows, each under a model fitted without it."""
+    usable = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    usable = usable.where(F.col("toxic").isin(0, 1) & (F.length("text") > 0)).withColumn(
+        "part", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(PARTS)).cast("int")
     )
-    totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    spare = F.greatest(F.length("text") - TEXT_CHARS, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64("doc_id", F.lit("window")), spare).cast("int") + 1
     rows = (
-        usable
+        usable.withColumn("text", F.substring("text", start, F.lit(TEXT_CHARS)))
         .withColumn("k", F.row_number().over(order))
         .where(F.col("k") <= PER_CLASS)
-        .withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5)) == 0)
+        .withColumn("chars", F.sum(F.length("text")).over(W.partitionBy("toxic").orderBy("k")))
+        .where(F.col("chars") <= CLASS_CHARS)
         .orderBy("k", "toxic")
         .limit(2 * PER_CLASS)
-        .select("text", "toxic", "calibrate")
+        .select("text", "toxic", "part")
         .collect()
     )
-    toxic = [r["toxic"] for r in rows]
-    # Both labels are cut to the same number; thresholds must see them as often as they are.
-    kept = {k: max(1, toxic.count(k)) / max(1, totals.get(k, 0)) for k in (0, 1)}
-    return fit([r["text"] for r in rows], toxic, [r["calibrate"] for r in rows], kept[1] / kept[0])
+    model = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    models = {}
+    for part in range(PARTS):
+        rest = [r for r in rows if r["part"] != part]
+        if len({r["toxic"] for r in rest}) == 2:
+            models[part] = fit([r["text"] for r in rest], [r["toxic"] for r in rest])
+    if models:
+        set_thresholds(model, _logit_cells(usable, models))
+    return model
 
 
 def score(docs: DataFrame, model: Cnn, text: str = "text") -> DataFrame:
@@ -270,11 +319,9 @@ def score(docs: DataFrame, model: Cnn, text: str = "text") -> DataFrame:
     def work(batches):
         model, tables = shared.value
         for batch in batches:
-            data, offsets = utf8(batch.column(place))
             out = np.zeros(batch.num_rows)
-            for i, j in slices(offsets, CHUNK_BYTES):
-                words, starts, langs = encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                out[i:j] = logits(model, tables, words, starts) - model.thresholds[langs]
+            for i, j, langs, found in _scored(batch.column(place), model, tables):
+                out[i:j] = found - model.thresholds[langs]
             p = 1 / (1 + np.exp(-np.clip(out, -500, 500)))
             columns = [*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

@@ -342,6 +342,38 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(docs, toxicity.fit_on(empty(spark).withColumn("toxic", F.lit(None).cast("int")))).count() == 11
 
 
+def test_toxicity_of_long_texts(spark):
+    rng = np.random.default_rng(9)
+    plain, vile = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)], "gruk mulv splor".split()
+    rows = []
+    for k in range(200):
+        words = rng.choice(plain, 5000).tolist()  # 15,000 characters and more
+        if k % 4 == 0:
+            words[int(rng.integers(0, 4900))] = rng.choice(vile)
+        rows.append((k, " ".join(words), int(k % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_on(docs.where("doc_id < 150"))
+    found = toxicity.score(docs.where("doc_id >= 150"), model).collect()
+    assert len(found) == 50 and np.mean([r["predicted"] == r["toxic"] for r in found]) > 0.9
+    assert {(r["score"] >= 0.5) == r["predicted"] for r in found} == {True}
+
+
+def test_toxicity_thresholds_by_brute_force():
+    rng = np.random.default_rng(10)
+    cells = [(k % 2, int(y), int(s), int(n)) for k, (y, s, n) in enumerate(rng.integers([0, -50, 1], [2, 50, 9], (80, 3)))]
+    model = toxicity.fit(["a", "b"], [0, 1], epochs=0)
+    toxicity.set_thresholds(model, cells)
+
+    def f1(cut, own):
+        hit = sum(n for _, y, s, n in own if y and s / toxicity.GRID >= cut)
+        return 2 * hit / (sum(n for _, _, s, n in own if s / toxicity.GRID >= cut) + sum(n for _, y, _, n in own if y))
+
+    for k in range(2):
+        own = [c for c in cells if c[0] == k]
+        assert f1(model.thresholds[k], own) == max(f1(c[2] / toxicity.GRID, own) for c in own)
+    assert f1(model.thresholds[4], cells) == max(f1(c[2] / toxicity.GRID, cells) for c in cells)
+
+
 def test_language_model(spark):
     rows = catalog.op7_interpolation(spark, "/root/testdata/sf0.01").collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
