@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -20,7 +21,7 @@ def connect(sf_dir):
 
 
 def _cell(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return "\x00null"
     if isinstance(value, float):
         return repr(round(value, 9) + 0.0)
@@ -41,6 +42,11 @@ def kinds(frame):
 def differences(df, sql, con):
     ours = df.toPandas()
     theirs = con.execute(sql).df()
+    # Either side may give whole numbers with nulls as floats.
+    for name, kind in df.dtypes:
+        for frame in (ours, theirs):
+            if kind in ("int", "bigint") and name in frame and frame[name].dtype.kind in "iuf":
+                frame[name] = frame[name].astype("Int64")
     left, right = _rows(ours), _rows(theirs)
     if left[0] != right[0]:
         return [f"columns {left[0]} / {right[0]}"]
