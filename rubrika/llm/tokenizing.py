@@ -4,9 +4,11 @@ Texts are cut where the tokenizers always end a pre-token, each distinct piece i
 the ids are put together with numpy. For the tokenizer that drops white space, pieces are the words.
 For the byte-level one they are cut before a single space, around a single line feed, and, for both,
 between an ASCII letter and a full stop, comma, colon or semicolon. Texts that hold white space other
-than space and line feed are not cut by the byte-level one but encoded whole.
+than space and line feed are not cut by the byte-level one but encoded whole. No cut falls inside a
+special token's string, which becomes its id, as with the library and the file as it is.
 
-Pieces are told apart by 64-bit hashes; a worker remembers ``MEMO`` pieces, then starts anew.
+Pieces are told apart by 64-bit hashes; a worker remembers pieces up to ``MEMO_BYTES``, then starts
+anew. Texts are worked on in parts of ``CHUNK_BYTES``; a longer one is a part of its own.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from rubrika.llm.words import SPACE, hashes
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 WORD_LEVEL = "word_bpe_49k.json"
-MEMO = 800_000
-CHUNK_BYTES = 4 << 20
+MEMO_BYTES = 48 << 20
+PIECE_COST = 130  # bytes for a remembered piece beside its ids
+CHUNK_BYTES = 1 << 19
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,:;"]] = True
 _LETTER = np.zeros(256, bool)
@@ -51,7 +54,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.byte_level = name != WORD_LEVEL
         self._forget()
 
@@ -108,7 +110,7 @@ class PieceEncoder:
         """Ids of all documents one after another, and where each begins and ends."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if len(self.memo) > MEMO:
+        if PIECE_COST * len(self.memo) + 4 * self.used > MEMO_BYTES:
             self._forget()
         starts, ends = self._pieces(data, offsets)
         of, kinds = pd.factorize(hashes(data, starts, ends, fold=not self.byte_level))
