@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from rubrika.llm import (
     cap_filters,
     crf_language,
+    edit_tiles,
     interpolation,
+    max_sketches,
+    merge_replay,
     mixing,
     ngram_join,
     packing,
@@ -78,11 +81,28 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op11_edit_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_tiles.variants(edit_tiles.count_words(table(spark, sf_dir, "documents")))
+
+
+def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = merge_replay.encode(table(spark, sf_dir, "documents"))
+    digests = merge_replay.ids_digest(merge_replay.decode(encoded))
+    return digests.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op13_max_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketches.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix, op2_toxicity, op3_nearest, op4_ngram_join, op5_pseudonyms, op6_packing, op7_interpolation,
-        op8_language, op9_near_vectors, op10_token_files,
+        op8_language, op9_near_vectors, op10_token_files, op11_edit_tiles, op12_merge_replay,
+        op13_max_sketches,
     )
 }
 
@@ -185,3 +205,83 @@ SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id,
     v.vec_id = coalesce(component_id, v.vec_id) AS kept
 FROM v LEFT JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
 """
+
+# The checksum of a text's bytes by a table of 256 entries, itself computed here.
+ORACLES["op11_edit_tiles"] = r"""
+WITH RECURSIVE tab AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+            lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) AS c
+        FROM (SELECT unnest(range(0, 256))::BIGINT AS i))
+), runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+    FROM documents
+), r AS (
+    SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x
+    FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run
+), h AS (
+    SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2),
+        lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h
+    FROM r, tab
+), d AS (
+    SELECT k, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+        ELSE run END AS word
+    FROM h
+), w AS (
+    SELECT word, sum(k)::BIGINT AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), cut AS (
+    SELECT word, n, i, left(word, i) AS a, substr(word, i + 2) AS b
+    FROM (SELECT word, n, unnest(range(0, length(word)))::INT AS i FROM w)
+), shorter AS (
+    SELECT DISTINCT c.word AS l, c.n AS l_n, w.word AS s, w.n AS s_n FROM cut c JOIN w ON c.a || c.b = w.word
+), near AS (
+    SELECT l AS word, s AS near, s_n AS near_n FROM shorter
+    UNION ALL SELECT s, l, l_n FROM shorter
+    UNION ALL SELECT x.word, y.word, y.n FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+), best AS (
+    SELECT word, count(*) AS n_near, min({'less': -near_n, 'form': near}) AS best FROM near GROUP BY word
+), f AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN -best.less >= 5 * w.n THEN best.form END AS form, CASE WHEN -best.less >= 5 * w.n THEN -best.less END AS form_n
+    FROM w LEFT JOIN best USING (word)
+), walk AS (
+    SELECT word, word AS spot, 0 AS steps FROM f
+    UNION ALL
+    SELECT walk.word, f.form, steps + 1 FROM walk JOIN f ON f.word = walk.spot WHERE f.form IS NOT NULL
+), ends AS (
+    SELECT word, arg_max(spot, steps) AS root FROM walk GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+"""
+
+ORACLES["op13_max_sketches"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM documents
+), o AS (
+    SELECT r, doc_id, len(t) AS n, t FROM d WHERE len(t) > 0
+), s AS (
+    SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM o
+), f AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM o) GROUP BY r, term
+), w AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM f, s GROUP BY term, docs
+), i AS (
+    SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), k AS (
+    SELECT q, item_id, term, count(*) AS times FROM i GROUP BY q, item_id, term
+), p AS (
+    SELECT q, item_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+    FROM k JOIN w USING (term) JOIN f USING (term) JOIN o USING (r), s GROUP BY q, item_id, r
+), b AS (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank
+    FROM p JOIN o USING (r) WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM b WHERE rank <= 20
+"""
