@@ -27,7 +27,7 @@ import base64
 import re
 from collections.abc import Iterator
 from hashlib import sha256
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -40,11 +40,15 @@ from rubrika.llm.common import slices, utf8
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 2 << 20
-MEMO_BYTES = 24 << 20
-PIECE_COST = 80  # bytes that a remembered piece takes beside its text
+MEMO_BYTES = 72 << 20
+PIECE_COST = 170  # bytes that a remembered piece takes beside its text and ids
+RANK_SPAN = 512
 WINDOW = 1 << 19
 PART_BYTES = 4 << 20
-NEVER = np.int32(2**31 - 1)
+FEW = 24  # positions that are merged one by one
+NONE = 2**31 - 1
+NEVER = np.int32(NONE)
+NOWHERE = np.zeros(0, np.int32)
 _workers: dict[str, "Replay"] = {}
 
 
@@ -119,6 +123,7 @@ class Replay:
                 if left is not None and right is not None:
                     keys.append(left * self.base + right)
                     merged.append(rank)
+        self.pairs = dict(zip(keys, merged))
         order = np.argsort(np.array(keys, np.int64))
         self.keys = np.append(np.array(keys, np.int64)[order], np.int64(2**62))
         self.merged = np.append(np.array(merged, np.int32)[order], NEVER)
@@ -170,62 +175,81 @@ class Replay:
         before[firsts] = n
         rank = np.append(self._rank(symbol[:-1], symbol[after[:-1]]), NEVER)
 
-        # The index: positions by the rank of the pair that begins there.
-        some = np.flatnonzero(rank != NEVER).astype(np.int32)
-        some = some[np.argsort(rank[some], kind="stable")]
-        ranks, edges = np.unique(rank[some], return_index=True)
-        first = dict(zip(ranks.tolist(), zip(edges.tolist(), [*edges[1:].tolist(), len(some)])))
-        later: dict[int, list[int]] = {}
-        heap = ranks.tolist()
-        heapify(heap)
-        passed: list[np.ndarray] = []
-        while heap:
-            r = heappop(heap)
-            at = np.array(sorted(later.pop(r, ())), np.int32)
-            if r in first:
-                begin, end = first.pop(r)
-                at = np.sort(np.concatenate((some[begin:end], at))) if len(at) else some[begin:end]
-            at = at[rank[at] == r]
+        # The index: positions by the rank of the pair that begins there, put in order for a span of
+        # ranks when their turn comes.
+        waiting, single = [np.flatnonzero(rank != NEVER).astype(np.int32)], []
+        passed: list[int] = []
+        chain = [memoryview(a) for a in (symbol, after, before, rank)]
+        for top in range(RANK_SPAN, self.count + RANK_SPAN, RANK_SPAN):
+            at = np.concatenate((*waiting, np.array(single, np.int32)))
+            turn = rank[at]
+            waiting, single, at = [at[(turn >= top) & (turn != NEVER)]], [], at[turn < top]
             if not len(at):
                 continue
-            if len(at) > 1:
-                # Pairs that share a symbol: the leftmost, then every other one.
-                chained = np.append(False, at[1:] == after[at[:-1]])
-                if chained.any():
-                    spot = np.arange(len(at))
-                    start = np.maximum.accumulate(np.where(chained, 0, spot))
-                    at = at[(spot - start) % 2 == 0]
-            gone = after[at]
-            beyond = after[gone]
-            symbol[at], after[at], before[beyond] = r, beyond, at
-            rank[gone] = NEVER
-            touched = np.concatenate((at, before[at]))
-            touched = touched[touched != n]
-            if len(touched) > 2:
-                touched = np.unique(touched)
-            new = self._rank(symbol[touched], symbol[after[touched]])
-            rank[touched] = new
-            live = new != NEVER
-            new, touched = new[live], touched[live]
-            if len(new) and int(new.min()) < r:
-                passed.append(touched[new < r])
-            for k, p in zip(new.tolist(), touched.tolist()):
-                spots = later.get(k)
-                if spots is None:
-                    later[k] = [p]
-                    if k not in first:
-                        heappush(heap, k)
-                else:
-                    spots.append(p)
+            at = at[np.argsort(rank[at], kind="stable")]
+            ranks, edges = np.unique(rank[at], return_index=True)
+            index = dict(zip(ranks.tolist(), np.split(at, edges[1:])))
+            later: dict[int, list[int]] = {}
+            heap = ranks.tolist()  # in order, hence a heap
+            while heap:
+                r = heappop(heap)
+                at, more = index.pop(r, NOWHERE), later.pop(r, [])
+                if len(at) + len(more) <= FEW:
+                    self._merge_few(r, sorted({*at.tolist(), *more}), n, chain, (top, later, index, heap, single, passed))
+                    continue
+                at = np.concatenate((at, np.array(more, np.int32)))
+                at = np.unique(at[rank[at] == r])
+                if not len(at):
+                    continue
+                if len(at) > 1:
+                    # Pairs that share a symbol: the leftmost, then every other one.
+                    chained = np.append(False, at[1:] == after[at[:-1]])
+                    if chained.any():
+                        spot = np.arange(len(at))
+                        start = np.maximum.accumulate(np.where(chained, 0, spot))
+                        at = at[(spot - start) % 2 == 0]
+                gone = after[at]
+                beyond = after[gone]
+                symbol[at], after[at], before[beyond] = r, beyond, at
+                rank[gone] = NEVER
+                touched = np.concatenate((at, before[at]))
+                touched = touched[touched != n]
+                new = self._rank(symbol[touched], symbol[after[touched]])
+                rank[touched] = new
+                soon = new < top
+                for k, p in zip(new[soon].tolist(), touched[soon].tolist()):
+                    _wait(k, p, r, later, index, heap, passed)
+                waiting.append(touched[~soon & (new != NEVER)])
 
         alive = np.zeros(n, bool)
         alive[self._heads(firsts, after, n)] = True
         flat = symbol[:-1][alive]
         bounds = np.concatenate(([0], np.cumsum(alive)))[np.append(firsts, n)]
         if passed:
-            flat, bounds = self._again(words, flat, bounds, ends, np.concatenate(passed))
+            flat, bounds = self._again(words, flat, bounds, ends, np.array(passed))
         return flat, bounds
 
+    def _merge_few(self, r: int, at: list[int], n: int, chain: list[memoryview], places: tuple) -> None:
+        """Merge a few positions one by one, from the left: a pair whose symbol is gone is passed over."""
+        symbol, after, before, rank = chain
+        top, later, index, heap, single, passed = places
+        for p in at:
+            if rank[p] != r:
+                continue
+            gone = after[p]
+            beyond = after[gone]
+            symbol[p], after[p], before[beyond], rank[gone] = r, beyond, p, NONE
+            q = before[p]
+            for left, right in ((p, beyond), (q, p)):
+                if left == n:
+                    continue
+                k = self.pairs.get(symbol[left] * self.base + symbol[right], NONE)
+                rank[left] = k
+                if k < top:
+                    _wait(k, left, r, later, index, heap, passed)
+                elif k != NONE:
+                    single.append(left)
+
     @staticmethod
     def _heads(firsts: np.ndarray, after: np.ndarray, n: int) -> np.ndarray:
         """Positions of the symbols that are left: from each word's first along its chain."""
@@ -280,10 +304,11 @@ class Replay:
         """Ids of pieces, one after another, and where each piece's ids begin and end."""
         if self.held > MEMO_BYTES:
             self._forget()
-        new = set(pieces).difference(self.memo)
-        if new:
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
+        at = list(map(self.memo.get, pieces))
+        if None in at:
+            self._learn(sorted({piece for piece, place in zip(pieces, at) if place is None}))
+            at = list(map(self.memo.get, pieces))
+        at = np.array(at, np.int64)
         lengths = self.lengths[at]
         return gather(self.pool, self.starts[at], lengths), np.concatenate(([0], np.cumsum(lengths)))
 
@@ -295,6 +320,18 @@ class Replay:
         return gather(self.bytes, self.ends[ids] - sizes, sizes)
 
 
+def _wait(k: int, p: int, r: int, later: dict, index: dict, heap: list, passed: list) -> None:
+    """Enter position ``p`` under rank ``k`` while rank ``r`` is merged."""
+    if k < r:
+        passed.append(p)
+    if k in later:
+        later[k].append(p)
+    else:
+        later[k] = [p]
+        if k not in index:
+            heappush(heap, k)
+
+
 def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Ranges of ``pool``, one after another."""
     total = np.cumsum(sizes)
