@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from rubrika.operators.prediction_rows import prepare
 from rubrika.operators.scoring import batch_predict, score
 from rubrika.schemas import HISTORY_LIMIT
 from rubrika.session import build_session
-from rubrika.sources import prediction_log
+from rubrika.sources import compaction, prediction_log
 from rubrika.sources.corpus import head, train_and_test, with_split
 from rubrika.sources.models import load_model, save_model
 
@@ -44,7 +45,7 @@ def score_table(spark: SparkSession, args: argparse.Namespace) -> None:
     on_blank = "fail" if args.strict else "keep"
     rows = score(_read(spark, args), load_model(args.model), text=args.text, on_blank=on_blank)
     prepared = prepare(rows, key=args.key, text=args.text)
-    prediction_log.append(prepared, args.log, args.batch, source=args.source)
+    prediction_log.append(prepared, args.log, args.batch, source=args.source, unique=args.unique)
     outcome = prediction_log.batch_outcome(spark, args.log)
     mine = (F.col("batch_id") == args.batch) & (F.col("source") == args.source)
     outcome.where(mine).show(truncate=False)
@@ -68,6 +69,14 @@ def recent(spark: SparkSession, args: argparse.Namespace) -> None:
     analytics.history_lines(latest).show(args.limit, truncate=False)
 
 
+def compact(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Write the days before a date anew, and remove what that and later attempts replaced."""
+    number = compaction.compact(spark, args.log, args.before)
+    print("nothing to compact" if number is None else f"compacted, number {number}")
+    if args.reached is not None:
+        print(f"{compaction.remove_replaced(spark, args.log, args.reached)} folders removed")
+
+
 def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="rubrika", description=__doc__)
     commands = parser.add_subparsers(required=True)
@@ -91,6 +100,10 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     sub.add_argument("--batch", type=int, required=True)
     sub.add_argument("--source", default=prediction_log.TABLE_SOURCE, help="whose batch it is")
     sub.add_argument("--strict", action="store_true", help="fail on blank texts")
+    sub.add_argument("--unique", action="store_true", help="reject ids that the source holds already")
+    sub = command("compact", compact, "log")
+    sub.add_argument("--before", type=date.fromisoformat, required=True, help="first day that stays as it is")
+    sub.add_argument("--reached", type=int, help="list number that all readers have reached; older is removed")
     command("predict", predict, "model").add_argument("texts", nargs="+")
     command("stats", stats, "log")
     command("recent", recent, "log").add_argument("--limit", type=int, default=HISTORY_LIMIT)

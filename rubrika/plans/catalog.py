@@ -6,6 +6,8 @@ reference SQL of the same name in ``rubrika.plans.oracles``. Times are returned
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from rubrika.operators.token_model import TokenModel, fit_token_model, load_toke
 from rubrika.plans import bindings as b
 from rubrika.schemas import MAX_LENGTH, VOCABULARY_SIZE
 from rubrika.session import shared_folder
-from rubrika.sources import prediction_log
+from rubrika.sources import compaction, prediction_log
 from rubrika.sources.corpus import head, read_corpus, train_and_test
 from rubrika.sources.models import save_model
 from rubrika.streaming import stats
@@ -340,6 +342,39 @@ def log_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prediction_log.read_rejected(spark, path).select("batch_id", "id", "confidence", "reason")
 
 
+def log_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches in which three events each share an id, the first written twice: what the log keeps
+    and what it sets aside."""
+    path = shared_folder(spark, "log")
+    events = b.unchecked_events(spark, sf_dir)
+    first = F.pmod("id", F.lit(4)) < 2
+    for batch_id, part in ((1, first), (1, first), (2, ~first)):
+        rows = events.where(part).withColumn("id", F.col("id") - F.pmod("id", F.lit(3)))
+        prediction_log.append(prepare(rows, key="id"), path, batch_id, rebalance=True, unique=True)
+    kept = prediction_log.read_log(spark, path).select("batch_id", "id", F.lit(None).cast("string").alias("reason"))
+    return kept.union(prediction_log.read_rejected(spark, path).select("batch_id", "id", "reason"))
+
+
+def log_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as four batches, one of them repeated before and one after a first compaction, then a
+    second one over more days, and what was replaced removed."""
+    path = shared_folder(spark, "log")
+    events = b.event_log(spark, sf_dir)
+
+    def write(batch_id: int) -> None:
+        prediction_log.append(events.where(F.pmod("id", F.lit(4)) == batch_id), path, batch_id, rebalance=True)
+
+    for batch_id in (0, 1, 2, 3, 1):
+        write(batch_id)
+    compaction.compact(spark, path, date(2024, 1, 15))
+    write(2)
+    reached = compaction.compact(spark, path, date(2024, 1, 25))
+    compaction.remove_replaced(spark, path, reached)
+    return prediction_log.read_log(spark, path).select(
+        "batch_id", "id", "predicted_label", "confidence", _date("prediction_date")
+    )
+
+
 def category_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats_rows = analytics.category_stats(b.event_log(spark, sf_dir))
     return stats_rows.withColumn("last_seen", _time("last_seen"))
@@ -547,6 +582,8 @@ QUERIES = {
     "log_validate_articles": log_validate_articles,
     "log_append": log_append,
     "log_rejected": log_rejected,
+    "log_repeated_ids": log_repeated_ids,
+    "log_compacted": log_compacted,
     "log_sources": log_sources,
     "log_rerun_failed": log_rerun_failed,
     "category_stats": category_stats,

@@ -400,6 +400,28 @@ ORACLES = {
         SELECT CAST(1 AS BIGINT) AS batch_id, id, confidence, reason
         FROM checked WHERE reason IS NOT NULL
     """,
+    "log_repeated_ids": f"""
+        WITH {EVENT_ROWS},
+        shared AS (
+            SELECT id - id % 3 AS id, CASE WHEN id % 4 < 2 THEN 1 ELSE 2 END AS batch_id, reason FROM checked
+        ),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY batch_id, id, reason IS NULL) AS place,
+                   count(*) FILTER (batch_id = 1 AND reason IS NULL) OVER (PARTITION BY id) > 0 AS in_first
+            FROM shared
+        )
+        SELECT CAST(batch_id AS BIGINT) AS batch_id, id,
+               CASE WHEN reason IS NOT NULL THEN reason
+                    WHEN batch_id = 2 AND in_first THEN 'id is in another batch of the source'
+                    WHEN place > 1 THEN 'id is repeated in the batch' END AS reason
+        FROM placed
+    """,
+    "log_compacted": f"""
+        WITH {LOG}
+        SELECT id % 4 AS batch_id, id, predicted_label, confidence,
+               strftime(created_at, '%Y-%m-%d') AS prediction_date
+        FROM log
+    """,
     "category_stats": f"WITH {LOG} {STATS.format('log')}",
     "daily_volume": f"WITH {LOG} {VOLUME}",
     "stats_views": f"""

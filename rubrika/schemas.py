@@ -59,17 +59,60 @@ LOG_TABLE = T.StructType(
     ]
 )
 
-# An entry of the list of complete attempts: the attempt itself (no status, no rows), and its rows
-# by status and day.
-LOG_ENTRY = T.StructType(
+# What an attempt holds, by status and day.
+LOG_COUNTS = T.StructType(
     [
         T.StructField("status", T.StringType()),
         T.StructField("prediction_date", T.DateType()),
         T.StructField("n", T.LongType()),
-        T.StructField("published_at", T.TimestampType()),
         T.StructField("source", T.StringType()),
         T.StructField("run", T.StringType()),
         T.StructField("batch_id", T.LongType()),
         T.StructField("attempt", T.StringType()),
     ]
 )
+
+# An entry of the log's list: an attempt of a batch, or a compaction (then ``attempt`` is its name).
+# ``keyed`` says that the attempt's ids are in the key table.
+LOG_LIST = T.StructType(
+    [
+        T.StructField("number", T.LongType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("run", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("attempt", T.StringType()),
+        T.StructField("keyed", T.BooleanType()),
+    ]
+)
+
+# Rows of closed days, written anew by a compaction, and what it holds of which attempt.
+COMPACTED = T.StructType(
+    [*[f for f in LOG_TABLE if f.name not in ("status", "prediction_date")]]
+    + [
+        T.StructField("compaction", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("prediction_date", T.DateType()),
+    ]
+)
+PIECES = T.StructType(
+    [
+        T.StructField("status", T.StringType()),
+        T.StructField("prediction_date", T.DateType()),
+        T.StructField("attempt", T.StringType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("compaction", T.StringType()),
+    ]
+)
+
+# The ids of accepted rows, by bucket of their hash.
+KEYS = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("attempt", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("run", T.StringType()),
+        T.StructField("bucket", T.IntegerType()),
+    ]
+)

@@ -23,6 +23,7 @@ def score_to_log(
     source: str | None = None,
     replace: bool = False,
     rebalance: bool = False,
+    unique: bool = False,
     **trigger,
 ) -> StreamingQuery:
     """Starts a query that scores each micro-batch and writes it as one batch of the log.
@@ -47,7 +48,7 @@ def score_to_log(
             checked.append(run)
         scored = score(batch, model, text=text, on_blank="keep")
         rows = prepare(scored, key=key, text=text)
-        append(rows, log_path, epoch, rebalance, name, run)
+        append(rows, log_path, epoch, rebalance, name, run, unique)
 
     return (
         articles.writeStream.foreachBatch(write)
