@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubrika.functions.text import clean_text, tokens
+from rubrika.operators.selection import largest
 from rubrika.schemas import MAX_LENGTH, VOCABULARY_SIZE
 
 # Ids below the first learned token.
@@ -44,10 +45,10 @@ def token_counts(df: DataFrame) -> DataFrame:
 def build_vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
     """The most frequent tokens with ids after the special ones; ties go by token.
 
-    The window has no partition key, but sees at most ``size`` rows: the limit below it is a
-    top-k per task and a merge of those.
+    ``counts`` should be a stored table, as the choice reads it a few times. The window has no
+    partition key, but sees no row that is not chosen.
     """
-    best = counts.orderBy(F.desc("n"), "token").limit(size - SPECIAL_TOKENS)
+    best = largest(counts, size - SPECIAL_TOKENS)
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
     return best.select("token", (rank + (SPECIAL_TOKENS - 1)).alias("token_id"), "n")
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubrika.operators.encoding import BROADCAST_ROWS, each_token
+from rubrika.operators.selection import largest
 from rubrika.schemas import LABELS, VOCABULARY_SIZE
 
 NUM_LABELS = len(LABELS)
@@ -45,8 +46,8 @@ def class_token_counts(train: DataFrame, num_labels: int = NUM_LABELS) -> DataFr
 
 
 def top_tokens(counts: DataFrame, vocabulary_size: int = VOCABULARY_SIZE) -> DataFrame:
-    """The model's vocabulary: the most frequent tokens, ties by token."""
-    return counts.orderBy(F.desc("n"), "token").limit(vocabulary_size)
+    """The model's vocabulary: the most frequent tokens, ties by token. ``counts`` should be stored."""
+    return largest(counts, vocabulary_size)
 
 
 def log_likelihoods(vocabulary: DataFrame, num_labels: int = NUM_LABELS) -> DataFrame:
@@ -125,7 +126,8 @@ def fit_naive_bayes(
     sizes = class_sizes(train, num_labels)
     counts = class_token_counts(train, num_labels)
     if vocabulary_size:
-        counts = top_tokens(counts, vocabulary_size).toArrow()
+        with _kept(counts) as kept:
+            counts = top_tokens(kept, vocabulary_size).toArrow()
     else:
         counts = counts.limit(max_tokens + 1).toArrow()
         if len(counts) > max_tokens:

@@ -52,6 +52,12 @@ LATE_PARTS = (
 LOGISTIC_GRID = ((2, 0.01), (10, 0.01), (10, 0.1))
 
 
+def _stored(df: DataFrame, purpose: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _time(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
 
@@ -131,13 +137,13 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.build_vocabulary(token_counts(spark, sf_dir))
+    """Counts are stored first, as the choice of the most frequent reads them a few times."""
+    return encoding.build_vocabulary(_stored(token_counts(spark, sf_dir), "token-counts"))
 
 
 def _encoded(spark: SparkSession, sf_dir: str, pad: bool) -> DataFrame:
-    path = shared_folder(spark, "vocabulary")
-    vocab_build(spark, sf_dir).write.parquet(path)
-    encoded = encoding.encode(b.tokenized(spark, sf_dir), spark.read.parquet(path), pad=pad)
+    vocabulary = _stored(vocab_build(spark, sf_dir), "vocabulary")
+    encoded = encoding.encode(b.tokenized(spark, sf_dir), vocabulary, pad=pad)
     pairs = F.arrays_zip("input_ids", "attention_mask")
     return encoded.select("doc_id", F.posexplode_outer(pairs).alias("pos", "pair")).select(
         "doc_id",
@@ -231,10 +237,9 @@ def predict_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = b.tokenized(spark, sf_dir)
     train = train_and_test(docs)[0]
-    path = shared_folder(spark, "class-counts")
     size = VOCABULARY_SIZE - encoding.SPECIAL_TOKENS
-    training.top_tokens(training.class_token_counts(train), size).write.parquet(path)
-    counts = spark.read.parquet(path)
+    every = _stored(training.class_token_counts(train), "class-counts")
+    counts = _stored(training.top_tokens(every, size), "top-counts")
     vocabulary = encoding.build_vocabulary(counts)
     weights = training.id_weights(vocabulary, training.log_likelihoods(counts))
     load = bag_of_ids_model(weights, training.class_log_priors(train))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rubrika.functions.text import clean_text
-from rubrika.operators import analytics, encoding, scoring, training
+from rubrika.operators import analytics, encoding, scoring, selection, training
 from rubrika.operators.token_model import fit_token_model
 from rubrika.plans import bindings
 from rubrika.plans.catalog import QUERIES
@@ -41,11 +41,19 @@ def test_scoring_has_no_shuffle_and_splits_once(spark):
     assert text.count("regexp_extract_all") == 1
 
 
-@pytest.mark.parametrize("name", ["token_counts", "vocab_build", "scores_ranked"])
+@pytest.mark.parametrize("name", ["token_counts", "scores_ranked"])
 def test_texts_are_split_once(spark, name):
     assert plan(QUERIES[name](spark, SF_DIR)).count("regexp_extract_all") == 1
 
 
+def test_the_vocabulary_is_picked_where_the_counts_lie(spark):
+    """No order and no limit over the counts, and no text: a filter alone, before ids are given."""
+    text = plan(QUERIES["vocab_build"](spark, SF_DIR))
+    assert "regexp_extract_all" not in text and "TakeOrdered" not in text and "Limit" not in text
+    counts = spark.range(50_000).selectExpr("CAST(id AS string) AS token", "id % 7 AS n")
+    assert "Exchange" not in plan(selection.largest(counts, 100))
+
+
 def test_cleaning_stays_in_generated_code(spark):
     pages = bindings.table(spark, SF_DIR, "pages")
     text = pages.select(clean_text(F.col("html")))
