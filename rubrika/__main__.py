@@ -11,16 +11,38 @@ from pyspark.sql import functions as F
 
 from rubrika.operators import analytics, training
 from rubrika.operators.encoding import with_tokens
+from rubrika.operators.epochs import train_epochs
 from rubrika.operators.evaluation import evaluate
 from rubrika.operators.prediction_rows import prepare
-from rubrika.operators.scoring import batch_predict, score
-from rubrika.schemas import HISTORY_LIMIT
-from rubrika.session import build_session
+from rubrika.operators.scoring import batch_predict
+from rubrika.operators.token_model import fit_token_model
+from rubrika.schemas import DEFAULT_VERSION, HISTORY_LIMIT, LABELS
+from rubrika.session import build_session, shared_folder
 from rubrika.sources import compaction, prediction_log
 from rubrika.sources.corpus import head, train_and_test, with_split
-from rubrika.sources.models import load_model, save_model
+from rubrika.sources.models import Model, load_stored, save_model
 
-FITS = {"bayes": training.fit_naive_bayes, "logistic": training.fit_logistic}
+GRID = ((2, 0.01), (10, 0.01), (10, 0.1))
+
+
+def _fit(kind: str, fitting: DataFrame, held_out: DataFrame, epochs: int, state: str | None) -> Model:
+    spark = fitting.sparkSession
+    if kind == "bayes":
+        return fit_token_model(fitting, shared_folder(spark, "token-model"))
+    if kind == "pipeline":
+        return training.fit_naive_bayes(fitting)
+    if kind == "logistic":
+        return training.fit_logistic(fitting)
+    if kind == "select":
+        model, metrics = training.select_logistic(fitting, held_out, GRID)
+    else:
+        model, metrics = train_epochs(fitting, held_out, state or shared_folder(spark, "epochs"), epochs)
+    for line in metrics:
+        print(line)
+    return model
+
+
+KINDS = ("bayes", "pipeline", "logistic", "select", "epochs")
 
 
 def _read(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -29,21 +51,26 @@ def _read(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def train(spark: SparkSession, args: argparse.Namespace) -> None:
     """Fit on the training split, save, and show metrics of the held-out split."""
-    corpus = _read(spark, args).select(
+    table = _read(spark, args)
+    given = [F.col("split")] if "split" in table.columns else []
+    corpus = table.select(
         F.col(args.key).alias("doc_id"),
         F.col(args.text).alias("text"),
         F.col(args.label).cast("int").alias("label"),
+        *given,
     )
     fitting, held_out = head(*train_and_test(with_split(corpus)), args.subset)
-    model = FITS[args.kind](with_tokens(fitting))
-    save_model(model, args.model)
-    evaluate(score(held_out, model, keep_probabilities=True)).show()
+    clean = not args.raw
+    tokens = [with_tokens(rows, clean=clean) for rows in (fitting, held_out)]
+    model = _fit(args.kind, *tokens, args.epochs, args.state)
+    save_model(model, args.model, args.names, clean, args.version)
+    evaluate(load_stored(args.model).score(held_out, keep_probabilities=True)).show()
 
 
 def score_table(spark: SparkSession, args: argparse.Namespace) -> None:
     """Score a table into a batch of the log and show how many rows were accepted."""
     on_blank = "fail" if args.strict else "keep"
-    rows = score(_read(spark, args), load_model(args.model), text=args.text, on_blank=on_blank)
+    rows = load_stored(args.model).score(_read(spark, args), text=args.text, on_blank=on_blank)
     prepared = prepare(rows, key=args.key, text=args.text)
     prediction_log.append(prepared, args.log, args.batch, source=args.source, unique=args.unique)
     outcome = prediction_log.batch_outcome(spark, args.log)
@@ -53,7 +80,9 @@ def score_table(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def predict(spark: SparkSession, args: argparse.Namespace) -> None:
     """Score the given texts."""
-    batch_predict(spark, load_model(args.model), args.texts).orderBy("position").show(truncate=False)
+    stored = load_stored(args.model)
+    rows = batch_predict(spark, stored.model, args.texts, names=stored.names, clean=stored.clean)
+    rows.orderBy("position").show(truncate=False)
 
 
 def stats(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -94,8 +123,13 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
 
     sub = command("train", train, "model", table=True)
     sub.add_argument("--label", default="label")
-    sub.add_argument("--kind", choices=FITS, default="bayes")
+    sub.add_argument("--kind", choices=KINDS, default="bayes")
     sub.add_argument("--subset", type=int, help="first rows of the training split only")
+    sub.add_argument("--names", nargs="+", default=list(LABELS), help="class names by class id")
+    sub.add_argument("--version", default=DEFAULT_VERSION, help="what the log says of the model")
+    sub.add_argument("--raw", action="store_true", help="take texts as they are, uncleaned")
+    sub.add_argument("--epochs", type=int, default=2)
+    sub.add_argument("--state", help="folder of stored epochs, to take a run up again")
     sub = command("score", score_table, "model", "log", table=True)
     sub.add_argument("--batch", type=int, required=True)
     sub.add_argument("--source", default=prediction_log.TABLE_SOURCE, help="whose batch it is")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from rubrika.functions import scores
 from rubrika.functions.labels import label_name
 from rubrika.operators.encoding import with_tokens
+from rubrika.operators.epochs import EpochModel
 from rubrika.operators.guard import flag_blank, require_text, split_blank
 from rubrika.operators.token_model import TokenModel
 from rubrika.schemas import LABELS
@@ -44,7 +45,7 @@ def with_predictions(
 
 def score(
     df: DataFrame,
-    model: PipelineModel | TokenModel,
+    model: PipelineModel | TokenModel | EpochModel,
     text: str = "text",
     clean: bool = True,
     on_blank: str = "drop",
@@ -59,8 +60,8 @@ def score(
     log sets them aside. ``clean=False`` scores the raw text.
     """
     extra = ["probabilities"] if keep_probabilities else []
-    table = isinstance(model, TokenModel)
-    share = F.col("probabilities") if table else vector_to_array("probability")
+    own = isinstance(model, (TokenModel, EpochModel))
+    share = F.col("probabilities") if own else vector_to_array("probability")
     if on_blank == "keep":
         rows, extra = flag_blank(df, text), [*extra, "reason"]
         share = F.when(F.col("reason").isNull(), share)
@@ -76,14 +77,14 @@ def score(
 
 
 def batch_predict(
-    spark: SparkSession, model: PipelineModel | TokenModel, texts: Sequence[str], **options
+    spark: SparkSession, model: PipelineModel | TokenModel | EpochModel, texts: Sequence[str], **options
 ) -> DataFrame:
     """Scores texts the caller holds, numbered by ``position``; any blank one fails the call."""
     df = spark.createDataFrame(list(enumerate(texts)), "position long, text string")
     return score(df, model, on_blank="fail", **options)
 
 
-def predict(spark: SparkSession, model: PipelineModel | TokenModel, text: str, **options) -> dict:
+def predict(spark: SparkSession, model: PipelineModel | TokenModel | EpochModel, text: str, **options) -> dict:
     """Scores one text to a dict of the prediction columns."""
     row = batch_predict(spark, model, [text], **options).first()
     return {name: row.asDict(recursive=True)[name] for name in PREDICTION_COLUMNS}

@@ -16,6 +16,7 @@ from rubrika.functions import scores
 from rubrika.functions.labels import label_id, label_name, zero_based
 from rubrika.functions.text import TAG, clean_text, combine_title_body
 from rubrika.operators import analytics, encoding, training
+from rubrika.operators import epochs as epoch_training
 from rubrika.operators.evaluation import evaluate
 from rubrika.operators.guard import flag_blank
 from rubrika.operators.prediction_rows import prepare, validate
@@ -302,6 +303,24 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def train_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three epochs of one step over all training documents, cut after the first and taken up again."""
+    train, test = train_and_test(b.tokenized(spark, sf_dir))
+    path = shared_folder(spark, "epochs")
+    for epochs in (1, 3):
+        _, metrics = epoch_training.train_epochs(train, test, path, epochs)
+    rows = spark.createDataFrame(metrics, "epoch int, n_train long, n_test long, train_loss double, "
+                                 "loss double, accuracy double, is_best boolean")
+    return rows.withColumns({name: F.round(name, 6) for name in ("train_loss", "loss", "accuracy")})
+
+
+def predict_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the model of the best epoch."""
+    train, test = train_and_test(b.tokenized(spark, sf_dir))
+    model, _ = epoch_training.train_epochs(train, test, shared_folder(spark, "epochs"), 3)
+    return score(b.corpus(spark, sf_dir), model).select("doc_id", "predicted_id", "predicted_label", "confidence")
+
+
 # --- prediction log ------------------------------------------------------------------------
 
 
@@ -582,6 +601,8 @@ QUERIES = {
     "model_roundtrip": model_roundtrip,
     "predict_lr": predict_lr,
     "model_selection": model_selection,
+    "train_epochs": train_epochs,
+    "predict_epochs": predict_epochs,
     "log_prepare": log_prepare,
     "log_validate": log_validate,
     "log_validate_articles": log_validate_articles,

@@ -2,8 +2,28 @@
 
 from __future__ import annotations
 
-from rubrika.functions.text import ACCENTED, PLAIN
-from rubrika.schemas import LABELS, VOCABULARY_SIZE
+import unicodedata
+
+# Fixed values, written here again so that a change in the package shows: category names by class id,
+# and the size of the vocabulary.
+LABELS = ("World", "Sports", "Business", "Science/Technology")
+VOCABULARY_SIZE = 30522
+
+
+def _base(letter: str) -> str:
+    """The letter under all accents, by single steps of canonical decomposition."""
+    while True:
+        parts = unicodedata.decomposition(letter).split()
+        if not parts or parts[0].startswith("<"):
+            return letter
+        letter = chr(int(parts[0], 16))
+
+
+# Lower-case letters of the Latin blocks that have an accent; marks without a letter are deleted.
+_LATIN = [chr(c) for first, last in ((0x00C0, 0x024F), (0x1E00, 0x1EFF)) for c in range(first, last + 1)]
+_CHANGED = [c for c in _LATIN if not c.isupper() and c.lower() == c and _base(c) != c]
+ACCENTED = "".join(_CHANGED) + "".join(map(chr, range(0x0300, 0x0370)))
+PLAIN = "".join(map(_base, _CHANGED))
 
 # Unicode whitespace spelled out, as \s is ASCII in this dialect.
 SPACES = (
@@ -198,6 +218,55 @@ VECTORS = f"""
     FROM best WHERE place = 1
 """
 
+RATE, EPOCHS = 100.0, 3
+
+
+def _epoch(k: int) -> str:
+    """Weights after one step over the training documents, and the shares they give all documents."""
+    before = f"LEFT JOIN w{k - 1} AS old USING (token)" if k > 1 else ""
+    old = "coalesce(any_value(old.v{c}), 0)" if k > 1 else "0"
+    step = old + f" - {RATE} * sum(x * (p.q{{c}} - (p.label = {{c}})::INT)) / any_value(n_train) AS v{{c}}"
+    top = "greatest(" + _each("z{c}") + ")"
+    whole = "(" + _each(f"exp(z{{c}} - {top})", " + ") + ")"
+    return f"""
+    w{k} AS (
+        SELECT token, {_each(step)}
+        FROM x JOIN p{k - 1} AS p USING (doc_id) {before}, sizes WHERE p.split = 'train' GROUP BY token
+    ),
+    z{k} AS (
+        SELECT doc_id, any_value(d.label) AS label, any_value(d.split) AS split,
+               {_each("coalesce(sum(x * v{c}), 0) AS z{c}")}
+        FROM docs AS d LEFT JOIN x USING (doc_id) LEFT JOIN w{k} USING (token) GROUP BY doc_id
+    ),
+    p{k} AS (SELECT doc_id, label, split, {_each(f"exp(z{{c}} - {top}) / {whole} AS q{{c}}")} FROM z{k})
+    """
+
+
+Q = "[" + ", ".join(f"q{c}" for c in CLASSES) + "]"
+LOSS = f"avg(-ln(greatest({Q}[label + 1], 1e-15)))"
+BEST_CLASS = f"list_position({Q}, list_max({Q})) - 1"
+TRAINED = f"""
+    {TOKENS},
+    sizes AS (SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test FROM docs),
+    top AS (
+        SELECT token FROM tok WHERE split = 'train' GROUP BY token ORDER BY count(*) DESC, token LIMIT {VOCABULARY_SIZE}
+    ),
+    x AS (
+        SELECT doc_id, token, count(*) / any_value(len(tokens)) AS x
+        FROM tok JOIN listed USING (doc_id) SEMI JOIN top USING (token) GROUP BY doc_id, token
+    ),
+    p0 AS (SELECT doc_id, label, split, {_each("0.25 AS q{c}")} FROM docs),
+    {", ".join(_epoch(k) for k in range(1, EPOCHS + 1))},
+    measured AS (
+        {" UNION ALL ".join(
+            f"SELECT {k} AS epoch, (SELECT {LOSS} FROM p{k - 1} WHERE split = 'train') AS train_loss, {LOSS} AS loss, "
+            f"avg(({BEST_CLASS} = label)::INT) AS accuracy FROM p{k} WHERE split = 'test'"
+            for k in range(1, EPOCHS + 1)
+        )}
+        UNION ALL SELECT 0, NULL, {LOSS}, avg(({BEST_CLASS} = label)::INT) FROM p0 WHERE split = 'test'
+    )
+"""
+
 EVENT_ROWS = f"""
     rows AS (
         SELECT event_id AS id, props AS input_text,
@@ -400,6 +469,21 @@ ORACLES = {
         SELECT CAST(1 AS BIGINT) AS batch_id, id, confidence, reason
         FROM checked WHERE reason IS NOT NULL
     """,
+    "train_epochs": f"""
+        WITH {TRAINED}
+        SELECT CAST(epoch AS INTEGER) AS epoch, n_train, n_test, round(train_loss, 6) AS train_loss,
+               round(loss, 6) AS loss, round(accuracy, 6) AS accuracy,
+               row_number() OVER (ORDER BY accuracy DESC, epoch) = 1 AS is_best
+        FROM measured, sizes
+    """,
+    "predict_epochs": f"""
+        WITH {TRAINED},
+        every AS ({" UNION ALL ".join(f"SELECT {k} AS epoch, * FROM p{k}" for k in range(EPOCHS + 1))}),
+        best AS (SELECT epoch FROM measured ORDER BY accuracy DESC, epoch LIMIT 1)
+        SELECT doc_id, CAST({BEST_CLASS} AS INTEGER) AS predicted_id, {_name(BEST_CLASS)} AS predicted_label,
+               round(list_max({Q}), 4) AS confidence
+        FROM every JOIN best USING (epoch) JOIN documents USING (doc_id) WHERE regexp_matches(text, '{NOT_SPACE}')
+    """,
     "log_repeated_ids": f"""
         WITH {EVENT_ROWS},
         shared AS (
