@@ -19,7 +19,8 @@ the id chooses.
 
 Cases: null and empty texts are scored as texts without words; without labelled rows of both kinds
 every score is the share of toxic rows (0 without any); a part without which the
-sample lacks a label sets no threshold; null labels are not learned; rows pass one by
+sample lacks a label sets no threshold; a language with fewer than ten rows of a label takes the
+threshold of all languages together; null labels and rows without an id are not learned; rows pass one by
 one, repeated or not, with their other columns; ``score`` and ``predicted`` replace columns of these
 names; an empty table stays empty.
 """
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,10 +253,14 @@ def _scored(column: pa.Array, model: Cnn, tables):
         yield i, j, langs, logits(model, tables, words, starts)
 
 
-def _logit_cells(labelled: DataFrame, models: dict[int, Cnn]) -> list[tuple[int, int, int, int]]:
-    """Rows of ``labelled`` (text, toxic, part) by language, label and bin of the logit under the model
-    of their part."""
-    shared = labelled.sparkSession.sparkContext.broadcast(models)
+def _part() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(PARTS)).cast("int")
+
+
+def _logit_cells(docs: DataFrame, labels: DataFrame, models: dict[int, Cnn]) -> list[tuple[int, int, int, int]]:
+    """Labelled rows by language, label and bin of the logit under the model of their part. Texts are
+    scored where they are read; what meets the labels is an id, a language and a bin."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def work(batches):
         ready = {}
@@ -266,37 +271,47 @@ def _logit_cells(labelled: DataFrame, models: dict[int, Cnn]) -> list[tuple[int,
                 if part not in ready:
                     ready[part] = model.tables()
                 own = batch.filter(pa.array(parts == part))
-                for i, j, langs, out in _scored(own.column(0), model, ready[part]):
+                for i, j, langs, out in _scored(own.column(1), model, ready[part]):
                     bins = np.round(np.clip(out, -100, 100) * GRID).astype(np.int64)
-                    columns = [pa.array(langs), own.column(1).slice(i, j - i), pa.array(bins)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "toxic", "bin"])
+                    columns = [own.column(0).slice(i, j - i), pa.array(langs), pa.array(bins)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "bin"])
 
-    rows = labelled.where(F.col("part").isin([*models])).select("text", "toxic", "part")
-    cells = rows.mapInArrow(work, "lang long, toxic int, bin long")
+    rows = docs.select("doc_id", "text", _part().alias("part")).where(F.col("part").isin([*models]))
+    cells = rows.mapInArrow(work, "doc_id long, lang long, bin long").join(labels, "doc_id")
     return [tuple(r) for r in cells.groupBy("lang", "toxic", "bin").count().collect()]
 
 
-def fit_on(labelled: DataFrame) -> Cnn:
-    """A model from a bounded sample of ``labelled`` (doc_id, text, toxic), with thresholds from all
-    of its rows, each under a model fitted without it."""
-    usable = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    usable = usable.where(F.col("toxic").isin(0, 1) & (F.length("text") > 0)).withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(PARTS)).cast("int")
-    )
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    spare = F.greatest(F.length("text") - TEXT_CHARS, F.lit(0)) + 1
-    start = F.pmod(F.xxhash64("doc_id", F.lit("window")), spare).cast("int") + 1
-    rows = (
-        usable.withColumn("text", F.substring("text", start, F.lit(TEXT_CHARS)))
+def _sample(docs: DataFrame, labels: DataFrame) -> list:
+    """Texts, labels and parts of the rows to learn from. They are chosen by ids, hashes and lengths;
+    then the texts of at most 2 * ``PER_CLASS`` rows are picked where they are read."""
+    facts = docs.select("doc_id", F.xxhash64("text").alias("h"), F.least(F.length("text"), F.lit(TEXT_CHARS)).alias("chars"))
+    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    chosen = (
+        facts.join(labels, "doc_id")
         .withColumn("k", F.row_number().over(order))
         .where(F.col("k") <= PER_CLASS)
-        .withColumn("chars", F.sum(F.length("text")).over(W.partitionBy("toxic").orderBy("k")))
-        .where(F.col("chars") <= CLASS_CHARS)
-        .orderBy("k", "toxic")
-        .limit(2 * PER_CLASS)
-        .select("text", "toxic", "part")
+        .withColumn("sum", F.sum("chars").over(W.partitionBy("toxic").orderBy("k")))
+        .where(F.col("sum") <= CLASS_CHARS)
+        .select("doc_id", "h", "toxic", "k")
         .collect()
     )
+    spark = docs.sparkSession
+    rows = spark.createDataFrame(chosen, "doc_id long, h long, toxic int, k int")
+    spare = F.greatest(F.length("text") - TEXT_CHARS, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64("doc_id", F.lit("window")), spare).cast("int") + 1
+    found = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(rows), ["doc_id", "h"])
+    window = F.substring("text", start, F.lit(TEXT_CHARS)).alias("text")
+    texts = found.select(window, "toxic", _part().alias("part"), "k").dropDuplicates(["toxic", "k"])
+    return sorted(texts.collect(), key=lambda r: (r["k"], r["toxic"]))
+
+
+def fit_on(docs: DataFrame, labels: DataFrame) -> Cnn:
+    """A model from a bounded sample of the rows of ``docs`` (doc_id, text) that have a label in
+    ``labels`` (doc_id, toxic), with thresholds from all of them, each under a model fitted
+    without it."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.length("text") > 0)
+    labels = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("toxic").isin(0, 1))
+    rows = _sample(docs, labels)
     model = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
     models = {}
     for part in range(PARTS):
@@ -304,7 +319,7 @@ def fit_on(labelled: DataFrame) -> Cnn:
         if len({r["toxic"] for r in rest}) == 2:
             models[part] = fit([r["text"] for r in rest], [r["toxic"] for r in rest])
     if models:
-        set_thresholds(model, _logit_cells(usable, models))
+        set_thresholds(model, _logit_cells(docs, labels, models))
     return model
 
 
