@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 of ``documents``. ``run`` writes each result as Parquet to the shared folder and rereads it as the
 next stage's documents.
 
-Cases: null and empty texts, and texts without a letter, are rejected by the first stage; rows without
-an id are told apart by their text; of rows that repeat an id one stays from the second stage on;
-other columns are passed on by the first three stages and the mix; empty tables give no rows.
+Cases: null and empty texts, and texts without a letter, are rejected by the first stage; rows are told
+apart by id and text, so different texts under one id, or without one, are documents of their own, and
+of rows equal in both the first by its other columns stays from the second stage on; other columns are passed on by the first three stages and the mix; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubrika.llm import crf_language, mixing, ngram_join, packing, pii
-from rubrika.llm.common import stored, table
+from rubrika.llm.common import one_of_equal, stored, table
 
+KEYS = ("doc_id", "_text")
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -31,12 +32,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    key = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text")) - 1)
-    keyed = docs.withColumn("_key", key)
-    found = ngram_join.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    kept = stored(found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")), "kept")
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    """One document of each group of near duplicates: the one with the smallest id, of equal ids the one
+    with the smallest hash of its text."""
+    texts = docs.withColumn("_text", F.xxhash64("text"))
+    found = ngram_join.near_duplicates(texts, carry=("_text",))
+    # Ids come before null, whose place among the rows is the hash alone.
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_text")
+    kept = found.groupBy("group").agg(F.min(place).alias("first"))
+    kept = stored(kept.select("first.doc_id", "first._text"), "kept")
+    times = found.groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    repeated = stored(times.select("doc_id", "_text"), "repeated")
+    same = [texts[key].eqNullSafe(kept[key]) for key in KEYS]
+    return one_of_equal(texts.join(kept, same, "left_semi"), KEYS, repeated).select(*docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
