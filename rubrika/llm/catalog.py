@@ -34,8 +34,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id"), 5) == 0
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out & F.col("toxic").isNotNull())
-    model = toxicity.fit_on(docs.join(labels, "doc_id"))
+    model = toxicity.fit_on(docs.where(~held_out), table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rubrika.session import shared_folder, use_utc
+from rubrika.sources import files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,22 @@ def stored(df: DataFrame, purpose: str, compression: str = "zstd") -> DataFrame:
     every executor can open, so a lost executor costs no recomputation."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_path = path
+    return found
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote, once nothing that is still to run reads them, and has the
+    driver collect its garbage: Spark deletes shuffle files of plans that are gone only then."""
+    for frame in frames:
+        files.delete(frame.sparkSession, frame.stored_path)
+    collect_garbage(frames[0].sparkSession)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -29,6 +46,19 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def one_of_equal(docs: DataFrame, keys: tuple[str, ...], repeated: DataFrame) -> DataFrame:
+    """``docs`` with one row for each of the keys in ``repeated`` (a stored table of ``keys``): the first by all
+    other columns. Rows with other keys stay where they are."""
+    if repeated.isEmpty():
+        return docs
+    same = [docs[key].eqNullSafe(repeated[key]) for key in keys]
+    alone = docs.join(repeated, same, "left_anti")
+    rest = [name for name in docs.columns if name not in keys and name != "text"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*rest) if rest else Window.partitionBy(*keys).orderBy(*keys))
+    first = docs.join(repeated, same, "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+    return alone.unionByName(first)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

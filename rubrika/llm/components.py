@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrika.llm.common import stored
+from rubrika.llm.common import release, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``links`` (a, b): the smallest node it is connected with.
 
     Each round takes the smallest label among neighbours, then follows labels twice, so chains
-    shrink to about a third or less. Rounds are stored; a hub's links are summed up before they
+    shrink to about a third or less. Rounds are stored, each until the next one is, and the caller may
+    ``release`` the result; a hub's links are summed up before they
     move, and joins with a hub may be split by adaptive execution.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -36,6 +37,10 @@ def components(links: DataFrame) -> DataFrame:
                 "node", "was", F.least("label", "to").alias("label")
             )
         lower = stored(lower, "labels")
+        release(labels)
+        done = lower.where("label <> was").isEmpty()
         labels = lower.select("node", "label")
-        if lower.where("label <> was").isEmpty():
+        labels.stored_path = lower.stored_path
+        if done:
+            release(both)
             return labels

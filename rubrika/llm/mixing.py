@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rubrika.llm.common import slices, stored, utf8
+from rubrika.llm.common import one_of_equal, slices, stored, utf8
 from rubrika.llm.words import find
 
 WEIGHTS = (5, 2, 1)
@@ -37,7 +37,7 @@ SEED = "mix-1"
 FINE = 1 << 10  # bins of a group, and groups
 CHUNK_BYTES = 2 << 20
 LEAST_QUALITY = 0.25
-_MEASURED = "doc_id long, source string, size long, quality double"
+_MEASURED = "doc_id long, source string, row long, size long, quality double"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -55,15 +55,18 @@ def _measure(batches):
             letters = np.concatenate(([0], np.cumsum(_LETTER[part] | (part > 127))))
             quality[i:j] = np.diff(letters[cut]) / np.maximum(np.diff(cut), 1)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes), pa.array(quality)],
-            names=["doc_id", "source", "size", "quality"],
+            [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes), pa.array(quality)],
+            names=["doc_id", "source", "row", "size", "quality"],
         )
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """Size and quality weight (``LEAST_QUALITY`` to 1) of each document."""
+def measure(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """Size and quality weight (``LEAST_QUALITY`` to 1) of each document; ``row`` is passed on."""
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        "text",
+        (F.lit(0) if row is None else row).cast("long").alias("row"),
     ).mapInArrow(_measure, _MEASURED)
     return rows.withColumn("quality", F.greatest(F.col("quality"), F.lit(LEAST_QUALITY)))
 
@@ -107,6 +110,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     )
 
 
+# Up to this many sources their plan may be broadcast; beyond it rows of a source meet it under salts.
+BROADCAST_SOURCES = 100_000
+SALTS = 32
+KEY_SEEDS = 4
+
+
 def uniform(doc_id: Column, seed: str) -> Column:
     """A number in (0, 1) from id and seed: 52 bits of an MD5."""
     text = F.concat(F.coalesce(doc_id, F.lit(0)).cast("string"), F.lit(":" + seed))
@@ -114,11 +123,13 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return (bits + 0.5) / float(1 << 52)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """``doc_id, source, size, quality, source_size, target, epochs, extra, taken``: a document is
-    taken ``epochs`` times whole and ``extra`` more words of it."""
+def mix(
+    docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, row: Column | None = None
+) -> DataFrame:
+    """``doc_id, row, source, size, quality, source_size, target, epochs, extra, taken``: a document is
+    taken ``epochs`` times whole and ``extra`` more words of it. ``row`` tells apart documents with one id."""
     rows = stored(
-        measure(docs)
+        measure(docs, row)
         .withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("quality"))
         .withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * FINE * FINE), F.lit(FINE * FINE - 1)))
         .withColumn("grp", F.floor(F.col("bin") / FINE))
@@ -154,8 +165,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     # With no border inside a bin, whole bins make up the rest.
     last = bin_start.where("before + n <= rest").groupBy("source").agg(F.max("bin").alias("last"))
     plan = goals.join(border, "source", "left").join(last, "source", "left")
-    placed = rows.join(plan, "source")
-    sums = W.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    if goals.count() <= BROADCAST_SOURCES:
+        placed = rows.join(F.broadcast(plan), "source")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("key", "row"), F.lit(SALTS)).cast("int"))
+        placed = salted.join(plan.select("*", salts), ["source", "salt"]).drop("salt")
+    sums = W.partitionBy("source", "bin").orderBy("key", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     at_border = (
         placed.where("bin = border")
         .withColumn("seen", F.col("border_before") + F.coalesce(F.sum("size").over(sums), F.lit(0)))
@@ -167,6 +183,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     )
     return at_border.unionByName(others).select(
         "doc_id",
+        "row",
         "source.source",
         "size",
         "quality",
@@ -191,16 +208,25 @@ def _first_words(text: pd.Series, words: pd.Series) -> pd.Series:
 def take_documents(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` as the mix takes them: a document as often as it has epochs, then once more
     if it is in the sample; the one at the border of each source ends after its last word that
-    counts. Of rows that repeat an id one counts; rows without an id count one by one by text."""
+    counts. Rows equal in id and text count once."""
     columns = docs.columns
     first_words = F.pandas_udf(_first_words, "string")
-    key = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text")) - 1)
-    first = docs.withColumn("_key", key).dropDuplicates(["_key"])
-    plan = mix(first.select(F.col("_key").alias("doc_id"), "source", "text"), **options)
+    for seed in range(KEY_SEEDS):
+        first = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
+        counted = first.groupBy("_key").agg(
+            F.count(F.lit(1)).alias("n"), *[f(F.xxhash64(F.lit("other"), "doc_id", "text")).alias(f.__name__) for f in (F.min, F.max)]
+        )
+        repeated = stored(counted.where("n > 1"), "repeated-keys")
+        if repeated.where("min <> max").isEmpty():
+            break
+    else:
+        raise ValueError("different rows have the same 64-bit key")
+    first = one_of_equal(first, ("_key",), repeated.select("_key"))
+    plan = mix(first, row=F.col("_key"), **options)
     once = F.array_repeat(F.col("size"), F.col("epochs").cast("int"))
     extra = F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.array().cast("array<bigint>"))
     times = plan.select(
-        F.col("doc_id").alias("_key"), F.col("size").alias("_size"), F.explode(F.concat(once, extra)).alias("_words")
+        F.col("row").alias("_key"), F.col("size").alias("_size"), F.explode(F.concat(once, extra)).alias("_words")
     )
     taken = first.join(times, "_key")
     whole = taken.where("_words >= _size")

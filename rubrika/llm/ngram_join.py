@@ -34,6 +34,9 @@ of their own; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
+from contextlib import contextmanager
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -43,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrika.llm.common import shuffle_partitions, slices, stored, utf8
+from rubrika.llm.common import collect_garbage, release, shuffle_partitions, slices, stored, utf8
 from rubrika.llm.components import components
 from rubrika.llm.words import find, hashes, mix, shingles
 
@@ -56,6 +59,10 @@ VERIFY_COST = 4  # rows that a posting costs beside itself
 FILTER_BITS = 24
 CENTRE_ROUNDS = 1
 SHORT = 64  # lists up to this length are scanned in full before the longer ones
+HUB_PAIRS = 2000
+MOVED = 0.5
+BATCH_ROWS = 512
+BROADCAST_PAIRS = 1_000_000  # pairs of nodes up to this many (40 bytes each) may be broadcast
 SETS = "doc_id long, n long, node long, proof long, elems binary"
 
 
@@ -151,7 +158,7 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _set_rows(batches, levels):
+def _set_rows(batches, levels, carry):
     table = levels.value
     for batch in batches:
         sizes, nodes, proofs, elems = [], [], [], []
@@ -163,17 +170,21 @@ def _set_rows(batches, levels):
             h = _short(h)
             elems.append(_pack(h[np.argsort(table[_bucket(h)], kind="stable")]))
         columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(proofs, pa.int64())]
+        passed = [batch.column(2 + k) for k in range(len(carry))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *columns, pa.array(elems, pa.binary())], names=["doc_id", "n", "node", "proof", "elems"]
+            [batch.column(0), *columns, pa.array(elems, pa.binary()), *passed],
+            names=["doc_id", "n", "node", "proof", "elems", *carry],
         )
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n, node, proof, elems``: the set of each document in the common order, rare
-    shingles first; equal sets have the same node."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shingles first; equal sets have the same node. ``carry`` names columns of whole numbers to pass on."""
+    passed = [F.col(name).cast("long").alias(name) for name in carry]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *passed)
     levels = docs.sparkSession.sparkContext.broadcast(common_levels(docs))
-    return docs.mapInArrow(lambda batches: _set_rows(batches, levels), SETS)
+    schema = ", ".join([SETS, *[f"{name} long" for name in carry]])
+    return docs.mapInArrow(lambda batches: _set_rows(batches, levels, carry), schema)
 
 
 def light_boundary(sizes: dict[int, int]) -> int:
@@ -297,8 +308,8 @@ def shared_lists(sets: DataFrame, boundary: int) -> DataFrame:
 
 
 def _among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row of ``sets`` for each of ``nodes``. A bit map of 2^24 hashed nodes (2 MB, whatever the
-    input) keeps other sets from being shuffled."""
+    """``node, n, elems`` of the sets whose node is among ``nodes`` (and a few others), of each task a node
+    once. A bit map of 2^24 hashed nodes (2 MB, whatever the input) picks them where they are read."""
     place = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS))
     words = (
         nodes.select(place.alias("p"))
@@ -311,32 +322,88 @@ def _among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast(bits)
 
     def known(batches):
+        seen: set[int] = set()
         for batch in batches:
             p = batch.column(3).to_numpy()
-            hit = shared.value[p >> 5] >> (p & 31).astype(np.uint32) & np.uint32(1)
-            yield batch.filter(pa.array(hit.astype(bool))).select([0, 1, 2])
+            hit = (shared.value[p >> 5] >> (p & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+            node = batch.column(0).to_numpy()
+            for k in np.flatnonzero(hit):
+                hit[k] = int(node[k]) not in seen
+                seen.add(int(node[k]))
+            yield batch.filter(pa.array(hit)).select([0, 1, 2])
 
-    found = sets.select("node", "n", "elems", place.alias("p")).mapInArrow(known, "node long, n long, elems binary")
-    first = found.groupBy("node").agg(F.first("n").alias("n"), F.first("elems").alias("elems"))
-    return first.join(nodes, "node", "left_semi")
+    return sets.select("node", "n", "elems", place.alias("p")).mapInArrow(known, "node long, n long, elems binary")
 
 
-def _linked(n: pd.Series, left: pd.Series, m: pd.Series, right: pd.Series) -> pd.Series:
-    def common(a: bytes, b: bytes) -> int:
-        return len(np.intersect1d(_unpack(a), _unpack(b), assume_unique=True))
-
-    both = pd.Series([common(a, b) for a, b in zip(left, right)], index=n.index, dtype="int64")
-    return 100 * both >= 75 * (n + m - both)
-
-
-def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, counted on the whole sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    whole = _among(sets, nodes)
-    left = whole.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("elems").alias("e_a"))
-    right = whole.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("elems").alias("e_b"))
-    linked = F.pandas_udf(_linked, "boolean")
-    return pairs.join(left, "a").join(right, "b").where(linked("n_a", "e_a", "n_b", "e_b")).select("a", "b")
+def _linked(batches):
+    """The pairs (a, b) of rows a, b, n_a, e_a, n_b, e_b that link; one pair of sets is unpacked at a time."""
+    for batch in batches:
+        sizes = zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())
+        keep = np.zeros(batch.num_rows, bool)
+        for k, (n, m) in enumerate(sizes):
+            left, right = (_unpack(batch.column(c)[k].as_py()) for c in (3, 5))
+            both = len(np.intersect1d(left, right, assume_unique=True))
+            keep[k] = 100 * both >= 75 * (n + m - both)
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
+@contextmanager
+def _small_batches(spark):
+    """Rows that carry whole sets reach the Python workers ``BATCH_ROWS`` at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def verified(sets: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, counted on the whole sets; ``sizes`` has the size of each node.
+
+    Of each pair the node with more pairs is the hub. The other's set goes to the hub, once a pair,
+    from where it is read; the hub's set goes once, or once for each ``HUB_PAIRS`` pairs, among which
+    the pairs are then dealt out. Where the sets on their way would be more than ``MOVED`` of all
+    sets, pairs go in as many turns as keep below that, whatever the size of the input.
+    """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("times"))
+    of_a, of_b = (degree.select(F.col("node").alias(c), F.col("times").alias(f"times_{c}")) for c in "ab")
+    first = F.col("times_a") >= F.col("times_b")
+    parts = F.ceil(F.greatest("times_a", "times_b") / HUB_PAIRS).cast("int")
+    spoke = F.when(first, F.col("b")).otherwise(F.col("a"))
+    told = pairs.join(of_a, "a").join(of_b, "b").select(
+        "a",
+        "b",
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"),
+        spoke.alias("node"),
+        parts.alias("parts"),
+        F.pmod(F.xxhash64(spoke), parts).cast("int").alias("part"),
+    )
+    told = stored(told.join(sizes, "node"), "told")
+    moved, whole = (table.agg(F.sum("n")).first()[0] or 0 for table in (told, sizes))
+    turns = max(1, math.ceil(moved / (MOVED * max(whole, 1))))
+    found = []
+    for turn in range(turns):
+        now = told.where(F.pmod(F.xxhash64("hub", "part", F.lit("turn")), F.lit(turns)) == turn)
+        with _small_batches(sets.sparkSession):
+            found.append(stored(_counted(sets, now.drop("n")), "links"))
+        collect_garbage(sets.sparkSession)
+    release(told)
+    return reduce(DataFrame.union, found)
+
+
+def _counted(sets: DataFrame, told: DataFrame) -> DataFrame:
+    small = told.count() <= BROADCAST_PAIRS
+    spokes = _among(sets, told.select("node"))
+    spokes = spokes.join(F.broadcast(told) if small else told, "node")
+    spokes = spokes.select("hub", "part", "a", "b", F.col("n").alias("n_a"), F.col("elems").alias("e_a"))
+    copies = told.select(F.col("hub").alias("node"), "part").distinct()
+    hubs = _among(sets, copies.select("node")).groupBy("node").agg(F.first("n").alias("n_b"), F.first("elems").alias("e_b"))
+    hubs = hubs.join(F.broadcast(copies) if small else copies, "node")
+    hubs = hubs.select(F.col("node").alias("hub"), "part", "n_b", "e_b")
+    both = spokes.join(hubs, ["hub", "part"]).select("a", "b", "n_a", "e_a", "n_b", "e_b")
+    return both.mapInArrow(_linked, "a long, b long").distinct()
 
 
 def _best_leaders(led: DataFrame) -> DataFrame:
@@ -376,19 +443,24 @@ def remaining_pairs(lists: DataFrame) -> DataFrame:
 
 
 def mixed_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """``h, node, n, reach, component, length`` of the lists that hold more than one component."""
-    labels = components(links).withColumnRenamed("label", "component")
-    lists = lists.select("h", "node", "n", "reach").join(labels, "node", "left")
-    lists = lists.withColumn("component", F.coalesce("component", "node"))
-    mixed = lists.groupBy("h").agg(
+    """``h, node, n, reach, component, length`` of the lists that hold more than one component; they
+    take the place of ``lists``, which are released."""
+    labels = components(links)
+    names = labels.withColumnRenamed("label", "component")
+    named = lists.select("h", "node", "n", "reach").join(names, "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("h").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")
     )
-    return stored(lists.join(mixed.where("lo <> hi").select("h", "length"), "h"), "mixed-lists")
+    found = stored(named.join(mixed.where("lo <> hi").select("h", "length"), "h"), "mixed-lists")
+    release(lists, labels)
+    return found
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text)."""
-    sets = stored(shingle_sets(docs), "sets", "none")
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text). With ``carry`` also
+    those columns of whole numbers, and ``group``, which names the component where no id does."""
+    sets = stored(shingle_sets(docs, carry), "sets", "none")
     nodes = stored(
         sets.where("n > 0").groupBy("node").agg(
             F.min("n").alias("n"), F.max("n").alias("n2"), F.min("proof").alias("p"), F.max("proof").alias("p2")
@@ -401,24 +473,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts = sizes.where(F.col("n") <= 2 * LIGHT_LIMIT).groupBy("n").count().collect()
     boundary = light_boundary({row["n"]: row["count"] for row in counts})
     links = stored(light_links(sets, boundary), "light-links")
+
+    def more(pairs: DataFrame) -> DataFrame:
+        """All links with those among ``pairs``, each round a table of its own."""
+        pairs = stored(pairs, "pairs")
+        found = verified(sets, sizes, pairs)
+        release(pairs)
+        return links.union(found)
+
     lists = stored(shared_lists(sets, boundary), "lists")
-    pairs = stored(_best_leaders(lists), "pairs")
-    links = stored(links.union(verified(sets, pairs)), "leader-links")
+    links = more(_best_leaders(lists))
     for turn in range(CENTRE_ROUNDS):
         lists = mixed_lists(lists, links)
-        pairs = stored(_best_leaders(_lead_across(lists, turn)), "pairs")
-        links = stored(links.union(verified(sets, pairs)), "leader-links")
+        links = more(_best_leaders(_lead_across(lists, turn)))
     for longest in (SHORT, None):
         lists = mixed_lists(lists, links)
-        now = lists if longest is None else lists.where(F.col("length") <= longest)
-        pairs = stored(remaining_pairs(now), "pairs")
-        links = stored(links.union(verified(sets, pairs)), "all-links")
+        links = more(remaining_pairs(lists if longest is None else lists.where(F.col("length") <= longest)))
+    release(lists, nodes)
     labels = components(links)
-    members = sets.select("doc_id", "n", "node").join(labels, "node", "left")
+    members = sets.select("doc_id", "n", "node", *carry).join(labels, "node", "left")
     group = F.struct(
         (F.col("n") > 0).alias("linked"),
         F.when(F.col("n") > 0, F.coalesce("label", "node")).otherwise(F.coalesce("doc_id", "node")).alias("label"),
     )
-    members = members.select("doc_id", "n", group.alias("group"))
+    members = members.select("doc_id", "n", group.alias("group"), *carry)
     first = members.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return members.join(first, "group").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    more = (*carry, "group") if carry else ()
+    return members.join(first, "group").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)

@@ -336,9 +336,11 @@ def test_toxicity_on_held_out_rows(spark):
 
 def test_toxicity_of_odd_rows(spark):
     docs = odd_documents(spark).withColumn("toxic", F.when(F.col("doc_id") == 1, 1).when(F.col("doc_id") == 8, 0))
-    out = toxicity.score(docs, toxicity.fit_on(docs)).collect()
+    out = toxicity.score(docs, toxicity.fit_on(docs, docs)).collect()
     assert len(out) == 11 and all(0 <= r["score"] <= 1 for r in out)
-    assert toxicity.score(docs, toxicity.fit_on(empty(spark).withColumn("toxic", F.lit(None).cast("int")))).count() == 11
+    nothing = empty(spark).withColumn("toxic", F.lit(None).cast("int"))
+    assert toxicity.score(docs, toxicity.fit_on(docs, nothing)).count() == 11
+    assert toxicity.score(nothing, toxicity.fit_on(nothing, nothing)).count() == 0
 
 
 def test_toxicity_of_long_texts(spark):
@@ -351,7 +353,7 @@ def test_toxicity_of_long_texts(spark):
             words[int(rng.integers(0, 4900))] = rng.choice(vile)
         rows.append((k, " ".join(words), int(k % 4 == 0)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit_on(docs.where("doc_id < 150"))
+    model = toxicity.fit_on(docs.where("doc_id < 150"), docs)
     found = toxicity.score(docs.where("doc_id >= 150"), model).collect()
     assert len(found) == 50 and np.mean([r["predicted"] == r["toxic"] for r in found]) > 0.9
     assert {(r["score"] >= 0.5) == r["predicted"] for r in found} == {True}
@@ -515,6 +517,86 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() > 0
 
 
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def words_of(rng, n):
+    return " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+
+
+def test_near_duplicate_stage_by_brute_force(spark):
+    """Different texts under one id, rows without ids, rows alike in all but other columns."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(12):
+        text = words_of(rng, 30)
+        rows += [(k, text, "en", "a", 1), (int(rng.integers(0, 40)), text + " tail", "en", "b", 2)]
+        rows += [(k, words_of(rng, 9), "de", "c", 3)] * 2 + [(k, words_of(rng, 3), "de", None, 3)]
+        rows += [(None, words_of(rng, 20), "fr", "d", 4), (None, text + " end", None, "d", 4)]
+    rows.append((0, rows[0][1], "zz", "zz", 9))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = stage("near_duplicates")(spark, docs, SF_DIR).collect()
+    label = brute_components([((r[0] if r[0] is not None else 10**9, k), r[1]) for k, r in enumerate(rows)])
+    groups = {}
+    for (key, k), (_, first) in label.items():
+        groups.setdefault(first, []).append(rows[k])
+    assert len(found) == len(groups)
+    kept = {(r["doc_id"], r["text"]): tuple(r) for r in found}
+    for members in groups.values():
+        here = [m for m in members if (m[0], m[1]) in kept]
+        assert len({(m[0], m[1]) for m in here}) == 1
+        ids = [m[0] for m in members if m[0] is not None]
+        assert here[0][0] == (min(ids) if ids else None)
+        assert kept[here[0][:2]] == min(here, key=lambda m: (m[2] is not None, m[2] or "", m[3] is not None, m[3] or ""))
+
+
+def test_mix_stage_by_words(spark):
+    rng = np.random.default_rng(13)
+    rows = [(k // 2, words_of(rng, int(rng.integers(1, 40))), "en", "abc"[k % 3], k) for k in range(120)]
+    rows += [rows[0], (None, "one two", "en", "a", 1), (7, None, "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = stage("mix")(spark, docs, SF_DIR).collect()
+    texts = {(r[0], r[1]) for r in rows}
+    sizes, goal = {}, {}
+    for r in {(r[0], r[1], r[3]) for r in rows}:
+        sizes[r[2]] = sizes.get(r[2], 0) + len((r[1] or "").split())
+    total, level = sum(sizes.values()), dict(zip("abc", (5, 2, 1)))
+    goal = {s: min(3 * sizes[s], total * w / 8) for s, w in level.items()}
+    assert goal["a"] < 3 * sizes["a"] and goal["b"] < 3 * sizes["b"]
+    for source in "abc":
+        mine = [r["text"] or "" for r in taken if r["source"] == source]
+        assert abs(sum(len(t.split()) for t in mine) - goal[source]) <= 1
+        cut = [t for r, t in ((r, r["text"] or "") for r in taken if r["source"] == source) if (r["doc_id"], t) not in texts]
+        assert len(cut) <= 1 and all(any((t or "").startswith(c) for _, t in texts) for c in cut)
+
+
+def test_other_stages_row_by_row(spark):
+    docs = odd_documents(spark).select(*corpus_pipeline.COLUMNS)
+    model = crf_language.fit_on(docs)
+    told = [r for r in crf_language.predict(docs, model).collect() if r["lang_pred"] != "und"]
+    kept = stage("language")(spark, docs, SF_DIR).collect()
+    assert sorted(map(str, kept)) == sorted(str(r.__class__(**{c: r[c] for c in docs.columns})) for r in told)
+    private = {(r["doc_id"], r["n_chars"]): r["text"] for r in pii.pseudonymize(docs).collect()}
+    clean = stage("private_data")(spark, docs, SF_DIR).collect()
+    assert len(clean) == 11 and all(private[r["doc_id"], r["n_chars"]] == r["text"] for r in clean)
+    packed = stage("pack")(spark, docs, SF_DIR).collect()
+    ids = b"".join(p["ids"] for p in sorted((p for p in packed if p["doc_id"] == 7), key=lambda p: p["start"]))
+    text = next(r["text"] for r in docs.collect() if r["doc_id"] == 7)
+    assert np.frombuffer(ids, "<u4").tolist() == expected_ids("byte_bpe_50k.json", text, 1)
+
+
+def test_special_strings_are_the_librarys(spark):
+    texts = ["say <|endoftext|> now", "a<|endoftext|>b.<|startoftext|>", " <|endoftext|>", "<|endoftext|>\n\n<|endoftext|>  x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for piece in packing.pack(docs).collect():
+        assert np.frombuffer(piece["ids"], "<u4").tolist() == expected_ids("byte_bpe_50k.json", texts[piece["doc_id"]], 1)
+    folder = shared_folder(spark, "test-special")
+    token_files.write_token_files(docs, folder, 1)
+    for row in token_files.read_token_files(spark, folder).collect():
+        assert np.frombuffer(row["ids"], "<u4").tolist() == expected_ids("word_bpe_49k.json", texts[row["doc_id"]], 2)
+
+
 def test_pipeline_runs(spark):
     pieces = corpus_pipeline.run(spark, SF_DIR)
     assert pieces.count() > 0
