@@ -162,6 +162,13 @@ def encode_unpadded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _encoded(spark, sf_dir, pad=False)
 
 
+def encode_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document, without padding, beside its label."""
+    vocabulary = _stored(vocab_build(spark, sf_dir), "vocabulary")
+    encoded = encoding.encode(b.tokenized(spark, sf_dir), vocabulary, pad=False, carry=("label",))
+    return encoded.select("doc_id", "label", F.posexplode_outer("input_ids").alias("pos", "input_id"))
+
+
 # --- labels and scores ---------------------------------------------------------------------
 
 
@@ -586,6 +593,7 @@ QUERIES = {
     "vocab_build": vocab_build,
     "encode_fixed_length": encode_fixed_length,
     "encode_unpadded": encode_unpadded,
+    "encode_labelled": encode_labelled,
     "label_lookup": label_lookup,
     "label_inverse": label_inverse,
     "softmax_scores": softmax_scores,

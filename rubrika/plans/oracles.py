@@ -373,6 +373,10 @@ ORACLES = {
                CASE WHEN r.input_id IS NULL THEN 0 ELSE 1 END AS attention
         FROM slots s LEFT JOIN real_ids r ON s.doc_id = r.doc_id AND s.pos = r.pos
     """,
+    "encode_labelled": f"""
+        WITH {ENCODED}
+        SELECT doc_id, label, CAST(pos AS INTEGER) AS pos, input_id FROM real_ids JOIN docs USING (doc_id)
+    """,
     "encode_unpadded": f"""
         WITH {ENCODED}
         SELECT doc_id, CAST(pos AS INTEGER) AS pos, input_id, 1 AS attention FROM real_ids
