@@ -33,13 +33,15 @@ from rubrika.plans import bindings as b
 from rubrika.schemas import MAX_LENGTH, VOCABULARY_SIZE
 from rubrika.session import shared_folder
 from rubrika.sources import compaction, prediction_log
-from rubrika.sources.corpus import head, read_corpus, train_and_test
+from rubrika.sources.corpus import accepted, head, read_checked, read_corpus, rejected, train_and_test
 from rubrika.sources.models import save_model
-from rubrika.streaming import stats
+from rubrika.streaming import corrections, stats
+from rubrika.streaming.repeats import distinct_articles
 from rubrika.streaming.score import score_to_log
 
 HEAD_SIZE = 500
 LATENESS = "1 hour"
+ARTICLE_SPAN = "31 days"
 STATE_PARTITIONS = 8
 # Which events come in which micro-batch; each list parts the whole table.
 EVENT_PARTS = tuple(f"pmod(event_id, 4) = {i}" for i in range(4))
@@ -85,6 +87,31 @@ def corpus_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def corpus_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as json lines, of which some are cut off, some have a class that is no number and
+    some no text; all rows come back, the bad ones with a reason and, if unreadable, as they were."""
+    path = shared_folder(spark, "corpus-lines")
+    docs = b.corpus(spark, sf_dir).drop("split")
+    number = F.col("doc_id").cast("string")
+    line = (
+        F.when(F.pmod("doc_id", F.lit(50)) == 7, F.concat(F.lit('{"doc_id": '), number, F.lit(', "text": "cut')))
+        .when(
+            F.pmod("doc_id", F.lit(50)) == 11,
+            F.concat(F.lit('{"doc_id": '), number, F.lit(', "text": "x", "label": "none"}')),
+        )
+        .when(F.pmod("doc_id", F.lit(50)) == 13, F.concat(F.lit('{"doc_id": '), number, F.lit(', "label": 1}')))
+        .otherwise(F.to_json(F.struct("doc_id", "text", "label")))
+    )
+    docs.select(line.alias("value")).write.text(path)
+    rows = read_checked(spark, path, "json")
+    good = accepted(rows).select("doc_id", F.md5("text").alias("text_md5"), "label")
+    good = good.withColumns({"reason": F.lit(None).cast("string"), "raw": F.lit(None).cast("string")})
+    bad = rejected(rows).select("doc_id", F.md5("text").alias("text_md5"), "label", "reason", F.col("_raw").alias("raw"))
+    # What can be read of a record that does not fit is the reader's affair; the record itself is whole.
+    read = {c: F.when(F.col("raw").isNull(), F.col(c)) for c in ("doc_id", "text_md5", "label")}
+    return good.unionByName(bad.withColumns(read))
+
+
 def subset_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = train_and_test(b.corpus(spark, sf_dir))
     train, test = head(train, test, HEAD_SIZE)
@@ -579,10 +606,32 @@ def stream_daily_volume_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_late_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All days with every row, and how many of them came after their day was final."""
+    events = _event_stream(spark, sf_dir, LATE_PARTS)
+    path, checkpoint = shared_folder(spark, "days"), shared_folder(spark, "offsets")
+    query = corrections.corrected_daily_volume(events, LATENESS, path, checkpoint)
+    query.awaitTermination()
+    days = corrections.read_corrected(events.sparkSession, path, query.id)
+    return days.select(_date("prediction_date"), "total", "unique_categories", "late")
+
+
+def stream_distinct_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different texts of a stream whose copies come in other micro-batches, by their hash."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
+    docs = b.table(session, sf_dir, "documents")
+    docs = docs.select("text", b.article_time(F.col("doc_id")).alias("created_at"))
+    parts = [docs.where(F.pmod(F.xxhash64("created_at"), F.lit(4)) == i) for i in range(4)]
+    fresh = distinct_articles(_stream(session, parts, "articles"), ARTICLE_SPAN)
+    return _running(session, fresh.select(F.md5("text").alias("text_md5")), "append")
+
+
 QUERIES = {
     "categorize_and_log": categorize_and_log,
     "corpus_split": corpus_split,
     "corpus_formats": corpus_formats,
+    "corpus_malformed": corpus_malformed,
     "subset_head": subset_head,
     "clean_documents": clean_documents,
     "clean_pages": clean_pages,
@@ -632,4 +681,6 @@ QUERIES = {
     "stream_category_stats": stream_category_stats,
     "stream_daily_volume": stream_daily_volume,
     "stream_daily_volume_late": stream_daily_volume_late,
+    "stream_late_corrected": stream_late_corrected,
+    "stream_distinct_articles": stream_distinct_articles,
 }

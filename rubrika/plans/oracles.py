@@ -331,6 +331,16 @@ ORACLES = {
     "corpus_formats": f"""
         SELECT doc_id, text, {LANG_CLASS} AS label, unnest(['json', 'orc']) AS source FROM documents
     """,
+    "corpus_malformed": f"""
+        SELECT CASE WHEN doc_id % 50 NOT IN (7, 11) THEN doc_id END AS doc_id,
+               CASE WHEN doc_id % 50 NOT IN (7, 11, 13) THEN md5(text) END AS text_md5,
+               CASE doc_id % 50 WHEN 7 THEN NULL WHEN 11 THEN NULL WHEN 13 THEN 1 ELSE {LANG_CLASS} END AS label,
+               CASE doc_id % 50 WHEN 7 THEN 'record does not fit the schema'
+                   WHEN 11 THEN 'record does not fit the schema' WHEN 13 THEN 'text is missing' END AS reason,
+               CASE doc_id % 50 WHEN 7 THEN '{{"doc_id": ' || doc_id || ', "text": "cut'
+                   WHEN 11 THEN '{{"doc_id": ' || doc_id || ', "text": "x", "label": "none"}}' END AS raw
+        FROM documents
+    """,
     "subset_head": f"""
         WITH docs AS (SELECT {SPLIT} AS split, doc_id, {LANG_CLASS} AS label FROM documents),
         placed AS (
@@ -559,4 +569,13 @@ ORACLES = {
                count(*) FILTER (NOT is_late) AS total, count(*) FILTER (is_late) AS late
         FROM kept GROUP BY ALL
     """,
+    "stream_late_corrected": f"""
+        WITH {LOG},
+        marks AS (SELECT max(created_at) FILTER (id % 10 <> 0) - INTERVAL 1 HOUR AS mark FROM log)
+        SELECT strftime(created_at, '%Y-%m-%d') AS prediction_date, count(*) AS total,
+               count(DISTINCT predicted_label) AS unique_categories,
+               count(*) FILTER (id % 10 = 0 AND date_trunc('day', created_at) + INTERVAL 1 DAY <= mark) AS late
+        FROM log, marks GROUP BY ALL
+    """,
+    "stream_distinct_articles": "SELECT DISTINCT md5(text) AS text_md5 FROM documents",
 }
