@@ -32,7 +32,9 @@ def release(*frames: DataFrame) -> None:
     """Deletes tables that ``stored`` wrote, once nothing that is still to run reads them, and has the
     driver collect its garbage: Spark deletes shuffle files of plans that are gone only then."""
     for frame in frames:
-        files.delete(frame.sparkSession, frame.stored_path)
+        paths = frame.stored_path
+        for path in [paths] if isinstance(paths, str) else paths:
+            files.delete(frame.sparkSession, path)
     collect_garbage(frames[0].sparkSession)
 
 

@@ -22,6 +22,11 @@ short ones first (they hold the changes that copies of a changed copy share), th
 pairs in different components, since a pair in one component cannot change the result. No link
 between different components is lost.
 
+Before whole sets travel, candidate pairs meet by signatures: a bit per residue of a set's hashes, two
+to four bits a shingle. A bit that only one side has stands for a shingle that the other lacks, so the
+bits bound the intersection from above, and pairs bounded below ``overlap`` are refused. That refuses
+no link; what is left is counted on the sets.
+
 Shingles have 64-bit hashes, cut to 48 bits for counting overlaps (a false match within a pair of
 documents of 1,000 words has a chance of 4e-9). Nodes have 64-bit ids checked by a second hash: a
 clash stops the query.
@@ -63,7 +68,7 @@ HUB_PAIRS = 2000
 MOVED = 0.5
 BATCH_ROWS = 512
 BROADCAST_PAIRS = 1_000_000  # pairs of nodes up to this many (40 bytes each) may be broadcast
-SETS = "doc_id long, n long, node long, proof long, elems binary"
+SETS = "doc_id long, n long, node long, proof long, sig binary, elems binary"
 
 
 def overlap(n: int, m: int) -> int:
@@ -158,28 +163,40 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def signature_width(n: np.ndarray) -> np.ndarray:
+    """Bits in the signature of a set of n: the power of two from 2 n on, at least 64."""
+    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+
+
+def _signature(h: np.ndarray) -> bytes:
+    bits = np.zeros(int(signature_width(np.array([len(h)]))[0]), np.uint8)
+    bits[h & np.uint64(len(bits) - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _set_rows(batches, levels, carry):
     table = levels.value
     for batch in batches:
-        sizes, nodes, proofs, elems = [], [], [], []
+        sizes, nodes, proofs, sigs, elems = [], [], [], [], []
         for h in _document_shingles(batch.column(1)):
             h = np.unique(h)
             sizes.append(len(h))
             nodes.append(int(mix(np.array([h.sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)).view(np.int64)[0]))
             proofs.append(int(mix(h).sum(dtype=np.uint64).view(np.int64)))
             h = _short(h)
+            sigs.append(_signature(h))
             elems.append(_pack(h[np.argsort(table[_bucket(h)], kind="stable")]))
         columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(proofs, pa.int64())]
         passed = [batch.column(2 + k) for k in range(len(carry))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *columns, pa.array(elems, pa.binary()), *passed],
-            names=["doc_id", "n", "node", "proof", "elems", *carry],
+            [batch.column(0), *columns, pa.array(sigs, pa.binary()), pa.array(elems, pa.binary()), *passed],
+            names=["doc_id", "n", "node", "proof", "sig", "elems", *carry],
         )
 
 
 def shingle_sets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, n, node, proof, elems``: the set of each document in the common order, rare
-    shingles first; equal sets have the same node. ``carry`` names columns of whole numbers to pass on."""
+    """``doc_id, n, node, proof, sig, elems``: the set of each document in the common order, rare
+    shingles first, and its signature; equal sets have the same node. ``carry`` names columns of whole numbers to pass on."""
     passed = [F.col(name).cast("long").alias(name) for name in carry]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *passed)
     levels = docs.sparkSession.sparkContext.broadcast(common_levels(docs))
@@ -335,6 +352,44 @@ def _among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return sets.select("node", "n", "elems", place.alias("p")).mapInArrow(known, "node long, n long, elems binary")
 
 
+def _possible(batches):
+    """The pairs of rows a, b, n_a, e_a, n_b, e_b whose signatures ``e`` allow a link."""
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy() for c in (2, 4))
+        (raw_a, at_a), (raw_b, at_b) = (_bytes(batch.column(c)) for c in (3, 5))
+        width_a, width_b = np.diff(at_a), np.diff(at_b)
+        keep = np.ones(len(n), bool)
+        for wa, wb in set(zip(width_a.tolist(), width_b.tolist())):
+            rows = np.flatnonzero((width_a == wa) & (width_b == wb))
+            step = max(1, CHUNK_BYTES // max(wa, wb))
+            for k in range(0, len(rows), step):
+                some = rows[k : k + step]
+                left = _folded(raw_a, at_a[some], wa, min(wa, wb))
+                right = _folded(raw_b, at_b[some], wb, min(wa, wb))
+                only_a = np.bitwise_count(left & ~right).sum(1, dtype=np.int64)
+                only_b = np.bitwise_count(right & ~left).sum(1, dtype=np.int64)
+                both = np.minimum(n[some] - only_a, m[some] - only_b)
+                keep[some] = 100 * both >= 75 * (n[some] + m[some] - both)
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column without nulls."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8), at
+
+
+def _folded(raw: np.ndarray, starts: np.ndarray, width: int, to: int) -> np.ndarray:
+    """Signatures of ``width`` bytes as words, cut to ``to`` bytes: a residue there is one here too."""
+    found = raw[starts[:, None] + np.arange(width)].view(np.uint64)
+    found = found.reshape(len(starts), width // to, to // 8)
+    return np.bitwise_or.reduce(found, axis=1)
+
+
 def _linked(batches):
     """The pairs (a, b) of rows a, b, n_a, e_a, n_b, e_b that link; one pair of sets is unpacked at a time."""
     for batch in batches:
@@ -359,8 +414,19 @@ def _small_batches(spark):
         spark.conf.set(key, before)
 
 
-def verified(sets: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, counted on the whole sets; ``sizes`` has the size of each node.
+def verified(sets: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, counted on the whole sets once the signatures allow it; ``nodes``
+    has ``node, n, sig``, each node once."""
+    signed = nodes.select("node", "n", F.col("sig").alias("elems"))
+    likely = _at_hubs(signed, nodes.select("node", "n"), pairs, _possible, "likely", 1 / 12)
+    found = _at_hubs(sets, nodes.select("node", "n"), likely, _linked, "links", 1.0)
+    release(likely)
+    return found
+
+
+def _at_hubs(sets: DataFrame, sizes: DataFrame, pairs: DataFrame, keep, purpose: str, weight: float) -> DataFrame:
+    """The pairs that ``keep`` finds to hold for their two sets (or signatures) ``elems``, which take
+    at most ``weight`` of the bytes of the sets.
 
     Of each pair the node with more pairs is the hub. The other's set goes to the hub, once a pair,
     from where it is read; the hub's set goes once, or once for each ``HUB_PAIRS`` pairs, among which
@@ -382,18 +448,20 @@ def verified(sets: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     told = stored(told.join(sizes, "node"), "told")
     moved, whole = (table.agg(F.sum("n")).first()[0] or 0 for table in (told, sizes))
-    turns = max(1, math.ceil(moved / (MOVED * max(whole, 1))))
+    turns = max(1, math.ceil(weight * moved / (MOVED * max(whole, 1))))
     found = []
     for turn in range(turns):
         now = told.where(F.pmod(F.xxhash64("hub", "part", F.lit("turn")), F.lit(turns)) == turn)
         with _small_batches(sets.sparkSession):
-            found.append(stored(_counted(sets, now.drop("n")), "links"))
+            found.append(stored(_counted(sets, now.drop("n"), keep), purpose))
         collect_garbage(sets.sparkSession)
     release(told)
-    return reduce(DataFrame.union, found)
+    together = reduce(DataFrame.union, found)
+    together.stored_path = [part.stored_path for part in found]
+    return together
 
 
-def _counted(sets: DataFrame, told: DataFrame) -> DataFrame:
+def _counted(sets: DataFrame, told: DataFrame, keep) -> DataFrame:
     small = told.count() <= BROADCAST_PAIRS
     spokes = _among(sets, told.select("node"))
     spokes = spokes.join(F.broadcast(told) if small else told, "node")
@@ -403,7 +471,7 @@ def _counted(sets: DataFrame, told: DataFrame) -> DataFrame:
     hubs = hubs.join(F.broadcast(copies) if small else copies, "node")
     hubs = hubs.select(F.col("node").alias("hub"), "part", "n_b", "e_b")
     both = spokes.join(hubs, ["hub", "part"]).select("a", "b", "n_a", "e_a", "n_b", "e_b")
-    return both.mapInArrow(_linked, "a long, b long").distinct()
+    return both.mapInArrow(keep, "a long, b long").distinct()
 
 
 def _best_leaders(led: DataFrame) -> DataFrame:
@@ -463,7 +531,11 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     sets = stored(shingle_sets(docs, carry), "sets", "none")
     nodes = stored(
         sets.where("n > 0").groupBy("node").agg(
-            F.min("n").alias("n"), F.max("n").alias("n2"), F.min("proof").alias("p"), F.max("proof").alias("p2")
+            F.min("n").alias("n"),
+            F.max("n").alias("n2"),
+            F.min("proof").alias("p"),
+            F.max("proof").alias("p2"),
+            F.first("sig").alias("sig"),
         ),
         "nodes",
     )
@@ -477,7 +549,7 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     def more(pairs: DataFrame) -> DataFrame:
         """All links with those among ``pairs``, each round a table of its own."""
         pairs = stored(pairs, "pairs")
-        found = verified(sets, sizes, pairs)
+        found = verified(sets, nodes, pairs)
         release(pairs)
         return links.union(found)
 
