@@ -32,7 +32,7 @@ from rubrika.operators.token_model import TokenModel, fit_token_model, load_toke
 from rubrika.plans import bindings as b
 from rubrika.schemas import MAX_LENGTH, VOCABULARY_SIZE
 from rubrika.session import shared_folder
-from rubrika.sources import compaction, prediction_log
+from rubrika.sources import compaction, prediction_log, states
 from rubrika.sources.corpus import accepted, head, read_checked, read_corpus, rejected, train_and_test
 from rubrika.sources.models import save_model
 from rubrika.streaming import corrections, stats
@@ -438,6 +438,35 @@ def category_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats_rows.withColumn("last_seen", _time("last_seen"))
 
 
+def _log_with_states(spark: SparkSession, sf_dir: str) -> str:
+    """All events in four batches: one was wrong and is replaced, one has no states, old days are compacted."""
+    path, events = shared_folder(spark, "log"), b.event_log(spark, sf_dir)
+
+    def write(batch_id: int, rows: DataFrame, kept: bool = True) -> None:
+        part = rows.where(F.pmod("id", F.lit(4)) == batch_id)
+        prediction_log.append(part, path, batch_id, rebalance=True, states=kept)
+
+    write(0, events)
+    write(1, events.withColumn("confidence", F.lit(0.0)).withColumn("predicted_label", F.lit("World")))
+    write(2, events)
+    write(3, events, kept=False)
+    write(1, events)
+    reached = compaction.compact(spark, path, date(2024, 1, 15))
+    compaction.remove_replaced(spark, path, reached)
+    return path
+
+
+def stats_from_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category statistics from the states of the attempts."""
+    path = _log_with_states(spark, sf_dir)
+    return states.category_stats(states.read_states(spark, path)).withColumn("last_seen", _time("last_seen"))
+
+
+def daily_from_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = states.daily_volume(states.read_states(spark, _log_with_states(spark, sf_dir)))
+    return days.withColumn("prediction_date", _date("prediction_date"))
+
+
 def daily_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = analytics.daily_volume(b.event_log(spark, sf_dir))
     return days.withColumn("prediction_date", _date("prediction_date"))
@@ -671,6 +700,8 @@ QUERIES = {
     "log_rerun_failed": log_rerun_failed,
     "category_stats": category_stats,
     "daily_volume": daily_volume,
+    "stats_from_states": stats_from_states,
+    "daily_from_states": daily_from_states,
     "stats_views": stats_views,
     "recent_predictions": recent_predictions,
     "recent_by_sql": recent_by_sql,

@@ -522,6 +522,8 @@ ORACLES = {
     """,
     "category_stats": f"WITH {LOG} {STATS.format('log')}",
     "daily_volume": f"WITH {LOG} {VOLUME}",
+    "stats_from_states": f"WITH {LOG} {STATS.format('log')}",
+    "daily_from_states": f"WITH {LOG} {VOLUME}",
     "stats_views": f"""
         WITH {LOG}
         SELECT 'label' AS kind, predicted_label AS name, count(*) AS n FROM log GROUP BY ALL

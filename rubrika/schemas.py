@@ -72,6 +72,22 @@ LOG_COUNTS = T.StructType(
     ]
 )
 
+# What the accepted rows of an attempt, day and label add to the statistics.
+STATES = T.StructType(
+    [
+        T.StructField("prediction_date", T.DateType()),
+        T.StructField("predicted_label", T.StringType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("sum_confidence", T.DecimalType(30, 15)),
+        T.StructField("n_confidence", T.LongType()),
+        T.StructField("last_seen", T.TimestampType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("run", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("attempt", T.StringType()),
+    ]
+)
+
 # An entry of the log's list: an attempt of a batch, or a compaction (then ``attempt`` is its name).
 # ``keyed`` says that the attempt's ids are in the key table.
 LOG_LIST = T.StructType(

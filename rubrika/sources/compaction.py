@@ -82,7 +82,7 @@ def remove_replaced(spark: SparkSession, path: str, reached: int) -> int:
     gone, folders = [], []
     for row in replaced.toLocalIterator():
         gone.append(row["attempt"])
-        folders += [prediction_log.folder(path, part, row.asDict(), row["attempt"]) for part in ("rows", "counts")]
+        folders += [prediction_log.folder(path, part, row.asDict(), row["attempt"]) for part in ("rows", "counts", "states")]
     pieces = prediction_log.compacted_pieces(spark, path, reached)
     if pieces is not None:
         for row in newest.join(pieces.select(*PARTITIONS, "attempt"), "attempt").toLocalIterator():

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rubrika.functions.text import utc_date
 from rubrika.operators import analytics
+from rubrika.operators.partial import partial_states
 from rubrika.operators.prediction_rows import validate
 from rubrika.schemas import COMPACTED, KEYS, LOG_COUNTS, LOG_TABLE, PIECES, RECENT_LIMIT
 from rubrika.sources import files, publication, unique_ids
@@ -37,7 +38,7 @@ BROADCAST_ENTRIES = 500_000
 
 def create_log(spark: SparkSession, path: str) -> None:
     """Makes an empty log unless there is one."""
-    for part in ("rows", "counts", "compacted", "pieces", "keys", "list", "preparing"):
+    for part in ("rows", "counts", "states", "compacted", "pieces", "keys", "list", "preparing"):
         files.make_folder(spark, f"{path}/{part}")
 
 
@@ -59,6 +60,7 @@ def append(
     source: str = TABLE_SOURCE,
     run: str = FIRST_RUN,
     unique: bool = False,
+    states: bool = False,
 ) -> int:
     """Checks prepared rows, writes them as one attempt of a batch, publishes it, and returns its
     number.
@@ -71,6 +73,9 @@ def append(
     With ``unique`` an id that occurs again in the batch, or that another batch of the source's run
     holds, is rejected. Should another attempt of that run be published meanwhile, the check is made
     again with it.
+
+    With ``states`` the attempt's part of the statistics is written beside its rows
+    (``rubrika.sources.states``): one more scan, of three columns.
     """
     for name in (source, run):
         if not re.fullmatch(r"[\w.-]+", name, re.ASCII):
@@ -79,7 +84,7 @@ def append(
     create_log(spark, path)
     batch = {"kind": ATTEMPT, "source": source, "run": run, "batch_id": batch_id, "keyed": unique}
     if not unique:
-        attempt = _write(batch_rows(rows, rebalance), path, batch)
+        attempt = _write(batch_rows(rows, rebalance), path, batch, states)
         return publication.publish(spark, path, batch | {"attempt": attempt})
 
     # Written once before the check, so that what is checked is what is kept.
@@ -91,7 +96,7 @@ def append(
             since = publication.newest(spark, path)
             older = _ids_of_other_batches(spark, path, batch)
             told = unique_ids.reject_repeated(checked, older)
-            attempt = _write(_gathered(told, rebalance), path, batch)
+            attempt = _write(_gathered(told, rebalance), path, batch, states)
             unique_ids.write_keys(_attempt_rows(spark, path, batch, attempt), f"{path}/keys", batch, attempt)
             try:
                 return publication.publish(
@@ -119,12 +124,15 @@ def _attempt_rows(spark: SparkSession, path: str, batch: dict, attempt: str) ->
     return reader.parquet(folder(path, "rows", batch, attempt))
 
 
-def _write(checked: DataFrame, path: str, batch: dict) -> str:
-    """Writes the rows of an attempt and their numbers; returns its name."""
+def _write(checked: DataFrame, path: str, batch: dict, states: bool = False) -> str:
+    """Writes the rows of an attempt, their numbers and states; returns its name."""
     spark, attempt = checked.sparkSession, uuid4().hex
     checked.write.partitionBy(*PARTITIONS).parquet(folder(path, "rows", batch, attempt))
     counts = _attempt_rows(spark, path, batch, attempt).groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("n"))
     counts.coalesce(1).write.parquet(folder(path, "counts", batch, attempt))
+    if states:
+        accepted = _attempt_rows(spark, path, batch, attempt).where("status = 'accepted'")
+        partial_states(accepted).write.parquet(folder(path, "states", batch, attempt))
     return attempt
 
 
