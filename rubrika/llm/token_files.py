@@ -35,7 +35,8 @@ END_ID = 2
 LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS = 512  # documents the dictionary is trained on, the first by a hash of their id
-SAMPLE_CHARS = 20_000  # only documents up to this length are in that sample
+SAMPLE_CHARS = 20_000  # of a longer document in that sample a window of so many characters is read
+PIECE_BYTES = 4 << 10  # ids are given to the training in pieces up to this size
 DECODE_BYTES = 8 << 20
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
@@ -46,17 +47,25 @@ def _with_end(ids: bytes) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str = WORD_LEVEL) -> bytes:
-    """A dictionary from serialized id arrays of a bounded sample of documents. Empty when there
-    is too little to train on: frames are then compressed without one."""
-    sample = (
-        docs.where(F.length("text").between(1, SAMPLE_CHARS))
-        .select("doc_id", "text")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(SAMPLE_ROWS)
-        .select("text")
-        .collect()
-    )
-    arrays = [_with_end(x) for x in encode_texts(tokenizer, [row["text"] for row in sample])]
+    """A dictionary from serialized id arrays of a bounded sample of documents of any length; of a
+    long one a window is read, at a place that a hash of its text gives. The sample is chosen by
+    hashes alone, and only the chosen windows reach the driver. Empty when there is too little to
+    train on: frames are then compressed without one."""
+    facts = docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("h"))
+    chosen = facts.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(SAMPLE_ROWS).distinct()
+    keys = [(row["doc_id"], row["h"]) for row in chosen.collect()]
+    if not keys:
+        return b""
+    number = facts.schema["doc_id"].dataType.simpleString()
+    keys = docs.sparkSession.createDataFrame(keys, f"key {number}, h long")
+    spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    window = F.substring("text", (F.pmod(F.xxhash64("text"), spare) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    same = F.col("doc_id").eqNullSafe(F.col("key")) & (F.xxhash64("text") == F.col("h"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(keys), same, "inner")
+    sample = sample.select("key", "h", window.alias("text")).dropDuplicates(["key", "h"])
+    sample = sorted(sample.collect(), key=lambda row: (row["h"], str(row["key"])))
+    ids = [_with_end(x) for x in encode_texts(tokenizer, [row["text"] for row in sample])]
+    arrays = [x[i : i + PIECE_BYTES] for x in ids for i in range(0, len(x), PIECE_BYTES)]
     total = sum(map(len, arrays))
     try:
         size = min(DICTIONARY_BYTES, total // 8)

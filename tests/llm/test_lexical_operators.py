@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.errors import PySparkException
 
-from rubrika.llm import catalog, edit_tiles, max_sketches, merge_replay
+from rubrika.llm import catalog, edit_tiles, max_sketches, merge_replay, token_files
 from tests.llm.test_llm_operators import empty, odd_documents
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -290,3 +290,14 @@ def test_variants_of_odd_rows(spark):
     words = edit_tiles.count_words(docs)
     assert {r["word"]: r["n"] for r in words.collect()} == brute_counts([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert edit_tiles.variants(edit_tiles.count_words(empty(spark))).count() == 0
+
+
+def test_long_documents_train_the_dictionary(spark):
+    words = "the night train to the coast was late again and nobody on the platform seemed to mind".split()
+    texts = [" ".join(words[(i * k + k // 7) % len(words)] for k in range(8000)) for i in range(1, 41)]
+    assert min(map(len, texts)) > token_files.SAMPLE_CHARS
+    docs = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    dictionary = token_files.train_dictionary(docs.union(docs.limit(1)))
+    assert len(dictionary) >= 1024
+    assert dictionary == token_files.train_dictionary(docs.repartition(3))
+    assert token_files.train_dictionary(docs.limit(0)) == b""
