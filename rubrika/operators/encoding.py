@@ -59,8 +59,9 @@ def _join_ids(pieces: DataFrame, vocabulary: DataFrame, key: str, broadcast_rows
         return pieces.join(F.broadcast(lookup), "token", "left")
     salts = F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))).alias("salt")
     salt = F.pmod(F.xxhash64(key, "pos"), F.lit(TOKEN_SALTS)).cast("int")
+    # Told to shuffle: its files are small beside its rows times the salts.
     return pieces.withColumn("salt", salt).join(
-        lookup.select("token", "token_id", salts), ["token", "salt"], "left"
+        lookup.select("token", "token_id", salts).hint("merge"), ["token", "salt"], "left"
     )
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubrika.functions.scores import softmax
-from rubrika.operators.encoding import BROADCAST_ROWS, TOKEN_SALTS, each_token
+from rubrika.operators.selection import largest
 from rubrika.operators.training import NUM_LABELS, class_sizes, class_token_counts
 
 ROW_KEY = ("_row", "_again")
+# So many tokens (some 100 bytes each) with their weights may be broadcast, the most frequent ones.
+FREQUENT_TOKENS = 50_000
 
 
 @dataclass(frozen=True)
@@ -26,38 +28,51 @@ class TokenModel:
     log_priors: list[float]
     totals: list[float]
 
-    def transform(self, df: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    def transform(self, df: DataFrame, broadcast_rows: int = FREQUENT_TOKENS) -> DataFrame:
         """Adds ``probabilities`` to a frame with ``tokens``; tokens never seen have no part.
 
-        Tokens meet their counts in a join, by broadcast where the counted table is small, else by
-        token and salt, so that a frequent token is spread over as many tasks. The sums per row
-        of ``df`` are numbers, added up in the tasks first; text is not among them. Rows are told
-        apart by two hashes over all columns; rows equal in every column share one sum and each
-        gets it.
+        The ``broadcast_rows`` most frequent tokens meet their counts by broadcast and are added up
+        per row in the tasks, whatever the size of the model. The others travel once per row and
+        join by token: each is rare, so no task gets much of one. The salt is the token's hash, and
+        for the sums without such a token the row's, which spreads them. The sums per row of ``df``
+        are numbers; text is not among them. Rows are told apart by two hashes over all columns;
+        rows equal in every column share one sum and each gets it.
         """
         columns = [c for c in df.columns if c != "tokens"]
         keyed = df.withColumns(
             {"_row": F.xxhash64(*columns), "_again": F.xxhash64(F.lit(1), *columns)}
         )
         classes = range(len(self.totals))
-        weights = self.counts.select(
-            "token",
-            *[F.log((F.col(f"n_{c}") + 1) / F.lit(self.totals[c])).alias(f"w_{c}") for c in classes],
-        )
+        logs = [F.log((F.col(f"n_{c}") + 1) / F.lit(self.totals[c])).alias(f"w_{c}") for c in classes]
         pieces = keyed.select(*ROW_KEY, F.posexplode_outer("tokens").alias("pos", "token"))
+        rows = F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("rows")
+        adds = [F.sum(f"w_{c}").alias(f"w_{c}") for c in classes]
         if self.counts.count() <= broadcast_rows:
-            found = pieces.join(F.broadcast(weights), "token", "left")
+            weights = self.counts.select("token", *logs)
+            sums = pieces.join(F.broadcast(weights), "token", "left").groupBy(*ROW_KEY).agg(rows, *adds)
         else:
-            salts = F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))).alias("salt")
-            salt = F.pmod(F.xxhash64("_row", "pos"), F.lit(TOKEN_SALTS)).cast("int")
-            found = pieces.withColumn("salt", salt).join(
-                weights.select("*", salts), ["token", "salt"], "left"
+            frequent = largest(self.counts, broadcast_rows) if broadcast_rows else self.counts.limit(0)
+            found = pieces.join(F.broadcast(frequent.select("token", *logs)), "token", "left")
+            rare = F.when(F.col("w_0").isNull(), F.col("token")).alias("token")
+            added = found.groupBy(*ROW_KEY, rare).agg(rows, F.count(F.lit(1)).alias("times"), *adds)
+            hashed = F.xxhash64("token").alias("salt")
+            salt = F.when(F.col("token").isNull(), F.col("_row")).otherwise(hashed)
+            # A frequent token is null here, so the whole model may stand on the other side.
+            weights = self.counts.select("token", hashed, *logs)
+            both = added.withColumn("salt", salt).alias("l").join(
+                weights.hint("merge").alias("r"), ["token", "salt"], "left"
             )
-        rows = F.count_if(F.coalesce("pos", F.lit(0)) == 0)
-        sums = found.groupBy(*ROW_KEY).agg(
-            *[F.coalesce(F.sum(f"w_{c}") / rows, F.lit(0.0)).alias(f"s_{c}") for c in classes]
+            given = [
+                F.sum(F.coalesce(f"l.w_{c}", F.col(f"r.w_{c}") * F.col("times"))).alias(f"w_{c}")
+                for c in classes
+            ]
+            sums = both.groupBy(*ROW_KEY).agg(F.sum("rows").alias("rows"), *given)
+        logits = F.array(
+            *[
+                F.coalesce(F.col(f"w_{c}") / F.col("rows"), F.lit(0.0)) + F.lit(self.log_priors[c])
+                for c in classes
+            ]
         )
-        logits = F.array(*[F.col(f"s_{c}") + F.lit(self.log_priors[c]) for c in classes])
         shares = sums.select(*ROW_KEY, softmax(logits).alias("probabilities"))
         return keyed.join(shares, list(ROW_KEY), "left").drop(*ROW_KEY)
 
