@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rubrika.functions import scores
 from rubrika.functions.labels import label_id, label_name, zero_based
@@ -537,12 +538,26 @@ def categorize_and_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(session: SparkSession, batches: list[DataFrame], name: str) -> DataFrame:
-    """Parts of a table, written one after the other, as a stream of one part per micro-batch."""
+    """Parts of a table, written one after the other, as a stream of one part per micro-batch.
+
+    Each task writes the rows that it reads of a part. A micro-batch takes as many files as the table
+    has tasks; where some have no row of a part, files with a row that the stream leaves out stand in.
+    """
     path = shared_folder(session, f"stream-{name}")
+    schema = batches[0].schema
+    files = max(part.rdd.getNumPartitions() for part in batches)
+    written = 0
     for part in batches:
-        part.coalesce(1).write.mode("append").parquet(path)
-    source = session.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1)
-    return source.parquet(path)
+        part.withColumn("_row", F.lit(True)).write.mode("append").parquet(path)
+        written += files
+        missing = written - len(session.read.schema(schema).parquet(path).inputFiles())
+        if missing:
+            blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+            blank = session.range(0, missing, 1, missing).select(*blank, F.lit(False).alias("_row"))
+            blank.write.mode("append").parquet(path)
+    source = session.readStream.schema(StructType([*schema]).add("_row", "boolean"))
+    source = source.option("maxFilesPerTrigger", files).parquet(path)
+    return source.where("_row").drop("_row")
 
 
 def _event_stream(
