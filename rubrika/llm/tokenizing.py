@@ -7,13 +7,14 @@ between an ASCII letter and a full stop, comma, colon or semicolon. Texts that h
 than space and line feed are not cut by the byte-level one but encoded whole. No cut falls inside a
 special token's string, which becomes its id, as with the library and the file as it is.
 
-Pieces are told apart by 64-bit hashes; a worker remembers pieces up to ``MEMO_BYTES``, then starts
-anew. Texts are worked on in parts of ``CHUNK_BYTES``; a longer one is a part of its own.
+Pieces are told apart by 64-bit hashes; a worker remembers pieces in numpy arrays, found by their sorted
+hashes, up to ``MEMO_BYTES``, then starts anew. Texts are worked on in parts of ``CHUNK_BYTES``; a longer one is a part of its own.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from rubrika.llm.words import SPACE, hashes
 BYTE_LEVEL = "byte_bpe_50k.json"
 WORD_LEVEL = "word_bpe_49k.json"
 MEMO_BYTES = 48 << 20
-PIECE_COST = 130  # bytes for a remembered piece beside its ids
+PIECE_COST = 48  # bytes for a remembered piece beside its ids: hash, slot, start, size, room to grow
 CHUNK_BYTES = 1 << 19
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,:;"]] = True
@@ -58,7 +59,8 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)
+        self.slots = np.zeros(0, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
@@ -89,41 +91,53 @@ class PieceEncoder:
         after = np.concatenate((word[1:], [False]))
         return starts, np.flatnonzero(word & (~after | cut[1:])) + 1
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Remembers new pieces in slots of their order."""
+        known = len(self.keys)
         for at in range(0, len(keys), 4096):
             found = self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
             ids = [e.ids for e in found]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, n = int(sizes.sum()), len(self.memo)
+            total, n = int(sizes.sum()), known + at
             while self.used + total > len(self.pool):
                 self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
             while n + len(ids) > len(self.sizes):
                 self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
                 self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
-            self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
             self.starts[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
             self.sizes[n : n + len(ids)] = sizes
             self.used += total
-            self.memo.update(zip(keys[at : at + 4096], range(n, n + len(ids))))
+        order = np.argsort(keys)
+        places = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, places, keys[order])
+        self.slots = np.insert(self.slots, places, (known + order).astype(np.int32))
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each piece, -1 for new ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slots[at], -1)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, and where each begins and ends."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if PIECE_COST * len(self.memo) + 4 * self.used > MEMO_BYTES:
+        if PIECE_COST * len(self.keys) + 4 * self.used > MEMO_BYTES:
             self._forget()
         starts, ends = self._pieces(data, offsets)
         of, kinds = pd.factorize(hashes(data, starts, ends, fold=not self.byte_level))
         top = np.maximum.accumulate(of)
         first = np.flatnonzero(np.concatenate(([True] if len(of) else [], top[1:] > top[:-1])))
-        keys = kinds.tolist()
-        memo = self.memo
-        new = [k for k, key in enumerate(keys) if key not in memo]
-        if new:
+        slots = self._slots(kinds)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
             raw = data.tobytes()
             texts = [raw[a:b].decode("utf-8") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            self._learn([keys[k] for k in new], texts)
-        places = np.fromiter(map(memo.__getitem__, keys), np.int64, len(keys))[of]
+            slots[new] = np.arange(len(self.keys), len(self.keys) + len(new))
+            self._learn(kinds[new], texts)
+        places = slots[of]
         sizes = self.sizes[places]
         total = np.cumsum(sizes)
         at = np.arange(total[-1]) if len(total) else np.zeros(0, np.int64)
