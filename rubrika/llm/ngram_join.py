@@ -22,9 +22,18 @@ short ones first (they hold the changes that copies of a changed copy share), th
 pairs in different components, since a pair in one component cannot change the result. No link
 between different components is lost.
 
-Before whole sets travel, candidate pairs meet by signatures: a bit per residue of a set's hashes, two
-to four bits a shingle. A bit that only one side has stands for a shingle that the other lacks, so the
-bits bound the intersection from above, and pairs bounded below ``overlap`` are refused. That refuses
+In the lists that are scanned in full, each posting has its set's sketch: for each of 512 residues of
+the hashes whether it has an odd number of them. Every shingle that only one side has turns one bit, so
+sketches that differ in d bits belong to sets with d or more such shingles, and sets that link have at
+most a seventh of both sizes. So a pair that d refuses is no link, and never a row. Long sets would fill
+such a sketch, so sets of 900 shingles or more are posted as 32 parts, by classes of hashes: of sets that
+link, the parts of at least one class do too (else more than a seventh would differ in all), and these
+meet in a list of that class. Each part has prefix, reach and sketch of its own. Sets of 675 to 1,200 may link with
+either kind: up to 1,200 they are posted whole, from 900 on by parts.
+
+Before whole sets travel, many candidate pairs meet by signatures: a bit per residue of a set's hashes,
+two to four bits a shingle. A bit that only one side has stands for a shingle that the other lacks, so
+the bits bound the intersection from above, and pairs bounded below ``overlap`` are refused. That refuses
 no link; what is left is counted on the sets.
 
 Shingles have 64-bit hashes, cut to 48 bits for counting overlaps (a false match within a pair of
@@ -68,6 +77,11 @@ HUB_PAIRS = 2000
 MOVED = 0.5
 BATCH_ROWS = 512
 BROADCAST_PAIRS = 1_000_000  # pairs of nodes up to this many (40 bytes each) may be broadcast
+LONG = 900  # sets from so many shingles on are posted by parts
+CLASSES = 32
+WHOLE = -1
+OF_PARTS = np.uint64(1 << 46)
+SKETCH = tuple(f"s{i}" for i in range(8))  # a sketch of 64 bits each
 SETS = "doc_id long, n long, node long, proof long, sig binary, elems binary"
 
 
@@ -87,6 +101,8 @@ def reaches(n: int) -> np.ndarray:
 
 
 REACH = "n_a <= reach_b AND n_b <= reach_a"
+# Linked sets have at most (n_a + n_b) / 7 shingles that the other lacks.
+ALIKE = f"7 * ({' + '.join(f'bit_count({s}_a ^ {s}_b)' for s in SKETCH)}) <= n_a + n_b"
 
 
 def _document_shingles(batch_column):
@@ -257,22 +273,69 @@ def light_links(sets: DataFrame, boundary: int) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), other.alias("b")).where("a <> b").distinct()
 
 
+def parts(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """What a set is posted by: itself (``WHOLE``) up to 4/3 of ``LONG``, and from ``LONG`` on its parts by
+    class of hashes. Sets that link are both posted in one of these ways."""
+    found = [(WHOLE, h)] if 3 * len(h) <= 4 * LONG else []
+    if len(h) >= LONG:
+        kind = (mix(h) >> np.uint64(32)) % np.uint64(CLASSES)
+        found += [(c, h[kind == c]) for c in range(CLASSES)]
+    return [(c, part) for c, part in found if len(part)]
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A bit per residue of the hashes: whether an odd number of them has it."""
+    width = 64 * len(SKETCH)
+    odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _sketch_rows(batches, least: int):
+    for batch in batches:
+        nodes, kinds, words = [], [], []
+        for n, node, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for kind, part in parts(_unpack(raw)) if n >= least else []:
+                nodes.append(node)
+                kinds.append(kind)
+                words.append(sketch(part))
+        words = np.array(words, np.int64).reshape(-1, len(SKETCH))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, pa.int64()), pa.array(kinds, pa.int32()), *(pa.array(w) for w in words.T.copy())],
+            names=["node", "class", *SKETCH],
+        )
+
+
+def sketches(sets: DataFrame, boundary: int) -> DataFrame:
+    """``node, class`` and the columns ``SKETCH`` of all that ``shared_lists`` posts."""
+    schema = ", ".join(["node long, class int", *[f"{s} long" for s in SKETCH]])
+    least = least_posted(boundary)
+    rows = sets.select("n", "node", "elems").mapInArrow(lambda b: _sketch_rows(b, least), schema)
+    return rows.dropDuplicates(["node", "class"])
+
+
+def least_posted(boundary: int) -> int:
+    return max(1, -(-3 * (boundary + 1) // 4))
+
+
 def _posting_rows(batches, least: int, buckets: int):
-    """First shingles of the sets of size ``least`` or more, packed by bucket."""
+    """First shingles of the sets of size ``least`` or more, or of their parts, packed by bucket."""
     for batch in batches:
         sizes, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         keep = np.flatnonzero(sizes >= least)
         if not len(keep):
             continue
         column = batch.column(2)
-        firsts = [_unpack(column[int(k)].as_py()[: 6 * prefix_size(int(sizes[k]))]) for k in keep]
-        h = np.concatenate(firsts)
-        posted = [len(x) for x in firsts]
-        owner, size = np.repeat(nodes[keep], posted), np.repeat(sizes[keep], posted).astype(np.int32)
-        reach = np.concatenate([reaches(int(sizes[k])) for k in keep]).astype(np.int32)
+        posts = [(nodes[k], c, len(x), x[: prefix_size(len(x))]) for k in keep for c, x in parts(_unpack(column[int(k)].as_py()))]
+        # Parts have lists of their own, apart from those of whole sets.
+        h = np.concatenate([x if c == WHOLE else x ^ OF_PARTS for _, c, _, x in posts])
+        posted = [len(x) for *_, x in posts]
+        owner = np.repeat(np.array([node for node, *_ in posts], np.int64), posted)
+        kind = np.repeat(np.array([c for _, c, *_ in posts], np.int8), posted)
+        size = np.repeat(np.array([n for _, _, n, _ in posts], np.int32), posted)
+        reach = np.concatenate([reaches(n) for _, _, n, _ in posts]).astype(np.int32)
         place = (mix(h) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(place, kind="stable")
-        h, owner, place, size, reach = h[order], owner[order], place[order], size[order], reach[order]
+        h, owner, kind, place, size, reach = (x[order] for x in (h, owner, kind, place, size, reach))
         cut = np.searchsorted(place, np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cut))
         yield pa.RecordBatch.from_pydict(
@@ -280,6 +343,7 @@ def _posting_rows(batches, least: int, buckets: int):
                 "bucket": pa.array(full, pa.int32()),
                 "h": [_pack(h[cut[k] : cut[k + 1]]) for k in full],
                 "nodes": [owner[cut[k] : cut[k + 1]].tobytes() for k in full],
+                "classes": [kind[cut[k] : cut[k + 1]].tobytes() for k in full],
                 "sizes": [size[cut[k] : cut[k + 1]].tobytes() for k in full],
                 "reaches": [reach[cut[k] : cut[k + 1]].tobytes() for k in full],
             }
@@ -296,6 +360,7 @@ def _shared_lists(group: pd.DataFrame) -> pd.DataFrame:
         {
             "h": np.concatenate([_unpack(x) for x in group["h"]]).astype(np.int64),
             "node": _joined(group["nodes"], np.int64),
+            "class": _joined(group["classes"], np.int8).astype(np.int32),
             "n": _joined(group["sizes"], np.int32),
             "reach": _joined(group["reaches"], np.int32),
         }
@@ -308,18 +373,18 @@ def _shared_lists(group: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(leader=lead["node"], n_leader=lead["n"], reach_leader=lead["reach"])
 
 
-LISTS = "h long, node long, n int, reach int, leader long, n_leader int, reach_leader int"
+LISTS = "h long, node long, class int, n int, reach int, leader long, n_leader int, reach_leader int"
 
 
 def shared_lists(sets: DataFrame, boundary: int) -> DataFrame:
     """Inverted lists over the first shingles of heavy sets, and of light ones that may link with
-    them, without the lists of one node; the leader is the smallest node of its list. They travel
-    packed: 22 bytes a posting."""
+    them, without the lists of one node; the leader is the smallest node of its list. ``n`` and ``reach``
+    are those of what is posted, the set or a part. They travel packed: 23 bytes a posting."""
     buckets = 4 * shuffle_partitions(sets.sparkSession)
-    least = max(1, -(-3 * (boundary + 1) // 4))
+    least = least_posted(boundary)
     packed = sets.select("n", "node", "elems").mapInArrow(
         lambda b: _posting_rows(b, least, buckets),
-        "bucket int, h binary, nodes binary, sizes binary, reaches binary",
+        "bucket int, h binary, nodes binary, classes binary, sizes binary, reaches binary",
     )
     return packed.groupBy("bucket").applyInPandas(_shared_lists, LISTS)
 
@@ -415,11 +480,14 @@ def _small_batches(spark):
 
 
 def verified(sets: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, counted on the whole sets once the signatures allow it; ``nodes``
-    has ``node, n, sig``, each node once."""
+    """The pairs (a, b) that link, counted on the whole sets, if there are many once the signatures allow
+    it; ``nodes`` has ``node, n, sig``, each node once."""
+    sizes = nodes.select("node", "n")
+    if pairs.count() <= MOVED * sizes.count():
+        return _at_hubs(sets, sizes, pairs, _linked, "links", 1.0)
     signed = nodes.select("node", "n", F.col("sig").alias("elems"))
-    likely = _at_hubs(signed, nodes.select("node", "n"), pairs, _possible, "likely", 1 / 12)
-    found = _at_hubs(sets, nodes.select("node", "n"), likely, _linked, "links", 1.0)
+    likely = _at_hubs(signed, sizes, pairs, _possible, "likely", 1 / 12)
+    found = _at_hubs(sets, sizes, likely, _linked, "links", 1.0)
     release(likely)
     return found
 
@@ -502,20 +570,21 @@ def _lead_across(lists: DataFrame, turn: int) -> DataFrame:
 
 
 def remaining_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of different components that are in each other's reach in a common list."""
-    columns = ("node", "component", "n", "reach")
+    """Pairs of different components that are in each other's reach in a common list and that their
+    sketches allow."""
+    columns = ("node", "component", "n", "reach", *SKETCH)
     left = lists.select("h", *(F.col(c).alias(f"{c}_a") for c in columns))
     right = lists.select("h", *(F.col(c).alias(f"{c}_b") for c in columns))
-    pairs = left.join(right, "h").where(f"node_a < node_b AND component_a <> component_b AND {REACH}")
+    pairs = left.join(right, "h").where(f"node_a < node_b AND component_a <> component_b AND {REACH} AND {ALIKE}")
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def mixed_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """``h, node, n, reach, component, length`` of the lists that hold more than one component; they
+    """``h, node, class, n, reach, component, length`` of the lists that hold more than one component; they
     take the place of ``lists``, which are released."""
     labels = components(links)
     names = labels.withColumnRenamed("label", "component")
-    named = lists.select("h", "node", "n", "reach").join(names, "node", "left")
+    named = lists.select("h", "node", "class", "n", "reach").join(names, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("h").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length")
@@ -528,7 +597,8 @@ def mixed_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text). With ``carry`` also
     those columns of whole numbers, and ``group``, which names the component where no id does."""
-    sets = stored(shingle_sets(docs, carry), "sets", "none")
+    with _small_batches(docs.sparkSession):
+        sets = stored(shingle_sets(docs, carry), "sets", "none")
     nodes = stored(
         sets.where("n > 0").groupBy("node").agg(
             F.min("n").alias("n"),
@@ -549,6 +619,9 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     def more(pairs: DataFrame) -> DataFrame:
         """All links with those among ``pairs``, each round a table of its own."""
         pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
+            release(pairs)
+            return links
         found = verified(sets, nodes, pairs)
         release(pairs)
         return links.union(found)
@@ -558,10 +631,12 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     for turn in range(CENTRE_ROUNDS):
         lists = mixed_lists(lists, links)
         links = more(_best_leaders(_lead_across(lists, turn)))
+    drawn = stored(sketches(sets, boundary), "sketches")
     for longest in (SHORT, None):
         lists = mixed_lists(lists, links)
-        links = more(remaining_pairs(lists if longest is None else lists.where(F.col("length") <= longest)))
-    release(lists, nodes)
+        scanned = lists if longest is None else lists.where(F.col("length") <= longest)
+        links = more(remaining_pairs(scanned.join(drawn, ["node", "class"])))
+    release(lists, nodes, drawn)
     labels = components(links)
     members = sets.select("doc_id", "n", "node", *carry).join(labels, "node", "left")
     group = F.struct(
