@@ -36,7 +36,11 @@ POSTED = 16
 SHARE = 0.4
 LEAST = 64
 TILE = 4096
-BLOCK = 512
+BLOCK = 4096
+# A task takes so many queries of a block, rows of a tile and pairs to rank at a time.
+QUERIES = 64
+ROWS = 1024
+PAIRS = 1 << 15
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -44,6 +48,11 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column])
 
 
+def _packed(column, kind) -> np.ndarray:
+    """A row for each of equally long byte strings."""
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
 def _orders(x: np.ndarray, pivots: np.ndarray, longest: float, query: bool) -> np.ndarray:
     """The nearest pivots of each row, nearest first."""
     if query:
@@ -59,40 +68,71 @@ def _represent(pivots: np.ndarray, longest: float, query: bool):
         for frame in frames:
             if not len(frame):
                 continue
-            orders = _orders(_matrix(frame["embedding"]), pivots, longest, query)
-            yield frame.assign(order=[x.tobytes() for x in orders.astype(np.uint16)])
+            x = _matrix(frame["embedding"])
+            orders = _orders(x, pivots, longest, query).astype(np.uint16)
+            yield frame.assign(embedding=[v.tobytes() for v in x], order=[o.tobytes() for o in orders])
 
     return work
 
 
+def _footrules(asked: np.ndarray, order: np.ndarray, pivots: int) -> np.ndarray:
+    """A row per query of Spearman's footrule to each posted order, less a constant of the query."""
+    width = order.shape[1]
+    place = np.full((pivots, len(asked)), width, np.int16)
+    place[asked, np.arange(len(asked))[:, None]] = np.arange(width, dtype=np.int16)
+    found = np.empty((len(asked), len(order)), np.int16)
+    # Pivots of the query alone add up to a constant less what both share. The cost of a pivot at one
+    # place is looked up for all queries at once.
+    costs = [np.abs(place - np.int16(i)) - (np.int16(width) - place) for i in range(width)]
+    for start in range(0, len(order), ROWS):
+        part = order[start : start + ROWS]
+        total = costs[0][part[:, 0]]
+        for i in range(1, width):
+            total += costs[i].take(part[:, i], axis=0)
+        found[:, start : start + ROWS] = total.T
+    return found
+
+
+def _best(queries: tuple, posted: tuple, top: int, pivots: int) -> pd.DataFrame:
+    """The best of a tile, ordered by id, for a few queries: of each query's short list the nearest.
+
+    One matrix product tells which rows can be among them; those are ranked by sums that do not depend
+    on where a row stands, so that equal vectors have equal scores.
+    """
+    (query, vectors, asked), (ids, x, order) = queries, posted
+    keep = max(LEAST, top + 1, int(np.ceil(SHARE * len(ids))))
+    listed = np.ones((len(query), len(ids)), bool)
+    if keep < len(ids):
+        footrules = _footrules(asked, order, pivots)
+        listed = footrules <= np.partition(footrules, keep - 1, axis=1)[:, keep - 1 : keep]
+    first, last = np.searchsorted(ids, query), np.searchsorted(ids, query, "right")
+    for q in np.flatnonzero(first < last):
+        listed[q, first[q] : last[q]] = False
+    with np.errstate(all="ignore"):  # a product of finite numbers may not be finite
+        rough = vectors @ x.T
+        rough[~listed] = -np.inf
+        last = min(top, len(ids)) - 1
+        least = -np.partition(-rough, last, axis=1)[:, last]
+        error = 1e-12 * np.sqrt((vectors * vectors).sum(1)) * np.sqrt((x * x).sum(1).max())
+        at, row = np.nonzero(listed & ~(rough < (least - error)[:, None]))
+        parts = [slice(i, i + PAIRS) for i in range(0, len(at), PAIRS)]
+        score = np.concatenate([np.zeros(0), *[(vectors[at[p]] * x[row[p]]).sum(1) for p in parts]])
+    ranked = np.lexsort((ids[row], -score, at))
+    at, row, score = at[ranked], row[ranked], score[ranked]
+    some = np.arange(len(at)) - np.searchsorted(at, at) < top
+    return pd.DataFrame({"query_id": query[at[some]], "vec_id": ids[row[some]], "score": score[some]})
+
+
 def _search(top: int):
     def tile(queries: pd.DataFrame, posted: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(posted):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         posted = posted.sort_values("vec_id", kind="stable")
-        ids, x = posted["vec_id"].to_numpy(), _matrix(posted["embedding"])
-        order = np.stack([np.frombuffer(b, np.uint16) for b in posted["order"]]).astype(np.int64)
-        width = order.shape[1]
-        size = int(max(order.max(), max(np.frombuffer(b, np.uint16).max() for b in queries["order"]))) + 1
-        places = np.arange(width)
-        flat = order * width + places
-        keep = max(LEAST, top + 1, int(np.ceil(SHARE * len(ids))))
-        found = []
-        for query, vector, raw in zip(queries["query_id"], queries["embedding"], queries["order"]):
-            place = np.full(size, width, np.int32)
-            place[np.frombuffer(raw, np.uint16)] = places
-            # Pivots of the query alone add up to a constant less what both share.
-            cost = np.abs(place[:, None] - places[None, :]) - (width - place[:, None])
-            footrule = cost.astype(np.int32).ravel()[flat].sum(1)
-            best = np.arange(len(ids))
-            if keep < len(ids):
-                limit = np.partition(footrule, keep - 1)[keep - 1]
-                best = np.flatnonzero(footrule <= limit)
-            best = best[ids[best] != query]
-            score = x[best] @ np.asarray(vector, np.float64)
-            first = np.lexsort((ids[best], -score))[:top]
-            found.append(pd.DataFrame({"query_id": query, "vec_id": ids[best][first], "score": score[first]}))
-        return pd.concat(found)
+        there = posted["vec_id"].to_numpy(), _packed(posted["embedding"], np.float64), _packed(posted["order"], np.uint16)
+        asked = queries["query_id"].to_numpy(), _packed(queries["embedding"], np.float64), _packed(queries["order"], np.uint16)
+        pivots = int(max(there[2].max(), asked[2].max())) + 1
+        few = [tuple(a[i : i + QUERIES] for a in asked) for i in range(0, len(queries), QUERIES)]
+        return pd.concat([_best(part, there, top, pivots) for part in few])
 
     return tile
 
@@ -111,7 +151,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20) -> DataFrame:
     pivots = _matrix([r["embedding"] for r in sample]) if sample else np.zeros((0, dim))
     rest = np.sqrt(np.maximum(longest**2 - (pivots * pivots).sum(1), 0))
     pivots = np.hstack([pivots, rest[:, None]])
-    spec = "vec_id long, embedding array<double>, order binary"
+    spec = "vec_id long, embedding binary, order binary"
     copy = W.partitionBy("embedding").orderBy("vec_id")
     indexed = (
         rows.dropDuplicates(["vec_id", "embedding"])
