@@ -13,8 +13,10 @@ from rubrika.operators.selection import largest
 from rubrika.operators.training import NUM_LABELS, class_sizes, class_token_counts
 
 ROW_KEY = ("_row", "_again")
-# So many tokens (some 100 bytes each) with their weights may be broadcast, the most frequent ones.
+# So many tokens with their weights (some 100 bytes each) may be broadcast, the most frequent ones of
+# those that take at most so many bytes themselves.
 FREQUENT_TOKENS = 50_000
+FREQUENT_BYTES = 128
 
 
 @dataclass(frozen=True)
@@ -31,10 +33,11 @@ class TokenModel:
     def transform(self, df: DataFrame, broadcast_rows: int = FREQUENT_TOKENS) -> DataFrame:
         """Adds ``probabilities`` to a frame with ``tokens``; tokens never seen have no part.
 
-        The ``broadcast_rows`` most frequent tokens meet their counts by broadcast and are added up
-        per row in the tasks, whatever the size of the model. The others travel once per row and
-        join by token: each is rare, so no task gets much of one. The salt is the token's hash, and
-        for the sums without such a token the row's, which spreads them. The sums per row of ``df``
+        The ``broadcast_rows`` most frequent tokens of at most ``FREQUENT_BYTES`` bytes meet their
+        counts by broadcast and are added up per row in the tasks, whatever the size of the model.
+        The others travel once per row and join by token: each is rare, so no task gets much of one,
+        or long; one that is long and frequent is split by adaptive execution. The salt is the token's
+        hash, and for the sums without such a token the row's, which spreads them. The sums per row of ``df``
         are numbers; text is not among them. Rows are told apart by two hashes over all columns;
         rows equal in every column share one sum and each gets it.
         """
@@ -47,11 +50,13 @@ class TokenModel:
         pieces = keyed.select(*ROW_KEY, F.posexplode_outer("tokens").alias("pos", "token"))
         rows = F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("rows")
         adds = [F.sum(f"w_{c}").alias(f"w_{c}") for c in classes]
-        if self.counts.count() <= broadcast_rows:
+        short = self.counts.where(F.octet_length("token") <= FREQUENT_BYTES)
+        size = self.counts.count()
+        if size <= broadcast_rows and short.count() == size:
             weights = self.counts.select("token", *logs)
             sums = pieces.join(F.broadcast(weights), "token", "left").groupBy(*ROW_KEY).agg(rows, *adds)
         else:
-            frequent = largest(self.counts, broadcast_rows) if broadcast_rows else self.counts.limit(0)
+            frequent = largest(short, broadcast_rows) if broadcast_rows else self.counts.limit(0)
             found = pieces.join(F.broadcast(frequent.select("token", *logs)), "token", "left")
             rare = F.when(F.col("w_0").isNull(), F.col("token")).alias("token")
             added = found.groupBy(*ROW_KEY, rare).agg(rows, F.count(F.lit(1)).alias("times"), *adds)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rubrika.operators import encoding
-from rubrika.operators.token_model import fit_token_model
+from rubrika.operators.token_model import FREQUENT_BYTES, fit_token_model
 from rubrika.session import shared_folder
 from tests.test_plans import plan
 
@@ -46,6 +46,31 @@ def test_a_model_past_the_bound_is_not_broadcast(spark, tokens):
     assert tree.count("Generate (") == 1  # of the texts; no copies of the model
 
 
+def test_long_tokens_are_not_broadcast(spark):
+    """Few tokens may take any number of bytes: those past the bound join by token, however frequent."""
+    edge, past, wide = "y" * FREQUENT_BYTES, "z" * (FREQUENT_BYTES + 1), "語" * (FREQUENT_BYTES // 3 + 1)
+    texts = [f"a {past} {past}", f"b {edge}", f"{wide} a {past}", f"c {wide}", f"a {past} {edge}"]
+    rows = [(i, t, i % 4) for i, t in enumerate(texts)]
+    tokens = encoding.with_tokens(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    model = fit_token_model(tokens, shared_folder(spark, "token-model"), 4)
+    scored = model.transform(tokens)
+    text = plan(scored.select("doc_id", "probabilities"))
+    assert re.search(r"hashpartitioning\(token#\d+, salt#\d+", text)
+    assert re.search(rf"octet_length\(token#\d+\) <= {FREQUENT_BYTES}\b", text)
+    counts = [Counter(w for t in texts[c::4] for w in t.split()) for c in range(4)]
+    known = len(set().union(*counts))
+    found = {r.doc_id: r.probabilities for r in scored.collect()}
+    assert len(found) == len(texts)
+    for i, t in enumerate(texts):
+        z = [
+            log((len(texts[c::4]) + 1) / (len(texts) + 4))
+            + sum(log((n[w] + 1) / (sum(n.values()) + known)) for w in t.split())
+            for c, n in enumerate(counts)
+        ]
+        e = [exp(x - max(z)) for x in z]
+        assert found[i] == pytest.approx([x / sum(e) for x in e], abs=1e-12)
+
+
 def test_a_vocabulary_past_the_bound_is_not_broadcast(spark, tokens):
     words = spark.createDataFrame([("a", 4)], "token string, token_id int")
     text = plan(encoding.encode(tokens, words, broadcast_rows=0))
